@@ -56,16 +56,12 @@ def _neighbours(df: DataFrame, point: str) -> DataFrame:
     )
 
 
-def _filled(prev: Column, nxt: Column, pos: Column, start: Column, size: int, axis: str) -> Column:
-    """Nearest known value inside the window; ties go to the earlier row, none gives 0."""
-    use_prev = F.coalesce(prev["p"] >= start, F.lit(False))
-    use_next = F.coalesce(nxt["p"] <= start + (size - 1), F.lit(False))
-    return (
-        F.when(use_prev & use_next, F.when(pos - prev["p"] <= nxt["p"] - pos, prev[axis]).otherwise(nxt[axis]))
-        .when(use_prev, prev[axis])
-        .when(use_next, nxt[axis])
-        .otherwise(0.0)
-    )
+def _filled(prev: Column, nxt: Column, pos: Column, start: Column, size: int) -> Column:
+    """Nearest known point inside the window; ties go to the earlier row, none is NULL."""
+    earlier = F.when(prev["p"] >= start, prev)
+    later = F.when(nxt["p"] < start + size, nxt)
+    closer = F.coalesce(earlier["p"] + later["p"] < pos * 2, F.lit(False))
+    return F.when(closer, later).otherwise(F.coalesce(earlier, later))
 
 
 def normalised_observations(df: DataFrame, settings: WindowSettings) -> DataFrame:
@@ -117,19 +113,20 @@ def _features(wins: DataFrame, settings: WindowSettings, use_flow: bool) -> Data
     size, width, height = settings.size, settings.width, settings.height
     diagonal = (width * width + height * height) ** 0.5
     pos, start = F.col("pos"), F.col("win_start")
-    pts = {}
+    picks = {}
     for lag in (0, 1, 2):
         s = F.col(f"s{lag}")
         for k in ("head", "tail"):
-            for axis in ("x", "y"):
-                pts[f"{k[0]}{axis}{lag}"] = _filled(
-                    s[f"{k}_prev"], s[f"{k}_next"], pos - lag, start, size, axis)
+            picks[f"{k[0]}{lag}"] = _filled(s[f"{k}_prev"], s[f"{k}_next"], pos - lag, start, size)
     wins = wins.select(
         "swing_id", "win_start", "idx", "pos", "n", "frame_idx", "image_stem", "view_label", "ctx",
         "head_c", "tail_c", "head_ok", "tail_ok",
         *([c for c in FLOW_SOURCE_COLUMNS] if use_flow else []),
         *(["flip"] if use_flow else []),
-        *[e.alias(n) for n, e in pts.items()])
+        *[e.alias(n) for n, e in picks.items()])
+    wins = wins.withColumns({
+        f"{k}{axis}{lag}": F.coalesce(F.col(f"{k}{lag}.{axis}"), F.lit(0.0))
+        for k in "ht" for axis in "xy" for lag in (0, 1, 2)})
     c = F.col
     geo = {}
     for lag in (0, 1):

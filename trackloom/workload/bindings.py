@@ -24,32 +24,32 @@ _TRACK_BASE = {
     "view": "case user_id % 6 when 0 then 'side' when 1 then 'back' when 2 then 'front' "
             "when 3 then 'Home plate' when 4 then '1B_side' else '' end",
     "batter_side": "case when user_id % 2 = 0 then 'right' else 'Left' end",
-    "bx": "200 + 3 * value",
-    "by": "100 + 8 * k",
-    "tx": "260 + 3 * value + event_id % 50",
-    "ty": "140 + 8 * k + event_id % 30",
+    "ax": "200 + 3 * value",
+    "ay": "100 + 8 * k",
+    "zx": "260 + 3 * value + event_id % 50",
+    "zy": "140 + 8 * k + event_id % 30",
 }
 _TRACK_COLUMNS = {
-    "head_pred_x": "case when event_id % 11 <> 0 then bx end",
-    "head_pred_y": "case when event_id % 11 <> 0 then by end",
+    "head_pred_x": "case when event_id % 11 <> 0 then ax end",
+    "head_pred_y": "case when event_id % 11 <> 0 then ay end",
     "head_pred_conf": "(event_id % 97) / 97e0",
-    "tail_pred_x": "case when event_type <> 'error' then tx end",
-    "tail_pred_y": "case when event_type <> 'error' then ty end",
+    "tail_pred_x": "case when event_type <> 'error' then zx end",
+    "tail_pred_y": "case when event_type <> 'error' then zy end",
     "tail_pred_conf": "(event_id % 89) / 89e0",
-    "head_gt_x": "case when event_id % 23 <> 0 then bx + event_id % 13 - 6 end",
-    "head_gt_y": "case when event_id % 23 <> 0 then by + event_id % 17 - 8 end",
-    "tail_gt_x": "case when event_id % 19 <> 0 then tx + (event_id % 29 - 14) * (1 + event_id % 2) end",
-    "tail_gt_y": "case when event_id % 19 <> 0 then ty + event_id % 7 - 3 end",
+    "head_gt_x": "case when event_id % 23 <> 0 then ax + event_id % 13 - 6 end",
+    "head_gt_y": "case when event_id % 23 <> 0 then ay + event_id % 17 - 8 end",
+    "tail_gt_x": "case when event_id % 19 <> 0 then zx + (event_id % 29 - 14) * (1 + event_id % 2) end",
+    "tail_gt_y": "case when event_id % 19 <> 0 then zy + event_id % 7 - 3 end",
     "head_visibility": "case when event_id % 5 = 0 then 'partially_occluded' else 'fully_visible' end",
     "tail_visibility": "case when event_type in ('view', 'purchase') then 'fully_visible' "
                        "when event_type = 'click' then 'partially_occluded' "
                        "when event_type = 'error' and event_id % 3 = 0 then 'ignore' "
                        "else 'fully_occluded' end",
     "bbox_conf": "(event_id % 83) / 83e0",
-    "bbox_x1": "case when event_id % 31 <> 0 then bx - 20e0 end",
-    "bbox_y1": "case when event_id % 31 <> 0 then by - 20e0 end",
-    "bbox_x2": "case when event_id % 31 <> 0 then tx + 20e0 end",
-    "bbox_y2": "case when event_id % 31 <> 0 then ty + 20e0 end",
+    "bbox_x1": "case when event_id % 31 <> 0 then ax - 20e0 end",
+    "bbox_y1": "case when event_id % 31 <> 0 then ay - 20e0 end",
+    "bbox_x2": "case when event_id % 31 <> 0 then zx + 20e0 end",
+    "bbox_y2": "case when event_id % 31 <> 0 then zy + 20e0 end",
 }
 
 
