@@ -136,3 +136,19 @@ def completeness(frames: DataFrame, fields: DataFrame) -> DataFrame:
     out = expected.join(existing, "swing_id", "left").withColumn("existing_flows", F.coalesce("existing_flows", F.lit(0)))
     return out.withColumn("expected_flows", F.greatest(F.col("n_frames") - 1, F.lit(0))).withColumn(
         "complete", (F.col("n_frames") >= 2) & (F.col("existing_flows") == F.col("expected_flows")))
+
+
+def region_pixels(frames: DataFrame, fields: DataFrame, *, radius: int = 8, pad: int = 5) -> DataFrame:
+    """Pixels (x, y, fx, fy) of every region, cut from the field before they are exploded."""
+    f = fields.select("swing_id", "frame_idx", "width", "height", "fx", "fy")
+    out = frames.filter(F.col("frame_idx") > 1).join(f, ["swing_id", "frame_idx"])
+    w, h = F.col("width"), F.col("height")
+    boxes = {
+        "head": region_bounds(F.col("head_pred_x"), F.col("head_pred_y"), radius, w, h),
+        "tail": region_bounds(F.col("tail_pred_x"), F.col("tail_pred_y"), radius, w, h),
+        "bbox": box_bounds(F.col("bbox_x1"), F.col("bbox_y1"), F.col("bbox_x2"), F.col("bbox_y2"), pad, w, h)}
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("region"), b.alias("box")) for r, b in boxes.items()]))
+    out = out.select("image_stem", "swing_id", "frame_idx", "width", "fx", "fy", each.alias("e")).filter(F.col("e.box").isNotNull())
+    box = F.col("e.box")
+    return out.select("image_stem", "swing_id", "frame_idx", F.col("e.region").alias("region"), F.inline(F.arrays_zip(
+        _crop(F.col("fx"), box, w).alias("fx"), _crop(F.col("fy"), box, w).alias("fy"))))
