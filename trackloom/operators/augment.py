@@ -137,14 +137,19 @@ def error_windows(frames: DataFrame, settings: WindowSettings) -> DataFrame:
     return wins.drop("n").join(ids.select("swing_id", "win_start", "pool_id", F.col("n").alias("pool_size")), ["swing_id", "win_start"])
 
 
+def draw_pool(wins: DataFrame, pool: DataFrame, s: CorruptionSettings = CorruptionSettings()) -> DataFrame:
+    """Add ``pool_id``: a keyed uniform draw per window from 0..pool size - 1."""
+    size = pool.agg(F.max("pool_size")).scalar()
+    u = R.uniform(s.seed, "pool", *[F.col(c) for c in WIN])
+    return wins.withColumn("pool_id", F.floor(u * size).cast("bigint"))
+
+
 def replay_corrupt(wins: DataFrame, pool: DataFrame, s: CorruptionSettings = CorruptionSettings()) -> DataFrame:
     """Each clean window draws one pool window and takes over its errors and misses.
 
     The draw is a hash modulo the pool size, then an equi-join on (pool_id, idx).
     """
-    size = pool.select(F.col("pool_size")).limit(1).scalar()
-    u = R.uniform(s.seed, "pool", *[F.col(c) for c in WIN])
-    drawn = wins.withColumn("pool_id", F.floor(u * size).cast("bigint"))
+    drawn = draw_pool(wins, pool, s)
     err = pool.select("pool_id", "idx", *[f"{k}_err_{f}" for k in ("head", "tail") for f in ("seen", "x", "y", "conf")])
     out = drawn.join(err, ["pool_id", "idx"])
     cols = {}

@@ -5,6 +5,8 @@ from trackloom.workload import (  # noqa: F401
     metric_queries,
     scalar_queries,
     selection_queries,
+    source_queries,
+    synthetic_queries,
     window_queries,
 )
 from trackloom.workload.registry import ORACLE, QUERIES
