@@ -15,6 +15,7 @@ from trackloom.functions import scalars as S
 from trackloom.operators.sequence import with_positions
 from trackloom.operators.windows import explode_windows
 from trackloom.schemas import IMAGE_HEIGHT, IMAGE_WIDTH, WindowSettings
+from trackloom.session import materialised
 
 
 @dataclass(frozen=True)
@@ -75,11 +76,11 @@ def clean_tracks(rows: DataFrame, *, target_fps: float = 60.0, source_fps: float
 
     ``rows``: split, swing_id, view_id, frame_idx, time_sec, batter_hand, camera_name,
     head/tail u and v. Downsampling comes before the filter, so windows may bridge
-    dropped rows. Adds pos, n.
+    dropped rows. Adds pos, n. The numbered rows are stored once: four branches read them.
     """
     keys = ["swing_id", "view_id"]
     bins, order = [F.floor(F.col("frame_idx") / 256)], [F.col("frame_idx"), F.col("time_sec")]
-    numbered = with_positions(rows, keys, bins, order)
+    numbered = materialised(with_positions(rows, keys, bins, order))
     stepped = numbered.join(time_steps(numbered, keys, target_fps, source_fps), keys)
     kept = stepped.filter((F.col("pos") % F.col("step") == 0) & (F.ceil(F.col("n") / F.col("step")) >= min_rows))
     pts = {c: S.finite(F.col(c)) for c in ("head_u", "head_v", "tail_u", "tail_v")}

@@ -9,6 +9,7 @@ from trackloom.operators import augment as A
 from trackloom.operators import projection as P
 from trackloom.operators.windows import observation_windows, pack_windows
 from trackloom.schemas import FEATURES_25, WindowSettings
+from trackloom.session import materialised
 
 
 def projected_tracks(markers: DataFrame, assigned: DataFrame, seed: int, *, keep_only_visible: bool = False,
@@ -40,8 +41,9 @@ def synthetic_windows(
     Sequences without a split are dropped. Features see the corrupted points only;
     the labels that caused the corruption are kept as supervision.
     """
-    tracks = A.clean_tracks(rows.join(splits.select("swing_id"), "swing_id", "left_semi"), target_fps=target_fps,
-                            source_fps=source_fps, width=settings.width, height=settings.height, min_rows=settings.size)
+    tracks = materialised(A.clean_tracks(
+        rows.join(splits.select("swing_id"), "swing_id", "left_semi"), target_fps=target_fps, source_fps=source_fps,
+        width=settings.width, height=settings.height, min_rows=settings.size))
     wins = A.clean_windows(tracks, settings)
     noisy = A.replay_corrupt(wins, pool, corruption) if pool is not None else A.gaussian_corrupt(wins, corruption, settings.width, settings.height)
     hidden = A.apply_occlusion(A.visibility_labels(noisy, lookup, corruption, settings.size), corruption, settings.width, settings.height)

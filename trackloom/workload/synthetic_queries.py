@@ -10,6 +10,7 @@ from trackloom.operators import projection as P
 from trackloom.operators.sequence import frame_positions
 from trackloom.plans.synthetic import pooled_frames, projected_tracks, synthetic_windows
 from trackloom.schemas import BODY_MARKERS, FEATURES_25, WindowSettings
+from trackloom.session import materialised
 from trackloom.sources.sinks import folder_progress
 from trackloom.workload import bindings as B
 from trackloom.workload import frames as X
@@ -153,7 +154,7 @@ N = lambda purpose, key: f"(sqrt(-2 * ln({U(purpose + '.r', key)} + pow(2e0, -33
 
 
 def _tracks(spark, d, **kw):
-    return A.clean_tracks(syn_source(spark, d), **kw)
+    return materialised(A.clean_tracks(syn_source(spark, d), **kw))
 
 
 def syn_source(spark, d):
@@ -165,7 +166,7 @@ def syn_source(spark, d):
 
 @query("downsample_stride", "select swing_id, view_id, step from syn_steps", "syn_steps")
 def downsample_stride(spark, d):
-    rows = syn_source(spark, d).filter("batter_hand = 'R'")
+    rows = materialised(syn_source(spark, d).filter("batter_hand = 'R'"))
     from trackloom.operators.sequence import with_positions
     numbered = with_positions(rows, ["swing_id", "view_id"], [F.floor(F.col("frame_idx") / 256)], [F.col("frame_idx")])
     return A.time_steps(numbered, ["swing_id", "view_id"], 60.0, 360.0)
