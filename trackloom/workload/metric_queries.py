@@ -386,3 +386,27 @@ cte("stops", "select run, min(epoch) filter (epoch - best_at >= 10) as stop_epoc
 @query("best_row_selection", f"select run, arg_min(epoch, total) as best_epoch, {r('min(total)', 3)} as best_total, any_value(stop_epoch) as stop_epoch from epochs join stops using (run) where stop_epoch is null or epoch <= stop_epoch group by run", "epochs", "stops")
 def best_row_selection(spark, d):
     return rounded(M.best_epochs(M.epoch_means(history(spark, d), ["total", "position"]), 10), digits=3)
+
+
+@query("evaluate_with_flow", "select series, grp, count, rmse, mae, p90, gt20, gt40, (select count(distinct swing_id) from frames) as swings, (select count(*) from starts) as windows, (select count(*) from frames) as frames "
+       "from by_group", "by_group", "starts", "frames")
+def evaluate_with_flow(spark, d):
+    """The 45-column build; the stand-in model reads its first 25 columns."""
+    from trackloom.operators.contracts import require_feature_order
+    from trackloom.operators.windows import supervised_windows
+    from trackloom.plans.evaluation import evaluate
+    from trackloom.workload.window_queries import wide_flow
+    wins = supervised_windows(X.with_raw(wide_flow(spark, d), X.SETTINGS), X.SETTINGS, carry=X.CARRY, use_flow=True)
+    return rounded(evaluate(X.decoded(require_feature_order(wins, True)), X.frames_of))
+
+
+@query("path_consistency", "select count(*) as rows, 0::bigint as differing from features", "features")
+def path_consistency(spark, d):
+    """Training, evaluation and flow paths build the same 25 columns."""
+    from trackloom.operators.windows import observation_windows
+    from trackloom.schemas import FEATURES_25
+    from trackloom.workload.window_queries import wide_flow
+    key = ["swing_id", "win_start", "idx"]
+    a = observation_windows(X.tracked(spark, d)).select(*key, F.hash(*FEATURES_25).alias("a"))
+    b = observation_windows(wide_flow(spark, d), use_flow=True).select(*key, F.hash(*FEATURES_25).alias("b"))
+    return a.join(b, key, "full").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
