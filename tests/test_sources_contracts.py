@@ -17,7 +17,11 @@ def test_detection_files_keep_line_order_on_ties(spark, tmp_path):
     line = "0 .5 .5 .2 .2 {} .4 .9 .6 .6 .8 {}"
     (d / "swing_1_000001.txt").write_text("\n".join([line.format(.1, .5), "junk line", line.format(.2, .9), line.format(.3, .5), "0 1 2"]) + "\n")
     (d / "swing_1_000002.txt").write_text("")
-    out = {r.prediction_stem: r.detections for r in I.read_detections(spark, str(d)).collect()}
+    for i in (1, 2):
+        (tmp_path / "run" / f"swing_1_00000{i}.JPG").write_bytes(b"x")
+    images = I.image_paths(I.list_files(spark, str(tmp_path / "run")))
+    found = I.frame_population(I.read_detections(spark, str(d)), images)
+    out = {r.prediction_stem: r.detections for r in found.collect()}
     assert [x.head.x for x in out["swing_1_000001"]] == [.2, .1, .3]
     assert [x.detection_rank for x in out["swing_1_000001"]] == [1, 2, 3]
     assert out["swing_1_000002"] == []

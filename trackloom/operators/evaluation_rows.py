@@ -38,11 +38,22 @@ def unmatched_predictions(records: DataFrame, annotations: DataFrame) -> DataFra
     return records.join(gt, "image_stem", "left_anti")
 
 
+def has_auxiliary() -> Column:
+    """The tail is ignored but an auxiliary point exists."""
+    return (
+        (F.trim(F.coalesce(F.col("tail_visibility"), F.lit(""))) == "ignore")
+        & F.col("bat_visible_aux_x").isNotNull() & F.col("bat_visible_aux_y").isNotNull())
+
+
 def keypoint_rows(
     frames: DataFrame, *, bbox_min: float = 0.0, kpt_min: float = 0.0,
-    width: float = IMAGE_WIDTH, height: float = IMAGE_HEIGHT,
+    width: float = IMAGE_WIDTH, height: float = IMAGE_HEIGHT, auxiliary: bool = False,
 ) -> DataFrame:
-    """Two rows per frame. Needs chosen, drop_reason, annotation and clip columns."""
+    """Two rows per frame, three with ``auxiliary`` where that point exists.
+
+    Needs chosen, drop_reason, annotation and clip columns. All rows of a frame come
+    from one pass, so the selection before it runs once.
+    """
     ch, drop = F.col("chosen"), F.col("drop_reason")
     has = ch.isNotNull()
     boxed = has & ~drop.eqNullSafe("center_outlier")
@@ -63,17 +74,22 @@ def keypoint_rows(
             F.when(boxed, ch["cx"] + half_w).alias("bbox_x2"), F.when(boxed, ch["cy"] + half_h).alias("bbox_y2"),
             F.when(hit, px - gx).alias("dx"), F.when(hit, py - gy).alias("dy"),
             F.when(hit, F.hypot(px - gx, py - gy)).alias("error_px"), status.alias("status")))
-    return frames.select(
-        "image_stem", "swing_id", "view", "batter_side", "frame", F.inline(F.array(*structs))).select(*DETAIL_COLUMNS)
+    rows = F.array(*structs)
+    if auxiliary:
+        none = F.lit(None)
+        extra = F.struct(
+            F.lit(AUX_KEYPOINT).alias("keypoint"), F.lit("").alias("visibility"), F.col("bat_visible_aux_x").alias("gt_x"),
+            F.col("bat_visible_aux_y").alias("gt_y"), *[none.cast("double").alias(n) for n in ("pred_x", "pred_y", "pred_conf", "bbox_conf")],
+            none.cast("int").alias("detection_rank"), *[none.cast("double").alias(n) for n in ("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "dx", "dy", "error_px")],
+            F.lit("gt_only").alias("status"))
+        rows = F.array_compact(F.array(*structs, F.when(has_auxiliary(), extra)))
+    return frames.select("image_stem", "swing_id", "view", "batter_side", "frame", F.inline(rows)).select(*DETAIL_COLUMNS)
 
 
 def auxiliary_rows(frames: DataFrame) -> DataFrame:
     """Extra annotation-only row when the tail is ignored but an auxiliary point exists."""
-    has_aux = (
-        (F.trim(F.coalesce(F.col("tail_visibility"), F.lit(""))) == "ignore")
-        & F.col("bat_visible_aux_x").isNotNull() & F.col("bat_visible_aux_y").isNotNull())
     empty = {c: F.lit(None).cast("double") for c in DETAIL_NUMBERS}
-    rows = frames.filter(has_aux).withColumns({
+    rows = frames.filter(has_auxiliary()).withColumns({
         **empty, "keypoint": F.lit(AUX_KEYPOINT), "visibility": F.lit(""),
         "gt_x": F.col("bat_visible_aux_x"), "gt_y": F.col("bat_visible_aux_y"),
         "detection_rank": F.lit(None).cast("int"), "status": F.lit("gt_only")})

@@ -18,6 +18,7 @@ from trackloom.operators.sequence import (
     FOLD_FAN, FOLD_ROWS, block_window, follow_states, with_halo, with_positions,
 )
 from trackloom.schemas import ScreenSettings, SelectionSettings
+from trackloom.session import materialised
 
 NO_FRAME_NUMBER = 1_000_000_000
 MIN_KEYPOINT_CONF = 0.1
@@ -67,15 +68,17 @@ def total_score(parts: dict[str, Column]) -> Column:
     return total
 
 
-def sequence_anchors(records: DataFrame, settings: SelectionSettings = SelectionSettings()) -> DataFrame:
-    """Median centre of the first-ranked box per sequence, whatever its confidence."""
+def first_box(records: DataFrame, settings: SelectionSettings) -> dict[str, Column]:
+    """Pixel centre of the first-ranked box, whatever its confidence; NULL without one."""
     first = F.get(F.col("detections"), F.lit(0))
-    points = records.filter(F.size("detections") > 0).select(
-        "swing_id",
-        (first["bbox"]["xc"] * settings.width).alias("cx"),
-        (first["bbox"]["yc"] * settings.height).alias("cy"))
+    return {"first_x": first["bbox"]["xc"] * settings.width, "first_y": first["bbox"]["yc"] * settings.height}
+
+
+def sequence_anchors(records: DataFrame, settings: SelectionSettings = SelectionSettings()) -> DataFrame:
+    """Median centre of the first-ranked boxes per sequence."""
+    points = records if "first_x" in records.columns else records.withColumns(first_box(records, settings))
     return group_quantiles(
-        points, ["swing_id"], {"anchor_x": F.col("cx"), "anchor_y": F.col("cy")}, {"p50": 0.5}
+        points, ["swing_id"], {"anchor_x": F.col("first_x"), "anchor_y": F.col("first_y")}, {"p50": 0.5}
     ).select("swing_id", F.col("anchor_x_p50").alias("anchor_x"), F.col("anchor_y_p50").alias("anchor_y"))
 
 
@@ -94,12 +97,15 @@ def select_candidates(records: DataFrame, settings: SelectionSettings = Selectio
     """Add ``pos``, ``chosen`` (NULL when nothing was eligible) and ``parts``.
 
     ``records`` has exactly the six inference columns (see contracts.require_record_schema).
+    The prepared frames and the scored tables are stored once each, since the anchor,
+    the numbering, the composition and the walk all read them.
     """
     keys = ["prediction_stem", "image_stem", "swing_id", "frame_no", "frame_name"]
-    prepared = records.select(
-        *keys, F.size("detections").alias("n_detections"),
-        eligible(pixel_candidates(F.col("detections"), settings.width, settings.height)).alias("eligible"))
-    frames = ordered_records(prepared).join(sequence_anchors(records, settings), "swing_id", "left")
+    box = first_box(records, settings)
+    prepared = materialised(records.select(
+        *keys, F.size("detections").alias("n_detections"), *[e.alias(n) for n, e in box.items()],
+        eligible(pixel_candidates(F.col("detections"), settings.width, settings.height)).alias("eligible")))
+    frames = ordered_records(prepared.drop("first_x", "first_y")).join(sequence_anchors(prepared, settings), "swing_id", "left")
     payload = ["prediction_stem", "image_stem", "frame_no", "frame_name", "n_detections", "pos",
                "eligible", "earlier", "gap", "anchor_x", "anchor_y"]
 
@@ -116,7 +122,7 @@ def select_candidates(records: DataFrame, settings: SelectionSettings = Selectio
 
     nobody = F.slice(F.col("eligible"), 1, 1)
     entries = F.coalesce(F.col("earlier"), F.transform(nobody, lambda c: F.when(F.lit(False), c)))
-    turns = turns.withColumn("step", F.transform(entries, best))
+    turns = materialised(turns.withColumn("step", F.transform(entries, best)))
     walked = follow_states(turns, "swing_id", "turn", "step", payload, block="block", levels=1, fan=FOLD_FAN)
     chosen = F.get(F.col("eligible"), F.col("after"))
     before = F.get(F.col("earlier"), F.col("before"))

@@ -30,4 +30,4 @@ def selected_frames(
 
 def detail_rows(frames: DataFrame, *, bbox_min: float = 0.0, kpt_min: float = 0.0) -> DataFrame:
     """Head, tail and auxiliary rows in the 22-column layout."""
-    return V.keypoint_rows(frames, bbox_min=bbox_min, kpt_min=kpt_min).unionByName(V.auxiliary_rows(frames))
+    return V.keypoint_rows(frames, bbox_min=bbox_min, kpt_min=kpt_min, auxiliary=True)

@@ -15,7 +15,7 @@ from trackloom.session import materialised
 def projected_tracks(markers: DataFrame, assigned: DataFrame, seed: int, *, keep_only_visible: bool = False,
                      horizontal_flip: bool = False) -> DataFrame:
     """Bat track of every sequence through its cameras (and mirrored copies)."""
-    track = P.scaled_track(P.bat_track(markers))
+    track = P.scaled_track(materialised(P.bat_track(markers)))
     basis = P.camera_basis(P.sample_cameras(assigned, seed), P.scene_bounds(track))
     rows = P.project_tracks(track, basis, keep_only_visible=keep_only_visible)
     return P.mirror_rows(rows) if horizontal_flip else rows

@@ -91,10 +91,11 @@ def parse_detections(texts: DataFrame, path: str = "path", text: str = "text") -
 def read_detections(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Detector label files; one small file is one frame, so it is read as one text.
 
-    The binary source also lists empty files, which stand for frames without detections.
+    File sources skip files of length zero; ``frame_population`` with the image list
+    brings those frames back with an empty array.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(paths)
-    return parse_detections(raw.select("path", F.decode(F.col("content"), "UTF-8").alias("text")))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(paths, wholetext=True)
+    return parse_detections(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
 def image_paths(paths: DataFrame, path: str = "path") -> DataFrame:
