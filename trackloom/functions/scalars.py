@@ -220,13 +220,16 @@ def sigmoid(x: Column) -> Column:
 
 
 def axis_components(px, py, hx, hy, tx, ty) -> tuple[Column, Column, Column]:
-    """(u across, v along, Euclidean) of a head error on the true head->tail axis."""
+    """(u across, v along, Euclidean) of a head error on the true head->tail axis.
+
+    u and v are rounded to 1e-9 px, so that the quality limits do not turn on the last bit.
+    """
     ax, ay = tx - hx, ty - hy
     length = F.hypot(ax, ay)
     ok = (length > 1e-6) & finite(px).isNotNull() & finite(py).isNotNull()
     dx, dy = px - hx, py - hy
-    u = F.when(ok, (dx * -ay + dy * ax) / length)
-    v = F.when(ok, (dx * ax + dy * ay) / length)
+    u = F.when(ok, F.round((dx * -ay + dy * ax) / length, 9))
+    v = F.when(ok, F.round((dx * ax + dy * ay) / length, 9))
     return u, v, F.when(ok, F.hypot(dx, dy))
 
 

@@ -97,7 +97,7 @@ def bucket_accuracy(spark, d):
 
 
 cte("axis0", "select *, gt_tail_x * 1920 - gt_head_x * 1920 as ax, gt_tail_y * 1080 - gt_head_y * 1080 as ay, (raw_head_x - gt_head_x) * 1920 as ddx, (raw_head_y - gt_head_y) * 1080 as ddy from frames where target_valid and head_valid", "frames")
-cte("axis1", "select *, (ddx * -ay + ddy * ax) / sqrt(ax * ax + ay * ay) as u, (ddx * ax + ddy * ay) / sqrt(ax * ax + ay * ay) as v, sqrt(ddx * ddx + ddy * ddy) as euclid from axis0 where sqrt(ax * ax + ay * ay) > 1e-6", "axis0")
+cte("axis1", "select *, round((ddx * -ay + ddy * ax) / sqrt(ax * ax + ay * ay), 9) as u, round((ddx * ax + ddy * ay) / sqrt(ax * ax + ay * ay), 9) as v, sqrt(ddx * ddx + ddy * ddy) as euclid from axis0 where sqrt(ax * ax + ay * ay) > 1e-6", "axis0")
 cte("axis2", "select *, case when abs(u) < 2 then 'ok' when abs(u) < 5 then 'slightly_bad' when abs(u) < 10 then 'bad' else 'very_bad' end as uq, "
     "case when v >= -3 and v <= 5 then 'ok' when v >= -7 and v <= 10 then 'slightly_bad' else 'bad' end as vq from axis1", "axis1")
 cte("axis", "select *, case when uq = 'very_bad' then uq when uq = 'bad' or vq = 'bad' then 'bad' when uq = 'slightly_bad' or vq = 'slightly_bad' then 'slightly_bad' else 'ok' end as aq from axis2", "axis2")
