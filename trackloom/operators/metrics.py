@@ -24,9 +24,13 @@ TRUST_LABELS = ("0.0_0.2", "0.2_0.4", "0.4_0.6", "0.6_0.8", "0.8_1.0")
 
 
 def frame_errors(frames: DataFrame, width: float = IMAGE_WIDTH, height: float = IMAGE_HEIGHT) -> DataFrame:
-    """Pixel errors of the tail series, shift and step length; needs scored frames."""
+    """Pixel errors of the tail series, shift and step length; needs scored frames.
+
+    Rounded to 1e-9 px: averaged points differ in the last bit with the order of the
+    sum, and error limits (20 px and so on) must not depend on it.
+    """
     def err(ax, ay, bx="gt_tail_x", by="gt_tail_y"):
-        return F.hypot((F.col(ax) - F.col(bx)) * width, (F.col(ay) - F.col(by)) * height)
+        return F.round(F.hypot((F.col(ax) - F.col(bx)) * width, (F.col(ay) - F.col(by)) * height), 9)
     return frames.withColumns({
         "raw_error": err("raw_tail_x", "raw_tail_y"),
         "filled_error": err("filled_x", "filled_y"),

@@ -138,7 +138,7 @@ cte("frames0", "select swing_id, frame_idx, " + ", ".join(f"any_value({c}) as {c
 
 
 def _perr(p: str, q: str = "gt_tail") -> str:
-    return f"sqrt((({p}_x - {q}_x) * 1920)**2 + (({p}_y - {q}_y) * 1080)**2)"
+    return f"round(sqrt((({p}_x - {q}_x) * 1920)**2 + (({p}_y - {q}_y) * 1080)**2), 9)"
 
 
 cte("frames1", "select *, tail_seen as raw_valid, tail_seen as obs_valid, head_seen as head_valid, "
