@@ -28,12 +28,20 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set."""
+    """The shared folder named by the session.
+
+    A temporary folder stands in only where none is set and everything runs in one
+    process; on a cluster, where executors could not see it, a missing folder is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(folder)
     return folder
 
