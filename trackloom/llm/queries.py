@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontaminate, mixing, token_records, warc
+from trackloom.llm import decontaminate, embedding_dedup, mixing, simhash, token_records, warc
 from trackloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_digest(spark, table(spark, sf_dir, "documents"))
 
 
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op3_decontaminate", r"""
 with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -50,6 +55,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+@query("op5_embedding_dedup", """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
+l as (select a.vec_id as x, b.vec_id as y from u a join u b on a.vec_id <> b.vec_id and a.n > 0 and b.n > 0
+      and list_dot_product(a.e, b.e) / a.n / b.n >= 0.9),
+reach as (select vec_id as x, vec_id as y from u union select reach.x, l.y from reach join l on reach.y = l.x),
+c as (select x as vec_id, min(y) as component_id from reach group by x)
+select c.vec_id, (select count(*) from l where l.x = c.vec_id) as n_links, component_id, c.vec_id = component_id as kept from c""")
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_mix_sources")
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
