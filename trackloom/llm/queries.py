@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, embedding_dedup, mixing, simhash, token_records, warc
+from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, mixing, quality, simhash, token_records, warc
 from trackloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,27 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+@query("op4_backoff_scores", r"""
+with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+t as (select doc_id, i, ws[i] as w, case when i > 1 then ws[i - 1] end as v, case when i > 2 then ws[i - 2] end as u
+      from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from d)),
+c1 as (select w, count(*) as n from t group by w),
+c2 as (select v, w, count(*) as n from t where v is not null group by v, w having count(*) >= 2),
+c3 as (select u, v, w, count(*) as n from t where u is not null group by u, v, w having count(*) >= 2),
+s as (select t.doc_id, case
+        when g3.n is not null then log10(g3.n) - log10(h2.n)
+        when g2.n is not null then log10(g2.n) - log10(h1.n) + (least(3, i) - 2) * log10(0.4)
+        else log10(g1.n) - log10((select count(*) from t)) + (least(3, i) - 1) * log10(0.4) end as s
+      from t join c1 g1 on t.w = g1.w left join c2 g2 on t.v = g2.v and t.w = g2.w left join c1 h1 on t.v = h1.w
+      left join c3 g3 on t.u = g3.u and t.v = g3.v and t.w = g3.w left join c2 h2 on t.u = h2.v and t.v = h2.w)
+select d.doc_id, cast(len(ws) as bigint) as n_words, round(coalesce(sum(s.s), 0), 6) as log10_score, round(sum(s.s) / nullif(len(ws), 0), 6) as mean_log10
+from d left join s using (doc_id) group by d.doc_id, ws""")
+def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff_lm.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log10_score", 6).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
+
+
 @query("op5_embedding_dedup", """
 with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
 u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
@@ -72,6 +94,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op9_warc", r"""
 with p as (select page_id, coalesce(html, '') as html from pages),
 f as (select html, min(page_id) as first_id from p group by html)
