@@ -155,7 +155,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, words: int = 64, max_train_docs: int = 6000, max_train_passages: int = 80_000,
-          steps: int = 1000, seed: int = 11) -> list[Net]:
+          steps: int = 2000, seed: int = 11) -> list[Net]:
     """Networks fitted to a bounded sample of labelled documents that are not held out."""
     agreed = (labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("q")).where("k is not null and q is not null")
               .where(~held_out(F.col("k"))).groupBy("k").agg(F.min("q").alias("q"), F.max("q").alias("q2")).where("q = q2"))
