@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, mixing, quality, simhash, token_records, warc
+from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, token_records, warc
 from trackloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op9_warc", r"""
 with p as (select page_id, coalesce(html, '') as html from pages),
 f as (select html, min(page_id) as first_id from p group by html)
