@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, token_records, warc
+from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, token_records, warc
 from trackloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,8 @@ select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, arr
 from p join f using (html)""")
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digest(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.near_duplicate_passages(table(spark, sf_dir, "documents"))

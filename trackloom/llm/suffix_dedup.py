@@ -153,7 +153,7 @@ def _pack(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 raws.append(text.encode("utf-8", "surrogatepass") if text else b"")
-                size += len(raws[-1])
+                size += len(raws[-1]) + 16
                 if size >= BLOCK_BYTES:
                     yield pack(part, nth, ids, raws)
                     ids, raws, size, nth = [], [], 0, nth + 1
