@@ -73,26 +73,29 @@ def write_archives(pages: DataFrame, *, min_revisit_bytes: int = 0, roll_bytes:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    # Digests and ids decide; the payloads cross the network once, in the join.
     order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("i"))
-    first = (rows.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
-             .where("copies > 1").select(F.col("sha").alias("k"), F.col("first"), F.lit(True).alias("shared")))
-    # Rows that share both payload and the smallest id (repeated rows): only one is the response.
-    twice = (rows.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-             .select(F.col("sha").alias("k2"), F.col("page_id").alias("p2"), F.lit(True).alias("repeated")))
-    joined = (rows.join(first, rows.sha == F.col("k"), "left")
-              .join(twice, (rows.sha == F.col("k2")) & rows.page_id.eqNullSafe(F.col("p2")), "left"))
-    is_first = rows.page_id.eqNullSafe(F.col("first.i"))
-    marked = joined.select("page_id", "url", "html", "sha", "first", F.coalesce("repeated", F.lit(False)).alias("repeated"),
-                           (F.coalesce("shared", F.lit(False)) & (F.octet_length("html") >= min_revisit_bytes)).alias("shared"),
-                           F.coalesce(is_first, F.lit(True)).alias("is_first"))
-    # A revisit keeps no payload, so its text need not travel further than this stage.
-    single = marked.where("not (repeated and shared and is_first)").withColumn("nth", F.lit(1))
-    ties = marked.where("repeated and shared and is_first").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("sha", "page_id").orderBy(F.col("url").asc_nulls_last())))
-    revisit = F.col("shared") & (~F.col("is_first") | (F.col("nth") > 1))
-    final = single.unionByName(ties).select(
-        "page_id", "url", "html", revisit.alias("revisit"),
-        F.when(revisit, F.coalesce(F.col("first.i").cast("string"), F.lit("-"))).alias("refers_to"))
+    each = rows.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = (each.groupBy("sha").agg(F.min(F.struct(order.alias("o"), "n")).alias("first"), F.sum("n").alias("copies"))
+              .where("copies > 1").select(F.col("sha").alias("k"), F.col("first.o.i").alias("first_id"), (F.col("first.n") > 1).alias("tied"),
+                                          F.lit(True).alias("shared")))
+    joined = rows.join(groups, rows.sha == F.col("k"), "left")
+    shared = F.coalesce("shared", F.lit(False)) & (F.octet_length("html") >= min_revisit_bytes)
+    marked = joined.select("page_id", "url", "html", "sha", "first_id", shared.alias("shared"), F.coalesce("tied", F.lit(False)).alias("tied"),
+                           F.coalesce(F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(True)).alias("is_first"))
+    target = F.coalesce(F.col("first_id").cast("string"), F.lit("-"))
+
+    def decided(df: DataFrame, revisit: Column) -> DataFrame:
+        return df.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, target).alias("refers_to"))
+
+    clash = F.col("tied") & F.col("shared") & F.col("is_first")
+    if groups.where("tied").isEmpty():
+        final = decided(marked, F.col("shared") & ~F.col("is_first"))
+    else:
+        # Rows that share both payload and the smallest id: only the first by url is the response.
+        nth = F.row_number().over(Window.partitionBy("sha", "page_id").orderBy(F.col("url").asc_nulls_last()))
+        final = decided(marked.where(~clash), F.col("shared") & ~F.col("is_first")).unionAll(
+            decided(marked.where(clash).withColumn("nth", nth), F.col("nth") > 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(where)
