@@ -129,18 +129,19 @@ def copies_by_size(histogram: DataFrame, duals: DataFrame, cap: float) -> DataFr
         "source", "size", "n", "target", "source_size", (F.col("copies") + F.signum(F.col("missing")) * F.col("moved")).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (= size * copies), one row per row of ``docs``."""
-    sized = stored(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        n_words(F.col("text").cast("string")).alias("size")), "mix-sizes")
+def with_copies(sized: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``sized`` with source_size, target and the row's number of copies.
+
+    ``sized`` has doc_id, source, size and possibly the row itself, which travels along: no join on ids is needed.
+    """
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    histogram = stored(salted.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    # One row per (source, size, salt): all later tables come from it.
+    counts = stored(salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("rows")), "mix-counts")
+    histogram = stored(counts.groupBy("source", "size").agg(F.sum("rows").alias("n")), "mix-sizes")
     duals = balance(histogram, source_targets(histogram, weights, share, cap), cap=cap)
     plan = copies_by_size(histogram, duals, cap).withColumn("extra", F.col("copies") % F.col("n")).withColumn(
         "base", F.floor(F.col("copies") / F.col("n")).cast("long"))
     # Rank inside (source, size) by hash bucket, so that no group of equal sizes is ordered in one task.
-    counts = salted.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("rows"))
     by_salt = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("ahead", F.coalesce(F.sum("rows").over(by_salt), F.lit(0)))
     p, o = plan.alias("p"), offsets.alias("o")
@@ -149,10 +150,25 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
         F.least(F.greatest(F.col("extra") - F.col("ahead"), F.lit(0)), F.col("rows")).alias("extra"), "rows"), "mix-deal").alias("e")
     d = salted.alias("d")
     joined = d.join(deal, F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.size") == F.col("e.size")) & (F.col("d.salt") == F.col("e.salt")))
-    cols = [F.col("d.doc_id"), F.col("d.source").alias("source"), F.col("d.size").alias("size"), F.col("e.source_size"), F.col("e.target")]
+    cols = [F.col(f"d.{c}").alias(c) for c in sized.columns] + [F.col("e.source_size"), F.col("e.target")]
     settled = joined.where("extra = 0 or extra = rows").select(*cols, (F.col("base") + (F.col("extra") > 0).cast("long")).alias("copies"))
     split = joined.where("extra > 0 and extra < rows").select(*cols, F.col("d.salt").alias("salt"), "base", "extra")
     nth = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id"))
-    split = split.withColumn("nth", nth).select("doc_id", "source", "size", "source_size", "target",
-                                                (F.col("base") + (F.col("nth") <= F.col("extra")).cast("long")).alias("copies"))
-    return settled.unionByName(split).withColumn("taken", F.col("size") * F.col("copies"))
+    split = split.withColumn("copies", F.col("base") + (nth <= F.col("extra")).cast("long")).select(*settled.columns)
+    return settled.unionByName(split)
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (= size * copies), one row per row of ``docs``."""
+    sized = stored(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        n_words(F.col("text").cast("string")).alias("size")), "mix-sizes")
+    return with_copies(sized, weights=weights, share=share, cap=cap).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed_rows(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, all columns kept."""
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                        F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
+    taken = with_copies(sized, weights=weights, share=share, cap=cap).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

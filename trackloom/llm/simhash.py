@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trackloom.llm.common import by_runs, lowered_words, sliced, stored
 from trackloom.llm.components import Union, components, edge_batch
@@ -176,13 +177,38 @@ def links(nodes: DataFrame, *, radius: int = 4, hot: int = 4096, levels: int = 3
     return edges.unionAll(by_runs(pairs, ["path", "a", "b"], compare, "lo long, hi long"))
 
 
+def _groups(nodes: DataFrame, radius: int) -> DataFrame:
+    """fp and the smallest fingerprint ``c`` of its component."""
+    found = components(links(nodes, radius=radius))
+    return nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable by links."""
     marked = stored(fingerprints(docs, size), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    found = components(links(nodes, radius=radius))
-    placed = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("c"))
+    placed = _groups(nodes.select("fp"), radius).join(nodes, "fp")
     named = placed.groupBy("c").agg(F.min("first_id").alias("component_id"))
     named = placed.join(named, "c").select(F.col("fp").alias("k"), "component_id")
     return marked.join(named, marked.fp == F.col("k")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, size: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each component, all columns kept: that with the smallest doc_id, then the smallest hash of the row."""
+    names, at = docs.columns, docs.columns.index("text")
+    marked = StructType([*docs.schema.fields, StructField("fp", LongType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1000):
+            found = np.array([fingerprint(t, size) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*names, "fp"])
+
+    # The row as one column, so that its own columns may have any names.
+    found = docs.mapInArrow(mark, marked)
+    rows = stored(found.toDF(*[f"c{i}" for i in range(len(names))], "fp").select(
+        F.struct(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)]).alias("row"), "fp", F.monotonically_increasing_id().alias("place")), "marked")
+    each = rows.select("fp", F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("i"), F.xxhash64("row").alias("h"), F.col("place").alias("p")).alias("o"))
+    nodes = stored(each.groupBy("fp").agg(F.min("o").alias("o")), "nodes")
+    kept = _groups(nodes.select("fp"), radius).join(nodes, "fp").groupBy("c").agg(F.min("o").alias("o")).select(F.col("o.p").alias("place"))
+    return rows.join(kept, "place", "left_semi").select("row.*")
