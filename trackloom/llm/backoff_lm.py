@@ -18,7 +18,6 @@ Empty table: an empty result. Only doc_id and text are read, so other columns ma
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import by_runs, lowered_words, open_store, shared_folder, sliced, stored, tasks_for
+from trackloom.llm.packing import bucket_cuts, deflated, inflated, sorted_bytes, sorted_numbers
 
 BLOCK = "block long, scored boolean, counted boolean, n_words long, ids binary, lengths binary, vocabulary binary, words binary"
 BLOCK_BYTES = 24 << 20
@@ -36,38 +36,6 @@ BLOCK_BYTES = 24 << 20
 BUCKET_WORDS = 2 << 20
 
 
-def deflated(a: np.ndarray) -> bytes:
-    """An integer array by byte planes, so that equal high bytes nearly vanish."""
-    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1)
-
-
-def inflated(raw: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-
-
-def sorted_bytes(a: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences; only the byte planes in use, uncompressed since they are random."""
-    if not len(a):
-        return b""
-    # The first number goes in front, so that it doesn't widen the differences.
-    delta = np.diff(a, prepend=a[:1])
-    used = (int(delta.max()).bit_length() + 7) // 8
-    planes = delta.view(np.uint8).reshape(-1, 8).T[:used]
-    return a[:1].tobytes() + bytes([used]) + np.ascontiguousarray(planes).tobytes()
-
-
-def sorted_numbers(raw: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.empty(0, np.uint64)
-    used = raw[8]
-    delta = np.zeros((n, 8), np.uint8)
-    delta[:, :used] = np.frombuffer(raw, np.uint8, offset=9).reshape(used, n).T
-    delta = delta.reshape(-1).view(np.uint64)
-    delta[0] = np.frombuffer(raw[:8], np.uint64)[0]
-    return np.cumsum(delta, dtype=np.uint64)
-
-
 def joined_hash(left: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of an n-gram from that of all but its last word, and the last word's."""
     x = (left ^ (left >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word
@@ -152,10 +120,8 @@ class Block:
     def requests(self) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(bucket, number, n-grams, counts) of the current order."""
         unique, _, _, n = self.wanted()
-        bucket = (unique >> np.uint64(64 - self.bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(unique)], strict=True):
-            yield int(bucket[a]), int(b - a), sorted_bytes(unique[a:b]), deflated(n[a:b].astype(np.uint32))
+        for bucket, a, b in bucket_cuts(unique, self.bits):
+            yield bucket, b - a, sorted_bytes(unique[a:b]), deflated(n[a:b].astype(np.uint32))
 
     def scores(self, order: int, alpha: float, total: int) -> np.ndarray:
         """log10 score of each document."""

@@ -31,8 +31,8 @@ import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.backoff_lm import deflated, inflated, sorted_bytes, sorted_numbers
 from trackloom.llm.common import by_runs, open_store, runs, shared_folder, sliced, tasks_for
+from trackloom.llm.packing import bucket_cuts, deflated, inflated, sorted_bytes, sorted_numbers
 from trackloom.llm.suffix_sort import repeated
 
 BLOCK_BYTES = 16 << 20
@@ -228,11 +228,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, core: int = 100, hot:
         for batch in sliced(batches, 1):
             row = batch.to_pylist()[0]
             block = Block(row, length, core)
-            bucket = (block.pair_a >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for x, y in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+            for bucket, x, y in bucket_cuts(block.pair_a, bits):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([bucket[x]], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([y - x], pa.int64()), pa.array([sorted_bytes(block.pair_a[x:y])], pa.binary()),
+                    pa.array([bucket], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([y - x], pa.int64()), pa.array([sorted_bytes(block.pair_a[x:y])], pa.binary()),
                     pa.array([block.pair_b[x:y].tobytes()], pa.binary()), pa.array([deflated(np.minimum(block.pair_n[x:y], 2).astype(np.uint8))], pa.binary())],
                     ["bucket", "block", "n", "a", "b", "counts"])
 
