@@ -9,6 +9,7 @@ def brute(rows, threshold=0.9):
     units = []
     for _, v in rows:
         a = np.array(v, float) if v and None not in v else np.zeros(1)
+        a = a / max(abs(a).max(), 1e-300) if len(a) and np.isfinite(a).all() else a
         n = np.linalg.norm(a) if np.isfinite(a).all() else 0
         units.append(a / n if n else None)
     n = len(rows)
@@ -24,7 +25,7 @@ def brute(rows, threshold=0.9):
     for i, (vec_id, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(n) if comp[j] == comp[i] and rows[j][0] is not None]
         first = min(ids) if ids else None
-        out.append((vec_id, sum(link[i]), first, vec_id == first))
+        out.append((vec_id, int(sum(link[i])), first, vec_id == first))
     return sorted(out, key=repr)
 
 

@@ -47,7 +47,7 @@ def test_targets_bounds_and_totals(docs_of, seed):
         assert 0 <= r.copies <= 2 and r.taken == r.copies * r["size"]
         taken[r.source] += r.taken
     for s, t in want.items():
-        assert abs(taken[s] - t) <= max(0.01 * t, 30)
+        assert abs(taken[s] - t) <= max(0.01 * t, 10)
 
 
 def test_rates_are_exponentially_tilted(spark):
@@ -61,7 +61,7 @@ def test_rates_are_exponentially_tilted(spark):
         for r in mixing.balance(hist, targets, tolerance=1e-9).collect():
             import math
             got = sum(n * z * min(2.0, math.exp(r.lam * z / r["mean"])) for t, z, n in rows if t == r.source)
-            assert got == pytest.approx(r.target, rel=1e-4)
+            assert abs(got - r.target) <= 0.5 + 1e-4 * r.target
 
 
 def test_rows_are_repeated_whole(docs_of):

@@ -116,17 +116,20 @@ def copies_by_size(histogram: DataFrame, duals: DataFrame, cap: float) -> DataFr
     first = rated.withColumn("run", rounded)
     first = first.withColumn("copies", (F.col("run") - F.coalesce(F.lag("run").over(falling), F.lit(0))).cast("long"))
     first = first.withColumn("copies", F.least(F.greatest(F.col("copies"), F.lit(0)), most))
-    # What is missing (or too much) against the target goes to the smallest documents first.
+    # What is missing (or too much) against the target goes to the smallest documents first. The last size that takes part goes
+    # one copy too far, which turns the sign and leaves the rest to smaller documents; three rounds end with the nearest number.
     whole = Window.partitionBy("source")
-    first = first.withColumn("missing", F.round(F.col("target")).cast("long") - F.sum(F.col("copies") * F.col("size")).over(whole))
-    room = F.when(F.col("size") <= 0, F.lit(0)).when(F.col("missing") > 0, most - F.col("copies")).otherwise(F.col("copies"))
-    first = first.withColumn("room", room)
     rising = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(rising), F.lit(0))
-    fits = F.floor((F.abs("missing") - before) / F.col("size"))
-    moved = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("room"), fits))).otherwise(0)
-    return first.withColumn("moved", moved).select(
-        "source", "size", "n", "target", "source_size", (F.col("copies") + F.signum(F.col("missing")) * F.col("moved")).cast("long").alias("copies"))
+    for last in (False, False, True):
+        first = first.withColumn("missing", F.round(F.col("target")).cast("long") - F.sum(F.col("copies") * F.col("size")).over(whole))
+        room = F.when(F.col("size") <= 0, F.lit(0)).when(F.col("missing") > 0, most - F.col("copies")).otherwise(F.col("copies"))
+        first = first.withColumn("room", room)
+        before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(rising), F.lit(0))
+        fits = (F.abs("missing") - before) / F.col("size")
+        fits = F.round(fits).cast("long") if last else F.ceil(fits)
+        moved = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("room"), fits))).otherwise(0)
+        first = first.withColumn("moved", moved).withColumn("copies", (F.col("copies") + F.signum(F.col("missing")) * F.col("moved")).cast("long"))
+    return first.select("source", "size", "n", "target", "source_size", "copies")
 
 
 def with_copies(sized: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:

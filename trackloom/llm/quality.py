@@ -69,7 +69,8 @@ def passages(raws: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     total = len(out)
     byte_bag = bag_of[word_of]
     hist = np.bincount(byte_bag * N_BYTES + CLASS[data[at]], minlength=total * N_BYTES).reshape(total, N_BYTES)
-    n_bytes, n_words = np.maximum(hist.sum(1), 1), np.maximum(np.bincount(bag_of, minlength=total), 1)
+    in_bag = np.bincount(bag_of, minlength=total)
+    n_bytes, n_words = np.maximum(hist.sum(1), 1), np.maximum(in_bag, 1)
     head = np.flatnonzero(first)
     length = np.diff(np.append(head, len(at)))
     place = np.arange(len(at)) - head[word_of]
@@ -84,7 +85,7 @@ def passages(raws: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     out[:, :N_BYTES] = np.sqrt(hist / n_bytes[:, None])
     out[:, N_BYTES:] = np.stack([
         np.log1p(mean), np.sqrt(np.maximum(each(length.astype(float) ** 2) - mean ** 2, 0)) / (1 + mean), each(same), np.bincount(bag_of[mixed], minlength=total) / n_words,
-        each(capital), upper, np.minimum(n_words, words) / words], axis=1)
+        each(capital), upper, in_bag / words], axis=1)
     return out, bags
 
 
