@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import contracts as K
-from trackloom.schemas import FEATURES_25, FEATURES_45, LEGACY_FEATURES_29, LEGACY_FEATURES_49, WindowSettings
+from trackloom.schemas import FEATURES_25, FEATURES_45, FLOW_KINDS, WindowSettings
 from trackloom.sources import readers as I
 from trackloom.sources import sinks as O
 
@@ -62,18 +62,21 @@ def test_shards_hold_at_most_their_size(spark, tmp_path):
     assert max(r["count"] for r in sizes) <= 10 and sum(r["count"] for r in sizes) == 25
 
 
-def test_feature_lists_and_contract():
-    assert [len(x) for x in (FEATURES_25, FEATURES_45, LEGACY_FEATURES_29, LEGACY_FEATURES_49)] == [25, 45, 29, 49]
-    rec = K.feature_contract(True, "s1", {"window_size": 31})
-    K.validate_contract(rec, True, split_identifier="s1", settings={"window_size": 31})
-    with pytest.raises(ValueError, match="schema/order"):
-        K.validate_contract(rec, False)
-    with pytest.raises(ValueError, match="missing contract keys"):
-        K.validate_contract({"input_dim": 29}, False)
-    with pytest.raises(ValueError, match="split identifier"):
-        K.validate_contract(rec, True, split_identifier="s2")
-    with pytest.raises(ValueError, match="window_size"):
-        K.validate_contract(rec, True, settings={"window_size": 5})
+def test_feature_lists():
+    assert len(FEATURES_25) == 25 and len(FEATURES_45) == 45 == len(set(FEATURES_45))
+    assert sorted(set(FLOW_KINDS.values())) == ["flag", "magnitude", "signed"] and len(FLOW_KINDS) == 20
+
+
+def test_contract_travels_with_the_stored_table(spark, tmp_path):
+    facts = K.feature_facts(True, "s1", window_size=31)
+    K.stamped(spark.range(3), facts).write.parquet(str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert K.contract_differences(back, facts) == []
+    other = K.feature_facts(False, "s2", window_size=5)
+    assert [n for n, _, _ in K.contract_differences(back, other)] == ["columns", "split", "setting.window_size"]
+    with pytest.raises(ValueError, match="split: 's1' instead of 's2'"):
+        K.require_contract(back, other)
+    assert len(K.contract_differences(spark.range(1), facts)) == 4
 
 
 @pytest.mark.parametrize("kw", [{"size": 0}, {"stride": -1}, {"width": float("inf")}, {"flow_clip_px": 0.0}])
@@ -88,7 +91,7 @@ def test_alignment_reports_the_changed_value(spark):
     flow = spark.createDataFrame([("s1", "frame_1", 10., 20., .9, 25., 35., .8, 1., 2., 30., 40.)],
                                  "swing_id string, image_stem string, head_pred_x double, head_pred_y double, head_pred_conf double, tail_pred_x double, tail_pred_y double, tail_pred_conf double, bbox_x1 double, bbox_y1 double, bbox_x2 double, bbox_y2 double")
     assert K.verify_alignment(sel, flow, expected_frames=1, expected_swings=1)["frame_count"] == 1
-    with pytest.raises(ValueError, match="detector mismatch"):
+    with pytest.raises(ValueError, match="value_mismatches = 1"):
         K.verify_alignment(sel, flow.withColumn("tail_pred_y", F.lit(99.0)))
     with pytest.raises(ValueError, match="swing_count"):
         K.verify_alignment(sel, flow, expected_swings=2)

@@ -13,16 +13,16 @@ TWO_PI = 6.283185307179586
 
 
 def uniform(seed: int, purpose: str, *key: Column) -> Column:
-    """Uniform in [0, 1) with 32 bits."""
+    """Uniform in [0, 1) with 52 bits."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *[k.cast("string") for k in key])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / 4503599627370496.0
 
 
 def normal(seed: int, purpose: str, *key: Column) -> Column:
     """Standard normal (Box-Muller over two keyed uniforms)."""
     u1 = uniform(seed, purpose + ".r", *key)
     u2 = uniform(seed, purpose + ".a", *key)
-    return F.sqrt(-2.0 * F.log(u1 + 2.0 ** -33)) * F.cos(TWO_PI * u2)
+    return F.sqrt(-2.0 * F.log(u1 + 2.0 ** -53)) * F.cos(TWO_PI * u2)
 
 
 def integer(u: Column, lo: Column | int, hi: Column | int) -> Column:

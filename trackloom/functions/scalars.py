@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trackloom.schemas import VIEW_LABELS, VISIBILITIES
+from trackloom.schemas import FLOW_KINDS, VIEW_LABELS, VISIBILITIES
 
 INF = float("inf")
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -48,6 +48,17 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
+def padded(text: Column, width: int) -> Column:
+    """Zeros in front up to ``width``; longer text stays whole (lpad would cut it)."""
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
+def frame_number(text: Column) -> Column:
+    """Last digit group of the text, whole, as a key; 0 if there is none."""
+    groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9]+)"), 1)
+    return F.coalesce(F.try_element_at(groups, F.lit(-1)).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def frame_index_last6(text: Column) -> Column:
     """All digits of the text joined, last six kept; 0 if there are none."""
     digits = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9]", "")
@@ -166,13 +177,16 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
 
 
 def flow_feature(name: str, value: Column, clip: float) -> Column:
+    """A flow column by its kind: flags become 0 or 1, the others shares of ``clip``; missing is 0."""
     if not (0.0 < clip < INF):
-        raise ValueError("flow_clip_px must be finite and positive")
-    v = F.coalesce(value, F.lit(0.0))
-    if name.endswith("_valid") or name == "has_prev_flow":
-        return (v > 0).cast("double")
-    low = 0.0 if "mag" in name else -clip
-    return clamp(v, low, clip) / clip
+        raise ValueError(f"the clip length must be a positive number of pixels, not {clip}")
+    known = F.coalesce(value, F.lit(0.0))
+    by_kind = {
+        "flag": lambda: F.when(known > 0, 1.0).otherwise(0.0),
+        "magnitude": lambda: clamp(known / clip, 0.0, 1.0),
+        "signed": lambda: clamp(known / clip, -1.0, 1.0),
+    }
+    return by_kind[FLOW_KINDS[name]]()
 
 
 def known_visibility(text: Column) -> Column:
@@ -269,8 +283,35 @@ def hand_from_name(stem: Column) -> Column:
 
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """Decimal text (up to six digits) of a finite double: its exact binary value rounded half to even.
+
+    The fraction is taken in units of 2**-74, as two whole numbers; smaller bits exist only in numbers too small to reach half a digit.
+    """
+    v = value.cast("double")
+    size = F.abs(v)
+    whole = F.floor(size)
+    units = (size - whole) * F.lit(2.0 ** 52)
+    base = F.floor(units)
+    low = F.floor((units - base) * F.lit(2.0 ** 22))
+    exact = "decimal(38,0)"
+    one = F.lit(str(1 << 74)).cast(exact)
+    scaled = ((base.cast(exact) * F.lit(1 << 22).cast("decimal(7,0)")).cast(exact) + low.cast(exact)).cast(exact)
+    scaled = (scaled * F.lit(10 ** digits).cast("decimal(7,0)")).cast(exact)
+    rest = (scaled % one).cast(exact)
+    down = ((scaled - rest).cast(exact) / one).cast("bigint")
+    twice = (rest + rest).cast(exact)
+    up = (twice > one) | ((twice == one) & (down % 2 == 1))
+    part = down + up.cast("bigint")
+    carried = part >= 10 ** digits
+    text = F.concat(
+        F.when(v < 0, "-").otherwise(""), (whole.cast("decimal(38,0)") + carried.cast("int")).cast("string"), F.lit("."),
+        padded(F.when(carried, F.lit(0)).otherwise(part).cast("string"), digits))
+    return F.when(finite(v).isNotNull(), text).when(v.isNotNull(), v.cast("string"))
+
+
 def fixed6(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.format_string("%.6f", value.cast("double"))).otherwise("")
+    return F.coalesce(fixed_text(value, 6), F.lit(""))
 
 
 def array_quantile(sorted_values: Column, p: float) -> Column:

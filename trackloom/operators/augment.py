@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import keyed_random as R
 from trackloom.functions import scalars as S
+from trackloom.operators.quantiles import group_quantiles
 from trackloom.operators.sequence import with_positions
 from trackloom.operators.windows import explode_windows
 from trackloom.schemas import IMAGE_HEIGHT, IMAGE_WIDTH, WindowSettings
@@ -47,26 +48,27 @@ class CorruptionSettings:
 
 
 def time_steps(rows: DataFrame, keys: list[str], target_fps: float, source_fps: float) -> DataFrame:
-    """Keep-every-n step per group from the median gap of its first 300 finite times.
+    """Keep-every-n step per group from the median of all positive gaps between its finite times.
 
-    Needs ``pos``. At most 300 values per group reach the median; groups with fewer
-    than three times use ``source_fps``.
+    Needs ``pos``. Groups with fewer than three times use ``source_fps``.
     """
     default = 1
     if target_fps > 0 and source_fps > 0:
         default = F.greatest(F.lit(1), F.bround(F.lit(source_fps / target_fps)).cast("int"))
     if target_fps <= 0:
         return rows.select(*keys).distinct().withColumn("step", F.lit(1))
-    times = with_positions(
+    timed = with_positions(
         rows.filter(S.finite(F.col("time_sec")).isNotNull()).select(*keys, "time_sec", "pos"), keys,
-        [F.floor(F.col("pos") / 1024)], [F.col("pos")], pos="t_pos", total=None).filter(F.col("t_pos") < 300)
-    gap = F.col("time_sec") - F.lag("time_sec").over(Window.partitionBy(*keys).orderBy("t_pos"))
-    gaps = times.withColumn("gap", gap)
-    agg = gaps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("gap") > 0, F.col("gap")))).alias("g"))
-    med = S.array_median(F.col("g"))
-    inferred = F.greatest(F.lit(1), F.bround((1.0 / med) / target_fps).cast("int"))
-    found = agg.select(*keys, F.when((F.col("n") >= 3) & (F.size("g") > 0), inferred).alias("step"))
+        [F.floor(F.col("pos") / 1024)], [F.col("pos")], pos="t_pos", total=None)
+    # The time before the first one of a block is copied into it.
+    home = F.floor(F.col("t_pos") / 1024)
+    spread = timed.select("*", F.explode(F.when(F.col("t_pos") % 1024 == 1023, F.array(home, home + 1)).otherwise(F.array(home))).alias("__b"))
+    spread = spread.repartition(*keys, "__b").withColumn(
+        "gap", F.col("time_sec") - F.lag("time_sec").over(Window.partitionBy(*keys, "__b").orderBy("t_pos"))).filter(home == F.col("__b"))
+    med = group_quantiles(spread.filter("gap > 0"), keys, {"gap": F.col("gap")}, {"p50": 0.5})
+    counts = timed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    inferred = F.greatest(F.lit(1), F.bround((1.0 / F.col("gap_p50")) / target_fps).cast("int"))
+    found = counts.join(med, keys, "left").select(*keys, F.when((F.col("n") >= 3) & F.col("gap_p50").isNotNull(), inferred).alias("step"))
     return rows.select(*keys).distinct().join(found, keys, "left").withColumn("step", F.coalesce("step", F.lit(default)))
 
 
@@ -83,6 +85,9 @@ def clean_tracks(rows: DataFrame, *, target_fps: float = 60.0, source_fps: float
     numbered = materialised(with_positions(rows, keys, bins, order))
     stepped = numbered.join(time_steps(numbered, keys, target_fps, source_fps), keys)
     kept = stepped.filter((F.col("pos") % F.col("step") == 0) & (F.ceil(F.col("n") / F.col("step")) >= min_rows))
+    # A row's own image size comes before the default.
+    width, height = (F.coalesce(S.finite(F.col(c).cast("double")), F.lit(d)) if c in rows.columns else F.lit(d)
+                     for c, d in (("image_width", width), ("image_height", height)))
     pts = {c: S.finite(F.col(c)) for c in ("head_u", "head_v", "tail_u", "tail_v")}
     ok = S.batter_hand(F.col("batter_hand")) == "R"
     for e in pts.values():

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,12 +46,6 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
 
 
-def missing_entity_rows(df: DataFrame) -> DataFrame:
-    """Rows without a sequence id or without any frame name."""
-    stem = S.first_text(F.trim("image_stem"), F.trim("frame"))
-    return df.filter(S.blank_to_null(F.trim("swing_id")).isNull() | stem.isNull())
-
-
 def key_differences(selected: DataFrame, flow: DataFrame) -> DataFrame:
     """Frame keys on one side only, with the side they are missing from."""
     keys = ["swing_id", "image_stem"]
@@ -97,40 +92,55 @@ def box_mismatches(selected: DataFrame, flow: DataFrame) -> DataFrame:
 
 
 def alignment_counts(selected: DataFrame, flow: DataFrame) -> DataFrame:
-    """One row: frames, sequences and every kind of violation (0 when aligned)."""
+    """Frames, sequences and every kind of violation (0 when aligned), as (measure, value) rows.
+
+    One aggregate of the selected rows, one full join with the flow rows, and sums.
+    """
     keys = ["swing_id", "image_stem"]
-    frames = selected.filter(F.col("keypoint").isin("head", "tail")).groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    # one summary row per check, brought together by a keyed union rather than joins
-    def tally(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("measure"), "value")
-    per_swing = frames.groupBy("swing_id").agg(F.count(F.lit(1)).alias("c"))
-    parts = [
-        tally(frames, "frame_count"), tally(per_swing, "swing_count"),
-        tally(duplicate_keys(selected.filter(F.col("keypoint").isin("head", "tail")), [*keys, "keypoint"]), "duplicate_selected"),
-        tally(duplicate_keys(flow, keys), "duplicate_flow"),
-        tally(key_differences(selected.filter(F.col("keypoint").isin("head", "tail")), flow), "key_differences"),
-        tally(value_mismatches(selected, flow), "value_mismatches"),
-        tally(box_mismatches(selected, flow), "box_mismatches")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    points = [(k, f) for k in ("head", "tail") for f in PREDICTION_FIELDS]
+    pts = selected.filter(F.col("keypoint").isin("head", "tail"))
+    hit = {k: F.col("keypoint") == k for k in ("head", "tail")}
+    frames = pts.groupBy(*keys).agg(
+        F.lit(True).alias("here"),
+        *[F.count(F.when(h, 1)).alias(f"__n_{k}") for k, h in hit.items()],
+        *[F.max(F.when(hit[k], F.struct(F.col(f).alias("v"))))["v"].alias(f"__s_{k}_{f}") for k, f in points],
+        *[e for f in BOX_FIELDS for e in (F.min(S.finite(F.col(f))).alias(f"__lo_{f}"), F.max(S.finite(F.col(f))).alias(f"__hi_{f}"))])
+    other = flow.select(*keys, F.lit(True).alias("there"), *[f"{k}_{f}" for k, f in points], *BOX_FIELDS)
+
+    def times(conditions: list) -> Column:
+        total = F.lit(0).cast("bigint")
+        for c in conditions:
+            total = total + F.coalesce(c, F.lit(False)).cast("bigint")
+        return total
+
+    pair = F.col("here").isNotNull() & F.col("there").isNotNull()
+    box = [F.coalesce(F.col(f"__lo_{f}") != F.col(f"__hi_{f}"), F.lit(False)) | ~_same(F.col(f"__lo_{f}"), F.col(f)) for f in BOX_FIELDS]
+    rows = frames.join(other, keys, "full").select(
+        *keys, "here", "there", times([F.col("__n_head") > 1, F.col("__n_tail") > 1]).alias("twice"),
+        F.when(pair, times([~_same(F.col(f"__s_{k}_{f}"), F.col(f"{k}_{f}")) for k, f in points])).otherwise(0).alias("value"),
+        F.when(pair, times(box)).otherwise(0).alias("box"))
+    per_key = rows.groupBy(*keys).agg(
+        F.max(F.col("here").isNotNull().cast("int")).alias("frame"), F.count("there").alias("flow"), F.max("twice").alias("twice"),
+        F.sum("value").alias("value"), F.sum("box").alias("box"),
+        F.max(F.col("there").isNull().cast("int")).alias("missing"), F.max(F.col("here").isNull().cast("int")).alias("extra"))
+    per_swing = per_key.groupBy("swing_id").agg(
+        F.sum("frame").alias("frames"), F.max("frame").alias("swing"), F.sum("twice").alias("twice"),
+        F.sum((F.col("flow") > 1).cast("int")).alias("flow"), F.sum(F.col("missing") + F.col("extra")).alias("keys"),
+        F.sum("value").alias("value"), F.sum("box").alias("box"))
+    names = {"frame_count": "frames", "swing_count": "swing", "duplicate_selected": "twice", "duplicate_flow": "flow",
+             "key_differences": "keys", "value_mismatches": "value", "box_mismatches": "box"}
+    total = per_swing.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for n, c in names.items()])
+    return total.select(F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names])))
 
 
 def verify_alignment(selected: DataFrame, flow: DataFrame, *, expected_frames: int | None = None,
                      expected_swings: int | None = None) -> dict[str, int]:
-    """Raise on the first kind of violation; returns the counts otherwise."""
+    """The counts of an aligned pair; otherwise an error that names every violation."""
     counts = {r["measure"]: r["value"] for r in alignment_counts(selected, flow).collect()}
-    messages = {
-        "duplicate_selected": "duplicate selected detector key", "duplicate_flow": "duplicate flow frame key",
-        "key_differences": "selected/flow key mismatch", "value_mismatches": "detector mismatch",
-        "box_mismatches": "detector bbox mismatch"}
-    for name, text in messages.items():
-        if counts[name]:
-            raise ValueError(f"{text}: {counts[name]}")
-    for name, want in (("frame_count", expected_frames), ("swing_count", expected_swings)):
-        if want is not None and counts[name] != want:
-            raise ValueError(f"{name} mismatch: {counts[name]} != {want}")
+    wanted = {"frame_count": expected_frames, "swing_count": expected_swings}
+    wrong = [f"{n} = {v} (want {wanted.get(n, 0)})" for n, v in counts.items() if wanted.get(n, 0) is not None and v != wanted.get(n, 0)]
+    if wrong:
+        raise ValueError("selected rows and flow rows are not aligned: " + "; ".join(wrong))
     return counts
 
 
@@ -166,32 +176,33 @@ def split_overlaps(assigned: DataFrame) -> DataFrame:
     return pairs.groupBy("swing_id").agg(F.count(F.lit(1)).alias("splits")).filter(F.col("splits") > 1)
 
 
-def feature_contract(use_flow: bool, split_identifier: str, settings: Mapping[str, object]) -> dict:
-    """Record stored beside a feature table and checked when it is read."""
-    if not split_identifier:
-        raise ValueError("split_identifier is required")
+CONTRACT_KEY = "trackloom.contract"
+
+
+def feature_facts(use_flow: bool, split: str, **settings: object) -> dict[str, str]:
+    """What a reader of a feature table relies on, as flat name-value pairs."""
     names = FEATURES_45 if use_flow else FEATURES_25
-    return {
-        "feature_schema_version": FEATURE_SCHEMA_VERSION, "feature_schema": list(names), "input_dim": len(names),
-        "split_identifier": str(split_identifier), "important_settings": dict(settings)}
+    facts = {"version": FEATURE_SCHEMA_VERSION, "columns": ",".join(names), "split": split}
+    return facts | {f"setting.{k}": json.dumps(v) for k, v in settings.items()}
 
 
-def validate_contract(record: Mapping, use_flow: bool, *, split_identifier: str | None = None,
-                      settings: Mapping[str, object] | None = None) -> Mapping:
-    want = feature_contract(use_flow, split_identifier or "any", settings or {})
-    missing = [k for k in want if k not in record]
-    if missing:
-        raise ValueError(f"legacy or incomplete record; missing contract keys: {missing}")
-    for key, text in (("feature_schema_version", "feature schema version mismatch"),
-                      ("feature_schema", "feature schema/order mismatch"), ("input_dim", "input_dim mismatch")):
-        if record[key] != want[key]:
-            raise ValueError(text)
-    if split_identifier is not None and record["split_identifier"] != split_identifier:
-        raise ValueError("split identifier mismatch")
-    for key, value in (settings or {}).items():
-        if record["important_settings"].get(key) != value:
-            raise ValueError(f"setting mismatch for {key}: {record['important_settings'].get(key)!r} != {value!r}")
-    return record
+def stamped(df: DataFrame, facts: Mapping[str, str]) -> DataFrame:
+    """The table with ``facts`` in the metadata of its first column, which Spark's writers store with the schema."""
+    first = df.columns[0]
+    return df.withMetadata(first, {**df.schema[first].metadata, CONTRACT_KEY: json.dumps(dict(facts))})
+
+
+def contract_differences(df: DataFrame, facts: Mapping[str, str]) -> list[tuple[str, str | None, str | None]]:
+    """(name, expected, found) for each of ``facts`` that the table's own record contradicts or lacks."""
+    found = json.loads(df.schema[0].metadata.get(CONTRACT_KEY, "{}"))
+    return [(name, want, found.get(name)) for name, want in facts.items() if found.get(name) != want]
+
+
+def require_contract(df: DataFrame, facts: Mapping[str, str]) -> DataFrame:
+    wrong = contract_differences(df, facts)
+    if wrong:
+        raise ValueError("feature table differs from what is expected: " + "; ".join(f"{n}: {f!r} instead of {w!r}" for n, w, f in wrong))
+    return df
 
 
 def require_feature_order(df: DataFrame, use_flow: bool) -> DataFrame:
@@ -199,5 +210,5 @@ def require_feature_order(df: DataFrame, use_flow: bool) -> DataFrame:
     names = list(FEATURES_45 if use_flow else FEATURES_25)
     have = [c for c in df.columns if c in set(names)]
     if have != names:
-        raise ValueError("feature schema/order mismatch")
+        raise ValueError(f"feature columns are {have}, expected {names}")
     return df

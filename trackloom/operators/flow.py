@@ -106,15 +106,26 @@ def region_stats(frames: DataFrame, fields: DataFrame, *, radius: int = 8, pad:
     return out.withColumns(cols).drop("fx", "fy", "width", "height", *[f"{r}_{x}" for r in FLOW_REGIONS for x in ("box", "stats")])
 
 
+def require_single(df: DataFrame, keys: list[str], what: str) -> None:
+    """Raise if a key occurs twice; a merge on it would multiply rows."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"{what}: repeated keys, among them {[tuple(r)[:-1] for r in twice]}")
+
+
 def merge_local(wide: DataFrame, local: DataFrame) -> DataFrame:
-    """Left join on (image_stem, swing_id, frame); echoes of the detector are left out."""
+    """One-to-one left join on (image_stem, swing_id, frame); echoes of the detector are left out."""
+    for side, what in ((wide, "observations"), (local, "local flow")):
+        require_single(side, ["image_stem", "swing_id", "frame"], what)
     echo = ["head_pred_x", "head_pred_y", "head_pred_conf", "tail_pred_x", "tail_pred_y", "tail_pred_conf",
             "bbox_conf", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "flow_file"]
     return wide.join(local.drop(*echo), ["image_stem", "swing_id", "frame"], "left")
 
 
 def merge_global(wide: DataFrame, stats: DataFrame) -> DataFrame:
-    """Left join of prefixed global statistics on (swing_id, frame_idx)."""
+    """One-to-one left join of prefixed global statistics on (swing_id, frame_idx)."""
+    for side, what in ((wide, "observations"), (stats, "global flow")):
+        require_single(side, ["swing_id", "frame_idx"], what)
     names = ["has_prev_flow", "prev_frame_idx", "flow_file", *GLOBAL_FLOW_STATS]
     g = stats.withColumnsRenamed({n: f"global_{n}" for n in names})
     keep = ["swing_id", "frame_idx", "frame_name", *[f"global_{n}" for n in names]]

@@ -14,7 +14,6 @@ from trackloom.schemas import BAT_MARKERS, BODY_MARKERS
 
 FOCAL_MM, SENSOR_MM, DISTANCE_SCALE = 35.0, 36.0, 5.0
 CAMERA_FIELDS = ("yaw", "pitch", "roll", "zoom", "pan_x", "pan_y")
-MAX_BROADCAST_CAMERAS = 10_000
 
 
 def valid_xyz(x: Column, y: Column, z: Column) -> Column:

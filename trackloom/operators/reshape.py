@@ -34,7 +34,7 @@ def frames_with_both_points(long: DataFrame, line: str | None = None) -> DataFra
     out = picked.filter(F.col("head").isNotNull() & F.col("tail").isNotNull())
     cols: list[Column] = [
         F.col("swing_id"), F.col("image_stem"),
-        S.frame_index_last6(S.first_text(F.col("head.frame"), F.col("image_stem"))).alias("frame_idx")]
+        S.frame_number(S.first_text(F.col("head.frame"), F.col("image_stem"))).alias("frame_idx")]
     for k in KEYPOINTS:
         cols += [F.col(f"{k}.{f}").cast("double").alias(f"{k}_{f}") for f in ("gt_x", "gt_y", "pred_x", "pred_y", "pred_conf")]
         cols += [S.known_visibility(F.col(f"{k}.visibility")).alias(f"{k}_visibility"),
@@ -121,7 +121,7 @@ def visibility_from_labels(df: DataFrame, line: str) -> DataFrame:
     """(sequence, frame) -> tail visibility; any text is taken as it is."""
     text = S.first_text(F.col("frame"), F.col("image_stem"))
     rows = df.filter(S.blank_to_null(F.col("swing_id")).isNotNull() & text.rlike("[0-9]")).select(
-        "swing_id", S.frame_index_last6(text).alias("frame_idx"),
+        "swing_id", S.frame_number(text).alias("frame_idx"),
         F.coalesce(S.blank_to_null(F.col("tail_visibility")), F.lit("fully_visible")).alias("visibility"), line)
     return last_row_wins(rows, ["swing_id", "frame_idx"], line).drop(line)
 
@@ -131,6 +131,6 @@ def visibility_from_details(long: DataFrame, line: str) -> DataFrame:
     label = F.coalesce(S.blank_to_null(F.col("visibility")), F.lit("fully_visible"))
     rows = long.filter((F.col("keypoint") == "tail") & S.blank_to_null(F.col("swing_id")).isNotNull()
                        & (label == S.known_visibility(label))).select(
-        "swing_id", S.frame_index_last6(S.first_text(F.col("frame"), F.col("image_stem"))).alias("frame_idx"),
+        "swing_id", S.frame_number(S.first_text(F.col("frame"), F.col("image_stem"))).alias("frame_idx"),
         label.alias("visibility"), line)
     return last_row_wins(rows, ["swing_id", "frame_idx"], line).drop(line)

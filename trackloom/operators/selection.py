@@ -168,11 +168,12 @@ def screen_outliers(selected: DataFrame, limits: ScreenSettings = ScreenSettings
         "center_outlier": F.coalesce(F.col("enough") & (d > t), F.lit(False)),
     })
     lo, co = F.col("length_outlier"), F.col("center_outlier")
-    both = F.format_string("length_and_center_outlier:length_ratio=%.3f,center_dist=%.1f,center_threshold=%.1f", r, d, t)
+    length = F.concat(F.lit("length_ratio="), S.fixed_text(r, 3))
+    centre = F.concat(F.lit("center_dist="), S.fixed_text(d, 1), F.lit(",center_threshold="), S.fixed_text(t, 1))
     reason = (
-        F.when(lo & co, both)
-        .when(lo, F.format_string("length_outlier:length_ratio=%.3f", r))
-        .when(co, F.format_string("center_outlier:center_dist=%.1f,center_threshold=%.1f", d, t))
+        F.when(lo & co, F.concat(F.lit("length_and_center_outlier:"), length, F.lit(","), centre))
+        .when(lo, F.concat(F.lit("length_outlier:"), length))
+        .when(co, F.concat(F.lit("center_outlier:"), centre))
         .when(F.col("chosen").isNotNull() & (F.col("neighbors") < limits.min_neighbors), "not_enough_neighbors")
         .otherwise("")
     )

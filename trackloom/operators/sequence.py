@@ -54,7 +54,8 @@ def with_positions(
     starts = keyed.groupBy(*keys).agg(*sizes).select(*keys, *offsets)
 
     inside = Window.partitionBy(*keys).orderBy(*order)
-    ranked = keyed.withColumn("__rank", F.row_number().over(inside) - 1)
+    # Dealt out by bin, whatever exchange came before, so that a sequence is no single task.
+    ranked = keyed.repartition(*keys).withColumn("__rank", F.row_number().over(inside) - 1)
     if flag is not None:
         ranked = ranked.withColumn(
             "__rank_flags",
@@ -75,12 +76,14 @@ def frame_positions(df: DataFrame, seq: str = "swing_id", **kwargs) -> DataFrame
 
 
 def with_halo(
-    df: DataFrame, *, before: int, after: int, pos: str = "pos", rows: int = BLOCK_ROWS
+    df: DataFrame, *, before: int, after: int, pos: str = "pos", rows: int = BLOCK_ROWS, seq: str = "swing_id"
 ) -> DataFrame:
     """Assign rows to blocks and copy edge rows into the neighbouring block.
 
     Adds ``block`` and ``is_halo``. Each block then also holds the ``before`` rows
-    that precede it and the ``after`` rows that follow it.
+    that precede it and the ``after`` rows that follow it. Rows are dealt out by
+    (sequence, block): a window over blocks would also accept an earlier exchange by
+    sequence alone, and then a long sequence would be one task.
     """
     if before > rows or after > rows:
         raise ValueError("halo must not be longer than a block")
@@ -95,6 +98,7 @@ def with_halo(
         .withColumn("block", F.explode(targets))
         .withColumn("is_halo", F.col("block") != F.col("__home"))
         .drop("__home")
+        .repartition(seq, "block")
     )
 
 
@@ -124,7 +128,7 @@ def fill_linear(
             F.last(f"__f_{c}", ignorenulls=True).over(behind).alias(f"__cn_{c}"))])
     up = block_window(seq, pos).rowsBetween(Window.unboundedPreceding, 0)
     down = block_window(seq, pos, descending=True).rowsBetween(Window.unboundedPreceding, 0)
-    out = blocks.withColumns({
+    out = blocks.repartition(seq, "block").withColumns({
         **{f"__p_{c}": F.last(known[c], ignorenulls=True).over(up) for c in cols},
     }).withColumns({f"__n_{c}": F.last(known[c], ignorenulls=True).over(down) for c in cols})
     out = out.join(carried, [seq, "block"], "left")

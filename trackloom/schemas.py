@@ -13,50 +13,34 @@ WINDOW_STRIDE = 5
 
 # Names and orders below are part of the data format.
 FEATURE_SCHEMA_VERSION = "clean-observation-v1"
-DETECTOR_FEATURES = (
-    "head_x_norm", "head_y_norm", "tail_x_norm", "tail_y_norm",
-    "head_conf", "tail_conf", "head_valid", "tail_valid",
-)
-VECTOR_FEATURES = ("bat_dx_norm", "bat_dy_norm")
-MOTION_FEATURES = (
-    "bat_length_over_image_diagonal",
-    "bat_length_change_over_image_diagonal",
-    "bat_unit_x",
-    "bat_unit_y",
-    "bat_direction_change_1_minus_cos",
-    "head_speed_over_image_diagonal",
-    "tail_speed_over_image_diagonal",
-    "head_acceleration_over_image_diagonal",
-    "tail_acceleration_over_image_diagonal",
-)
-TIME_FEATURES = ("window_time_minus1_to_plus1",)
 VIEW_LABELS = ("1b_side", "front", "3b_side", "home_side", "random")
-VIEW_FEATURES = tuple(f"view_{label}" for label in VIEW_LABELS)
 FEATURES_25 = (
-    DETECTOR_FEATURES + VECTOR_FEATURES + MOTION_FEATURES + TIME_FEATURES + VIEW_FEATURES
-)
-LEGACY_VISIBILITY_FEATURES = (
-    "tail_visibility_fully_visible",
-    "tail_visibility_partially_occluded",
-    "tail_visibility_fully_occluded",
-    "tail_visibility_ignore",
+    "head_x_norm", "head_y_norm", "tail_x_norm", "tail_y_norm", "head_conf", "tail_conf", "head_valid", "tail_valid",
+    "bat_dx_norm", "bat_dy_norm",
+    "bat_length_over_image_diagonal", "bat_length_change_over_image_diagonal", "bat_unit_x", "bat_unit_y",
+    "bat_direction_change_1_minus_cos", "head_speed_over_image_diagonal", "tail_speed_over_image_diagonal",
+    "head_acceleration_over_image_diagonal", "tail_acceleration_over_image_diagonal",
+    "window_time_minus1_to_plus1",
+    "view_1b_side", "view_front", "view_3b_side", "view_home_side", "view_random",
 )
-LEGACY_FEATURES_29 = (
-    DETECTOR_FEATURES + VECTOR_FEATURES + MOTION_FEATURES
-    + LEGACY_VISIBILITY_FEATURES + TIME_FEATURES + VIEW_FEATURES
-)
-
 FLOW_REGIONS = ("head", "tail", "bbox")
-FLOW_SOURCE_COLUMNS = ("has_prev_flow", "head_valid", "tail_valid", "bbox_valid") + tuple(
-    f"{region}_flow_{stat}"
-    for region in FLOW_REGIONS + ("global",)
-    for stat in ("x_mean", "y_mean", "mag_mean", "mag_p95")
+FLOW_SOURCE_COLUMNS = (
+    "has_prev_flow", "head_valid", "tail_valid", "bbox_valid",
+    "head_flow_x_mean", "head_flow_y_mean", "head_flow_mag_mean", "head_flow_mag_p95",
+    "tail_flow_x_mean", "tail_flow_y_mean", "tail_flow_mag_mean", "tail_flow_mag_p95",
+    "bbox_flow_x_mean", "bbox_flow_y_mean", "bbox_flow_mag_mean", "bbox_flow_mag_p95",
+    "global_flow_x_mean", "global_flow_y_mean", "global_flow_mag_mean", "global_flow_mag_p95",
 )
 FLOW_FEATURES = (
     "has_prev_flow", "head_flow_region_valid", "tail_flow_region_valid", "bbox_flow_region_valid",
-) + tuple(f"{name}_clipped_norm" for name in FLOW_SOURCE_COLUMNS[4:])
+    "head_flow_x_mean_clipped_norm", "head_flow_y_mean_clipped_norm", "head_flow_mag_mean_clipped_norm", "head_flow_mag_p95_clipped_norm",
+    "tail_flow_x_mean_clipped_norm", "tail_flow_y_mean_clipped_norm", "tail_flow_mag_mean_clipped_norm", "tail_flow_mag_p95_clipped_norm",
+    "bbox_flow_x_mean_clipped_norm", "bbox_flow_y_mean_clipped_norm", "bbox_flow_mag_mean_clipped_norm", "bbox_flow_mag_p95_clipped_norm",
+    "global_flow_x_mean_clipped_norm", "global_flow_y_mean_clipped_norm", "global_flow_mag_mean_clipped_norm", "global_flow_mag_p95_clipped_norm",
+)
+# What each flow column is: a yes-or-no flag, a length, or a signed component.
+FLOW_KINDS = dict(zip(FLOW_SOURCE_COLUMNS, ("flag",) * 4 + ("signed", "signed", "magnitude", "magnitude") * 4, strict=True))
 FEATURES_45 = FEATURES_25 + FLOW_FEATURES
-LEGACY_FEATURES_49 = LEGACY_FEATURES_29 + FLOW_FEATURES
 
 KEYPOINTS = ("head", "tail")
 AUX_KEYPOINT = "tail_visible_aux"

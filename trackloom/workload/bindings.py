@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.functions import scalars as S
 from trackloom.operators.sequence import with_positions
 from trackloom.schemas import DETECTION_TYPE
 
@@ -62,7 +63,7 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = with_positions(
         base, ["swing_id"], [F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)],
         [F.col("ts"), F.col("event_id")], pos="rn", total=None)
-    frame = F.lpad((F.col("rn") + 1).cast("string"), 6, "0")
+    frame = S.padded((F.col("rn") + 1).cast("string"), 6)
     return numbered.select(
         F.concat_ws("_", "swing_id", frame).alias("image_stem"), "swing_id", "view", "batter_side",
         F.concat(frame, F.lit(".jpg")).alias("frame"), (F.col("rn") + 1).cast("int").alias("frame_idx"),
@@ -106,8 +107,8 @@ cte("track_base", "select event_id, ts, event_type, " + _sql_cols(_TRACK_BASE) +
     ", row_number() over (partition by user_id order by ts, event_id) as rn from "
     "(select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events)")
 cte("track",
-    "select swing_id || '_' || lpad(cast(rn as varchar), 6, '0') as image_stem, swing_id, view, batter_side, "
-    "lpad(cast(rn as varchar), 6, '0') || '.jpg' as frame, cast(rn as int) as frame_idx, "
+    "select swing_id || '_' || lpad(cast(rn as varchar), cast(greatest(6, length(cast(rn as varchar))) as int), '0') as image_stem, swing_id, view, batter_side, "
+    "lpad(cast(rn as varchar), cast(greatest(6, length(cast(rn as varchar))) as int), '0') || '.jpg' as frame, cast(rn as int) as frame_idx, "
     + ", ".join(f"cast({e} as {'double' if n.split('_')[-1] in _D else 'varchar'}) as {n}"
                 for n, e in _TRACK_COLUMNS.items())
     + ", cast(1 + event_id % 3 as int) as detection_rank, event_id from track_base", "track_base")
@@ -115,7 +116,6 @@ cte("track",
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long rows (frame, keypoint) in the 22-column layout."""
-    from trackloom.functions import scalars as S
     from trackloom.schemas import DETAIL_COLUMNS
     t = track(spark, sf_dir)
     both = []
@@ -176,7 +176,7 @@ _NUM = {
 _RECORD = {
     "swing_id": "concat('swing_', cast(o_custkey as string))",
     "frame_no": "case when o_orderkey % 29 <> 0 then cast(datediff('day', timestamp '1995-01-01 00:00:00', o_orderdate) as int) end",
-    "frame_name": "lpad(cast(o_orderkey as string), 9, '0')",
+    "frame_name": "lpad(cast(o_orderkey as string), cast(greatest(9, length(cast(o_orderkey as string))) as int), '0')",
 }
 
 
@@ -211,13 +211,13 @@ cte("candidates",
     "bbox_conf as conf, hc, tc, hx * 1920 as hx, hy * 1080 as hy, tx * 1920 as tx, ty * 1080 as ty, "
     "(hx + tx) / 2 * 1920 as cx, (hy + ty) / 2 * 1080 as cy, abs(hx - tx) + 0.02e0 as bw, abs(hy - ty) + 0.02e0 as bh "
     "from (select l_orderkey, l_linenumber, " + _sql_cols(_NUM) + " from lineitem)")
-cte("records", "select o_orderkey, " + _sql_cols(_R) + ", concat('swing_', cast(o_custkey as varchar), '_', lpad(cast(o_orderkey as varchar), 9, '0')) as image_stem from orders")
+cte("records", "select o_orderkey, " + _sql_cols(_R) + ", concat('swing_', cast(o_custkey as varchar), '_', lpad(cast(o_orderkey as varchar), cast(greatest(9, length(cast(o_orderkey as varchar))) as int), '0')) as image_stem from orders")
 
 # --- annotations for the candidate frames ---------------------------------------
 
 _GT = {
     "swing_id": "concat('swing_', cast(o_custkey as string))",
-    "frame": "concat(lpad(cast(o_orderkey as string), 9, '0'), '.png')",
+    "frame": "concat(lpad(cast(o_orderkey as string), cast(greatest(9, length(cast(o_orderkey as string))) as int), '0'), '.png')",
     "head_visibility": "case when o_orderkey % 4 = 0 then 'partially_occluded' else 'fully_visible' end",
     "tail_visibility": "case o_orderpriority when '1-URGENT' then 'fully_visible' when '2-HIGH' then 'partially_occluded' "
                        "when '5-LOW' then 'ignore' else 'fully_occluded' end",
@@ -251,8 +251,8 @@ def flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").selectExpr(*[f"{x} as {n}" for n, x in _FLOW.items()], "embedding")
     return e.select(
         "swing_id", (F.col("frame_idx") - 1).alias("prev_frame_idx"), "frame_idx",
-        F.concat(F.lit("flow/"), "swing_id", F.lit("/"), F.lpad((F.col("frame_idx") - 1).cast("string"), 6, "0"),
-                 F.lit("_to_"), F.lpad(F.col("frame_idx").cast("string"), 6, "0"), F.lit(".npy")).alias("flow_file"),
+        F.concat(F.lit("flow/"), "swing_id", F.lit("/"), S.padded((F.col("frame_idx") - 1).cast("string"), 6),
+                 F.lit("_to_"), S.padded(F.col("frame_idx").cast("string"), 6), F.lit(".npy")).alias("flow_file"),
         F.lit(8).alias("height"), F.lit(8).alias("width"),
         F.transform("embedding", lambda v: v.cast("double") * 10).alias("fx"),
         F.transform(F.reverse("embedding"), lambda v: v.cast("double") * 10).alias("fy"))
@@ -261,8 +261,8 @@ def flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 cte("flow_fields", "select " + _sql_cols(_FLOW).replace("as string", "as varchar") + ", "
     "list_transform(embedding, lambda v: cast(v as double) * 10) as fx, "
     "list_transform(list_reverse(embedding), lambda v: cast(v as double) * 10) as fy from embeddings")
-cte("flow_cat", "select *, frame_idx - 1 as prev_frame_idx, 'flow/' || swing_id || '/' || lpad(cast(frame_idx - 1 as varchar), 6, '0') || '_to_' || "
-    "lpad(cast(frame_idx as varchar), 6, '0') || '.npy' as flow_file from flow_fields", "flow_fields")
+cte("flow_cat", "select *, frame_idx - 1 as prev_frame_idx, 'flow/' || swing_id || '/' || lpad(cast(frame_idx - 1 as varchar), cast(greatest(6, length(cast(frame_idx - 1 as varchar))) as int), '0') || '_to_' || "
+    "lpad(cast(frame_idx as varchar), cast(greatest(6, length(cast(frame_idx as varchar))) as int), '0') || '.npy' as flow_file from flow_fields", "flow_fields")
 cte("flow_pixels", "select swing_id, frame_idx, unnest(range(64)) as i, unnest(fx) as fx, unnest(fy) as fy from flow_fields", "flow_fields")
 
 # --- markers and cameras ---------------------------------------------------------------
@@ -303,7 +303,7 @@ cte("markers", " union all ".join(
 
 _CAMERA = {
     "rig": "n_regionkey",
-    "camera_id": "concat('cam_', lpad(cast(n_nationkey as string), 3, '0'))",
+    "camera_id": "concat('cam_', lpad(cast(n_nationkey as string), cast(greatest(3, length(cast(n_nationkey as string))) as int), '0'))",
     "camera_type": "'configured'",
     "camera_name": "case n_nationkey % 4 when 0 then 'view_1B_side' when 1 then 'view_front' when 2 then 'view_3B_side' else 'view_home' end",
     "yaw_lo": "14.4e0 * n_nationkey", "yaw_hi": "14.4e0 * n_nationkey + 5",
@@ -334,12 +334,12 @@ def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("l_linenumber", "l_extendedprice", line.alias("line")))).alias("l"))
     return lists.select(
         F.concat(F.lit("run/labels/swing_"), (F.col("l_orderkey") % 1000).cast("string"), F.lit("_"),
-                 F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lit(".txt")).alias("path"),
+                 S.padded(F.col("l_orderkey").cast("string"), 9), F.lit(".txt")).alias("path"),
         F.concat(F.array_join("l.line", "\n"), F.lit("\n\n")).alias("text"))
 
 
 cte("label_lines",
-    "select 'swing_' || (l_orderkey % 1000) || '_' || lpad(cast(l_orderkey as varchar), 9, '0') as stem, l_partkey, l_suppkey, "
+    "select 'swing_' || (l_orderkey % 1000) || '_' || lpad(cast(l_orderkey as varchar), cast(greatest(9, length(cast(l_orderkey as varchar))) as int), '0') as stem, l_partkey, l_suppkey, "
     "l_discount, l_tax, l_quantity, l_linenumber, "
     "row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice, l_partkey) as line_no from lineitem "
     "where l_linenumber not in (4, 5)")

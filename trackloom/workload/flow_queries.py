@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackloom.operators import contracts as K
@@ -226,7 +228,11 @@ def assert_required_columns(spark, d):
 
 @query("feature_contract", "select 25 as width, count(*) as rows from features", "features")
 def feature_contract(spark, d):
+    """The feature table is stamped, stored, read back and checked."""
     from trackloom.operators.windows import observation_windows
-    record = K.validate_contract(K.feature_contract(False, "given", {"window_size": 31}), False, split_identifier="given", settings={"window_size": 31})
-    wins = K.require_feature_order(observation_windows(X.tracked(spark, d)), False)
-    return wins.agg(F.count(F.lit(1)).alias("rows")).withColumn("width", F.lit(record["input_dim"]))
+    from trackloom.session import checkpoint_folder
+    facts = K.feature_facts(False, "given", window_size=31)
+    where = f"{checkpoint_folder(spark)}/features-{uuid.uuid4().hex}"
+    K.stamped(observation_windows(X.tracked(spark, d)), facts).write.parquet(where)
+    stored = K.require_contract(K.require_feature_order(spark.read.parquet(where), False), facts)
+    return stored.agg(F.count(F.lit(1)).alias("rows")).withColumn("width", F.lit(len(facts["columns"].split(","))))

@@ -68,7 +68,7 @@ def scalar_stats(spark, d):
        + ", ".join(f"{r(f'avg(case when abs(dx) > {t} then 1e0 when dx is not null then 0e0 end)')} as gt{t}" for t in (5, 10, 20))
        + f", {r('quantile_cont(abs(dx), 0.5)')} as median_abs, {r('quantile_cont(abs(dx), 0.9)')} as p90_abs from terr group by tail_visibility", "terr")
 def component_stats(spark, d):
-    return rounded(M.component_stats(_track_errors(spark, d), ["tail_visibility"], "dx", few_groups=True))
+    return rounded(M.component_stats(_track_errors(spark, d), ["tail_visibility"], "dx"))
 
 
 _mq = lambda v: f"count(*) as count, {r(f'avg({v})')} as mean, {r(f'quantile_cont({v}, 0.5)')} as p50, {r(f'quantile_cont({v}, 0.9)')} as p90"

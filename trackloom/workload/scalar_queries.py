@@ -26,7 +26,7 @@ def parse_lenient_number(spark, d):
     return t.select("event_id", S.parse_number(F.col("t")).alias("x"), S.parse_number(F.col("t"), 7.0).alias("x_default"), S.parse_integer(F.col("t")).alias("i"))
 
 
-_NAME = ("case event_id % 5 when 0 then concat('run/swing_', cast(user_id as {s}), '_', lpad(cast(event_id as {s}), 6, '0'), '.jpg') when 1 then concat(cast(event_id as {s}), '.png') "
+_NAME = ("case event_id % 5 when 0 then concat('run/swing_', cast(user_id as {s}), '_', lpad(cast(event_id as {s}), cast(greatest(6, length(cast(event_id as {s}))) as int), '0'), '.jpg') when 1 then concat(cast(event_id as {s}), '.png') "
          "when 2 then concat('frame_', cast(event_id as {s})) when 3 then 'nodigits' else concat('swing_042_', cast(event_id % 10 as {s}), '.mp4') end")
 _STEM = "regexp_replace(regexp_replace(t, '^.*/', ''), '\\.[^.]*$', '')"
 

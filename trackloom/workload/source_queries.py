@@ -20,13 +20,13 @@ def scan_detections_text(spark, d):
         "prediction_stem", "v.detection_rank", "v.bbox_conf", R("v.bbox.xc").alias("xc"), R("v.head.x").alias("head_x"), F.col("v.tail.x").alias("tail_x"))
 
 
-cte("img", "select 'swing_' || (o_orderkey % 1000) || '_' || lpad(cast(o_orderkey as varchar), 9, '0') as stem from orders where o_orderkey % 5 <> 0")
+cte("img", "select 'swing_' || (o_orderkey % 1000) || '_' || lpad(cast(o_orderkey as varchar), cast(greatest(9, length(cast(o_orderkey as varchar))) as int), '0') as stem from orders where o_orderkey % 5 <> 0")
 
 
-@query("scan_frame_population", "select stem as prediction_stem, cast(coalesce(n, 0) as int) as detections from (select stem from img union select distinct 'swing_' || (l_orderkey % 1000) || '_' || lpad(cast(l_orderkey as varchar), 9, '0') from lineitem) left join (select stem, count(*) as n from label_det group by stem) using (stem)", "img", "label_det")
+@query("scan_frame_population", "select stem as prediction_stem, cast(coalesce(n, 0) as int) as detections from (select stem from img union select distinct 'swing_' || (l_orderkey % 1000) || '_' || lpad(cast(l_orderkey as varchar), cast(greatest(9, length(cast(l_orderkey as varchar))) as int), '0') from lineitem) left join (select stem, count(*) as n from label_det group by stem) using (stem)", "img", "label_det")
 def scan_frame_population(spark, d):
     images = B.table(spark, d, "orders").selectExpr(
-        "concat('run/swing_', o_orderkey % 1000, '_', lpad(o_orderkey, 9, '0'), case when o_orderkey % 5 = 0 then '.txt' when o_orderkey % 2 = 0 then '.JPG' else '.png' end) as path")
+        "concat('run/swing_', o_orderkey % 1000, '_', lpad(o_orderkey, cast(greatest(9, length(cast(o_orderkey as string))) as int), '0'), case when o_orderkey % 5 = 0 then '.txt' when o_orderkey % 2 = 0 then '.JPG' else '.png' end) as path")
     out = I.frame_population(I.parse_detections(B.label_texts(spark, d)), I.image_paths(images))
     return out.select("prediction_stem", F.size("detections").alias("detections"))
 

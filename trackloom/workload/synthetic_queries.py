@@ -18,7 +18,7 @@ from trackloom.workload.bindings import cte
 from trackloom.workload.registry import R, query, r, rounded, rs
 
 SEED = 7
-U = lambda purpose, key: f"(('0x' || substr(md5('{SEED}|{purpose}|' || {key}), 1, 8))::bigint / 4294967296e0)"
+U = lambda purpose, key: f"(('0x' || substr(md5('{SEED}|{purpose}|' || {key}), 1, 13))::bigint / 4503599627370496e0)"
 _bad = lambda k: f"sqrt({k}_x**2 + {k}_y**2 + {k}_z**2) > 1e-9"
 cte("bat", "select source, sequence_id, frame_idx, " + ", ".join(f"max({a}) filter (upper(marker) = 'MARKER1') as tail_{a}" for a in "xyz") + ", "
     + ", ".join(f"(max({a}) filter (upper(marker) = 'MARKER2') + max({a}) filter (upper(marker) = 'MARKER3')) / 2 as head_{a}" for a in "xyz")
@@ -142,7 +142,7 @@ def sink_by_folder(spark, d):
 
 cte("syn_rows", "select sequence_id as swing_id, camera_id || case when mirror = 'none' then '' else '__' || mirror end as view_id, frame_idx, frame_idx / 120e0 as time_sec, camera_name, head_u, head_v, tail_u, tail_v from projm where batter_hand = 'R'", "projm")
 cte("syn_step", "select *, row_number() over (partition by swing_id, view_id order by frame_idx) - 1 as rn, count(*) over (partition by swing_id, view_id) as n0 from syn_rows", "syn_rows")
-cte("syn_gap", "select swing_id, view_id, count(*) as nt, median(g) filter (g > 0) as g from (select *, time_sec - lag(time_sec) over (partition by swing_id, view_id order by rn) as g from syn_step where rn < 300) group by all", "syn_step")
+cte("syn_gap", "select swing_id, view_id, count(*) as nt, median(g) filter (g > 0) as g from (select *, time_sec - lag(time_sec) over (partition by swing_id, view_id order by rn) as g from syn_step) group by all", "syn_step")
 cte("syn_steps", "select swing_id, view_id, cast(case when nt >= 3 and g is not null then greatest(1, round_even((1 / g) / 60e0, 0)) else 6 end as int) as step from syn_gap", "syn_gap")
 cte("syn_clean", "select swing_id, view_id, frame_idx, camera_name, head_u / 1920 as head_x, head_v / 1080 as head_y, tail_u / 1920 as tail_x, tail_v / 1080 as tail_y, row_number() over (partition by swing_id, view_id order by frame_idx) - 1 as pos, count(*) over (partition by swing_id, view_id) as n "
     "from syn_step join syn_steps using (swing_id, view_id) where rn % step = 0 and ceil(n0 / cast(step as double)) >= 31 and head_u is not null and tail_u is not null", "syn_step", "syn_steps")
@@ -150,7 +150,7 @@ cte("syn_starts", "select swing_id, view_id, unnest(list_concat(range(n - 31, -1
 cte("syn_win", "select c.*, win_start, cast(pos - win_start as int) as idx from syn_clean c join syn_starts using (swing_id, view_id) where pos between win_start and win_start + 30", "syn_clean", "syn_starts")
 _wk = "swing_id || '|' || view_id || '|' || win_start"
 _rk = _wk + " || '|' || idx"
-N = lambda purpose, key: f"(sqrt(-2 * ln({U(purpose + '.r', key)} + pow(2e0, -33))) * cos(6.283185307179586e0 * {U(purpose + '.a', key)}))"
+N = lambda purpose, key: f"(sqrt(-2 * ln({U(purpose + '.r', key)} + pow(2e0, -53))) * cos(6.283185307179586e0 * {U(purpose + '.a', key)}))"
 
 
 def _tracks(spark, d, **kw):
