@@ -217,7 +217,8 @@ cte("records", "select o_orderkey, " + _sql_cols(_R) + ", concat('swing_', cast(
 
 _GT = {
     "swing_id": "concat('swing_', cast(o_custkey as string))",
-    "frame": "concat(lpad(cast(o_orderkey as string), cast(greatest(9, length(cast(o_orderkey as string))) as int), '0'), '.png')",
+    # A seventh of the annotations belong to frames that no record has.
+    "frame": "concat(case when o_orderkey % 7 = 0 then 'unlinked_' else '' end, lpad(cast(o_orderkey as string), cast(greatest(9, length(cast(o_orderkey as string))) as int), '0'), '.png')",
     "head_visibility": "case when o_orderkey % 4 = 0 then 'partially_occluded' else 'fully_visible' end",
     "tail_visibility": "case o_orderpriority when '1-URGENT' then 'fully_visible' when '2-HIGH' then 'partially_occluded' "
                        "when '5-LOW' then 'ignore' else 'fully_occluded' end",
@@ -231,12 +232,11 @@ _GT = {
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0")
-    return o.selectExpr(*[f"{e} as {n}" for n, e in _GT.items()])
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} as {n}" for n, e in _GT.items()])
 
 
 cte("annotations", "select " + _sql_cols({k: v.replace("as string", "as varchar") for k, v in _GT.items()})
-    + " from orders where o_orderkey % 7 <> 0")
+    + " from orders")
 
 # --- flow fields -------------------------------------------------------------------
 

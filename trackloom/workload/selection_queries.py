@@ -158,7 +158,7 @@ def select_and_export(spark, d):
     return rounded(rows.select("image_stem", "swing_id", "view", "batter_side", "frame", "keypoint", "visibility", "detection_rank", "status", *_nums), digits=5)
 
 
-@query("auxiliary_gt_rows", "select swing_id || '_' || regexp_replace(frame, '\\.[^.]*$', '') as image_stem, 'tail_visible_aux' as keypoint, bat_visible_aux_x as gt_x, bat_visible_aux_y as gt_y, 'gt_only' as status from annotations where tail_visibility = 'ignore' and bat_visible_aux_x is not null", "annotations")
+@query("auxiliary_gt_rows", "select swing_id || '_' || regexp_replace(frame, '\\.[^.]*$', '') as image_stem, 'tail_visible_aux' as keypoint, bat_visible_aux_x as gt_x, bat_visible_aux_y as gt_y, 'gt_only' as status from annotations where tail_visibility = 'ignore' and bat_visible_aux_x is not null and swing_id || '_' || regexp_replace(frame, '\\.[^.]*$', '') in (select image_stem from records)", "annotations", "records")
 def auxiliary_gt_rows(spark, d):
     f = V.join_annotations(B.records(spark, d).select("image_stem", "swing_id"), B.annotations(spark, d)).withColumns({"view": F.lit(""), "batter_side": F.lit("")})
     return V.auxiliary_rows(f).select("image_stem", "keypoint", "gt_x", "gt_y", "status")
