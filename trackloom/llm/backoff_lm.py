@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores from n-gram counts of the whole corpus.
 
 Count tables are partitioned by n-gram hash and joined to the n-grams of the documents; the scores of a document's positions
-are then summed. Rows are packed: a block is some 24 MB of text as word numbers, and one row of an exchange holds all
+are then summed. Rows are packed: a block is some 10 MB of text as word numbers, and one row of an exchange holds all
 distinct n-grams of one block that fall into one hash bucket, sorted and delta-coded, with their counts in the block. So an
 n-gram crosses the network once a block however frequent it is; the bucket adds up the counts and answers each block.
 
@@ -31,7 +31,7 @@ from trackloom.llm.common import by_runs, lowered_words, open_store, shared_fold
 from trackloom.llm.packing import bucket_cuts, deflated, inflated, sorted_bytes, sorted_numbers
 
 BLOCK = "block long, scored boolean, counted boolean, n_words long, ids binary, lengths binary, vocabulary binary, words binary"
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 #: About so many distinct n-grams of all blocks meet in a bucket.
 BUCKET_WORDS = 2 << 20
 
