@@ -197,15 +197,16 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, radius: int = 4) -> DataF
 def keep_one(docs: DataFrame, *, size: int = 4, radius: int = 4) -> DataFrame:
     """One row of each component, all columns kept: that with the smallest doc_id, then the smallest hash of the row."""
     names, at = docs.columns, docs.columns.index("text")
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])  # own names, so that the given ones may be any
+    own = [f"c{i}" for i in range(len(names))]  # so that the given names may be any
+    numbered = docs.toDF(*own)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1000):
             found = np.array([fingerprint(t, size) for t in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*numbered.columns, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*own, "fp"])
 
     found = numbered.mapInArrow(mark, StructType([*numbered.schema.fields, StructField("fp", LongType())]))
-    rows = stored(found.select(F.struct(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)]).alias("row"), "fp",
+    rows = stored(found.select(F.struct(*[F.col(c).alias(n) for c, n in zip(own, names, strict=True)]).alias("row"), "fp",
                                F.monotonically_increasing_id().alias("place")), "marked")
     each = rows.select("fp", F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("i"), F.xxhash64("row").alias("h"), F.col("place").alias("p")).alias("o"))
     nodes = stored(each.groupBy("fp").agg(F.min("o").alias("o")), "nodes")
