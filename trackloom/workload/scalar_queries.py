@@ -176,13 +176,11 @@ def bat_vector(spark, d):
     return rounded(t.select("image_stem", "dx", "dy", "bbox_w", "bbox_h", "pred_bat_length", "gt_bat_length"))
 
 
-@query("trust_target", f"select image_stem, {r('''case when nn >= 0.25 then t * least(greatest((sqrt(ox**2 + oy**2) - sqrt((t * dx - ox)**2 + (t * dy - oy)**2) - 0.5) / 2.5, 0), 1) when nn is not null then 0e0 end''')} as trust from "
-       "(select *, least(greatest((ox * dx + oy * dy) / greatest(nn, 1e-6), 0), 1) as t from (select *, dx**2 + dy**2 as nn from (select image_stem, event_id % 9 - 4e0 as dx, event_id % 7 - 3e0 as dy, tail_gt_x - tail_pred_x as ox, tail_gt_y - tail_pred_y as oy from track "
-       "where tail_gt_x is not null and tail_pred_x is not null)))", "track")
+@query("trust_target", f"select image_stem, {r('''case when ox is null and nn >= 0.25 then null when nn >= 0.25 then t * least(greatest((sqrt(ox**2 + oy**2) - sqrt((t * dx - ox)**2 + (t * dy - oy)**2) - 0.5) / 2.5, 0), 1) when nn is not null then 0e0 end''')} as trust from "
+       "(select *, least(greatest((ox * dx + oy * dy) / greatest(nn, 1e-6), 0), 1) as t from (select *, dx**2 + dy**2 as nn from (select image_stem, event_id % 9 - 4e0 as dx, event_id % 7 - 3e0 as dy, tail_gt_x - tail_pred_x as ox, tail_gt_y - tail_pred_y as oy from track)))", "track")
 def trust_target(spark, d):
     c = F.col
-    t = B.track(spark, d).filter("tail_gt_x is not null and tail_pred_x is not null")
-    return t.select("image_stem", R(S.trust_target((c("event_id") % 9 - 4).cast("double"), (c("event_id") % 7 - 3).cast("double"),
+    return B.track(spark, d).select("image_stem", R(S.trust_target((c("event_id") % 9 - 4).cast("double"), (c("event_id") % 7 - 3).cast("double"),
                                                    c("tail_gt_x") - c("tail_pred_x"), c("tail_gt_y") - c("tail_pred_y"))).alias("trust"))
 
 
@@ -239,9 +237,9 @@ def valid_xyz(spark, d):
     return B.markers(spark, d).select("sequence_id", "frame_idx", "marker", P.valid_xyz(F.col("x"), F.col("y"), F.col("z")).alias("ok"))
 
 
-@query("filter_sources", "select distinct source from markers where lower(source) not like '%model%' order by source limit 7", "markers")
+@query("filter_sources", "select distinct source from markers where lower(source) not like '%model%' order by source", "markers")
 def filter_sources(spark, d):
-    return P.usable_sources(B.markers(spark, d).select("source").distinct(), "source", max_files=7)
+    return P.usable_sources(B.markers(spark, d).select("source").distinct(), "source")
 
 
 @query("sorted_top_n", "select source, frames from (select source, count(*) as frames from markers group by source) order by source limit 5", "markers")
