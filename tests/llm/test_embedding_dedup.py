@@ -63,3 +63,17 @@ def test_short_windows_and_large_components_count_all_links(spark):
 
 def test_empty_table(spark):
     assert ed.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_isolated_pairs_in_a_table_far_larger_than_the_window(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(6000):
+        a, b = rng.standard_normal((2, 48))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        cos = rng.uniform(0.9001, 0.905)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (cos * a + np.sqrt(1 - cos * cos) * b / np.linalg.norm(b)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ed.near_duplicates(df, window=4, block=256).collect()
+    assert sum(r.component_id == r.vec_id - 1 for r in got if r.vec_id % 2) >= 0.997 * 6000

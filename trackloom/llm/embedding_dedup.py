@@ -1,7 +1,8 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In each pass the vectors are ordered lexicographically by 64 concatenated random hashes (signs of projections on
-random directions of that pass), and each is compared with the next ``window`` vectors in that order. Blocks of
+random directions of that pass), and each is compared with the next ``window`` vectors in that order. The number of passes is at
+least ``passes`` and grows with the table as ``passes_for`` states, so that the share of links found does not fall. Blocks of
 that order have a fixed number of rows and carry the following rows they need, so no bucket exists that could be hot. Pairs
 whose cosine reaches the threshold in double precision are united across passes. Links lie inside components only, so
 each vector's number of links is then counted exactly inside its component, also where the window was too short.
@@ -29,10 +30,25 @@ from trackloom.llm.common import by_runs, sliced, stored, tasks_for
 from trackloom.llm.components import Union, components, edge_batch
 
 HASHES = 64
+#: Of isolated pairs exactly at the threshold, the expected share that meets in a window of at least one pass.
+RECALL = 0.999
 #: Relative to 1: far above the rounding error of a dot product, far below any angle that matters.
 MARGIN = 1e-9
 
 
+def passes_for(n: int, threshold: float, window: int) -> int:
+    """Passes after which a pair at the threshold has met with a chance of ``RECALL`` among n vectors.
+
+    Vectors that agree on their first log2(n / window) signs are expected to lie within a window; a sign differs with a chance of
+    the angle over pi.
+    """
+    if n <= window + 1:
+        return 1
+    same = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    met = max(same ** np.log2(n / window), window / n)
+    return 1 if met >= RECALL else int(np.ceil(np.log1p(-RECALL) / np.log1p(-met)))
+
+
 def _packed(vectors: DataFrame) -> DataFrame:
     """vec_id and the vector's 64-bit numbers as bytes; null where it can't be compared."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +75,7 @@ def _keys(nodes: DataFrame, passes: int, seed: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = np.uint64(1) << np.arange(HASHES - 1, -1, -1, dtype=np.uint64)
-        for batch in sliced(batches, 1000):
+        for batch in sliced(batches, max(1, 16_000 // passes)):
             dims = np.array(batch.column(1))
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
@@ -174,6 +190,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, passes: int =
     packed = stored(_packed(vectors), "vectors")
     nodes = packed.where("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"))
     nodes = stored(nodes.select("raw", "first_id", "weight", (F.octet_length("raw") / 8).cast("int").alias("dim"), F.monotonically_increasing_id().alias("node")), "nodes")
+    most = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    passes = max(passes, passes_for(most, threshold, window))
     edges = _window_links(nodes, _ranked(_keys(nodes, passes, seed)), threshold, window, block)
     member_of = stored(components(edges), "components")
     links = _link_counts(nodes, member_of, threshold, chunk)
