@@ -63,3 +63,22 @@ def test_passages_cover_whole_texts():
     alone = [quality.passages([r], 2)[0] for r in raws]
     import numpy as np
     assert np.allclose(x, np.concatenate(alone))
+
+
+def test_long_labelled_text_does_not_end_the_sample(spark, docs_of):
+    docs, labels = corpus()
+    long = [(1000 + i, " ".join(words(random.Random(i), 1500))) for i in range(60)]
+    table = spark.createDataFrame(labels + [(d, 1, 0) for d, _ in long], "doc_id long, quality int, toxic int")
+    frame = docs_of(docs + long)
+    got = quality.scored(frame, quality.train(frame, table, max_train_passages=400, words=10, steps=300), words=10).where("held_out and doc_id < 1000").collect()
+    truth = {d: q for d, q, _ in labels}
+    assert len(got) > 20 and sum(r.predicted == truth[r.doc_id] for r in got) >= 0.95 * len(got)
+    assert [quality.passages_each(n, 10) for n in ([], [3, 4], [1, 2, 90], [20] * 30)] == [1, 4, 7, 1]
+
+
+def test_without_labels_nothing_is_rejected(spark, docs_of):
+    frame = docs_of([(1, "a b"), (3, "c"), (4, None)])
+    labels = spark.createDataFrame([(77, 1, 0)], "doc_id long, quality int, toxic int")
+    nets = quality.train(frame, labels)
+    assert quality.keep_good(frame, nets).count() == 3
+    assert all(r.predicted == 1 and r.score == 0.5 for r in quality.scored(frame, nets).collect())

@@ -3,13 +3,15 @@
 A document is a bag of passages of ``words`` words. Each passage is encoded (share of each ASCII byte, word
 lengths, capitals, repetitions) and passed through a small network; gated attention, learned from document labels alone, weighs
 the passages, and the weighted representation gives the score. Training takes a bounded sample of the labelled rows
-(``max_train_docs`` rows with the smallest hashes, of these as many as stay below ``max_train_passages`` passages) on the driver; scoring
-is one scan of all documents, without a shuffle, over whole texts.
+(``max_train_docs`` rows with the smallest hashes) on the driver. If these have more than ``max_train_passages`` passages, the longest
+are trained on by evenly spaced passages, all by the same largest number that fits. Scoring is one scan of all documents, without
+a shuffle, over whole texts.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out of training. Only texts are inputs of a score.
 
 Defined cases. Null or wordless text: one empty passage, scored like any other. Null doc_id: not held out, not trained on. Several
-labels of a doc_id: used if they agree. Null label: unused. Labels of one class only, or none: a constant score.
+labels of a doc_id: used if they agree. Null label: unused. Labels of one class only: a constant score. No usable
+label: a score of 0.5 for all, and nothing is rejected (predicted is 1, ``keep_good`` keeps all rows).
 Repeated rows: scored alike. Empty table: an empty result. Only doc_id, text and quality are read, so other columns may have any names.
 """
 
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import sliced
+from trackloom.llm.common import sliced, stored
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -96,6 +98,8 @@ class Net:
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
+        #: False where there was no label to learn from.
+        self.trained = True
         self.p = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) * (len(s) > 1 or k in "ac")).astype(np.float32) for k, s in self.SHAPES.items()}
         self.mean, self.scale = np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32)
 
@@ -151,6 +155,20 @@ def score_texts(nets: list[Net], texts: list[str | None], words: int) -> np.ndar
     return np.concatenate(out) if out else np.empty(0)
 
 
+def passages_each(counts: list[int], budget: int) -> int:
+    """Largest number of passages a document for which all documents together have at most ``budget`` (one each at least)."""
+    left = budget
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return max(1, left // (len(counts) - k))
+        left -= n
+    return max(counts, default=1)
+
+
+def accepted(nets: list[Net], score: np.ndarray, threshold: float) -> np.ndarray:
+    return (score >= threshold) | (not any(net.trained for net in nets))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -177,12 +195,22 @@ def train(docs: DataFrame, labels: DataFrame, *, words: int = 64, max_train_docs
 
     coded = rows.mapInArrow(encode, "h long, k long, q int, n long, x binary")
     # Ordered over at most max_train_docs rows (more only if rows repeat a doc_id, which limit() bounds again).
-    coded = coded.orderBy("h", "k", "n", "x").limit(max_train_docs)
-    running = F.sum("n").over(Window.orderBy("h", "k", "n", "x").rowsBetween(Window.unboundedPreceding, 0))
-    sample = coded.withColumn("run", running).where(F.col("run") <= max_train_passages).orderBy("h", "k", "n", "x").select("q", "n", "x").collect()
+    coded = stored(coded.orderBy("h", "k", "n", "x").limit(max_train_docs), "training-rows")
+    most = passages_each([r.n for r in coded.select("n").collect()], max_train_passages)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 50):
+            xs = []
+            for n, raw in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                x = np.frombuffer(raw, "<f4").reshape(n, N_FEATURES)
+                xs.append(x if n <= most else x[np.arange(most) * n // most])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in xs], pa.int64()), pa.array([x.tobytes() for x in xs], pa.binary())], ["h", "k", "q", "n", "x"])
+
+    sample = coded.mapInArrow(thin, coded.schema).orderBy("h", "k", "n", "x").select("q", "n", "x").collect()
     y = np.array([r.q for r in sample], float)
     if not len(y) or y.min() == y.max():
         net = Net(seed)
+        net.trained = bool(len(y))
         net.p = {k: np.zeros_like(v) for k, v in net.p.items()}
         net.p["c0"] = np.array([0.0 if not len(y) else 8.0 * (2 * y[0] - 1)])
         return [net]
@@ -201,18 +229,18 @@ def scored(docs: DataFrame, nets: list[Net], *, words: int = 64, threshold: floa
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1000):
             s = score_texts(shared.value, batch.column(2).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s), pa.array(accepted(shared.value, s, threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, nets: list[Net], *, words: int = 64, threshold: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` with a score of at least ``threshold``, all columns kept."""
+    """Rows of ``docs`` with a score of at least ``threshold``, all columns kept; all rows if there was no label."""
     shared, at = docs.sparkSession.sparkContext.broadcast(nets), docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1000):
-            yield batch.filter(pa.array(score_texts(shared.value, batch.column(at).to_pylist(), words) >= threshold))
+            yield batch.filter(pa.array(accepted(shared.value, score_texts(shared.value, batch.column(at).to_pylist(), words), threshold)))
 
     return docs.mapInArrow(work, docs.schema)
