@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, token_records, warc
+from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, filter_audit, mixing, quality, simhash, substring_dedup, suffix_dedup, token_records, warc
 from trackloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,31 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_audit", r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+f as (select doc_id, part, concat(
+        case when len(w) < 200 then 'A' else '' end, case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end,
+        case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 'C' else '' end,
+        case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end,
+        case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end) as fails from w),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+c as (select part, fails, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from f left join l using (doc_id) group by part, fails),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as o from x a, x b, x c, x d, x e
+      where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x),
+s as (select o as filter_order, step, o[step] as filter, o[1:step - 1] as before from o, (select unnest(range(1, 6)) as step)),
+m as (select part, filter_order, step, filter, n, good, toxic, contains(fails, filter) as failing, translate(before, fails, '') <> before as gone,
+        fails = filter as alone from c, s),
+r as (select part, filter_order, step, filter,
+        sum(case when not gone and not failing then n else 0 end) as kept, sum(case when not gone and failing then n else 0 end) as removed,
+        sum(case when gone and failing then n else 0 end) as redundant, sum(case when alone then n else 0 end) as unique_fails,
+        sum(case when not gone and failing then good else 0 end) as good_lost, sum(case when not gone and failing then toxic else 0 end) as toxic_lost
+      from m group by part, filter_order, step, filter)
+select part, filter_order, cast(step as integer) as step, filter, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, filter) as bigint) as shapley from r""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
