@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, filter_audit, mixing, quality, simhash, substring_dedup, suffix_dedup, token_records, warc
+from trackloom.llm import backoff_lm, decontaminate, embedding_dedup, filter_audit, merge_replay, mixing, quality, simhash, substring_dedup, suffix_dedup, token_alignment, token_records, warc
 from trackloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,16 @@ select part, filter_order, cast(step as integer) as step, filter, cast(kept as b
        cast(sum(removed) over (partition by part, filter) as bigint) as shapley from r""")
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query("op13_merge_replay")
+def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merge_replay.encode(table(spark, sf_dir, "documents"), decode=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
