@@ -89,7 +89,7 @@ def test_defined_cases(spark, docs_of, libraries):
     rng = random.Random(11)
     marks = ["a", "the ", "é", "日本", "🙂", " ", "  ", "\n", "\t", "1", "٣", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x41>", "▁", "-", "é", "ﬁ", " ", "\x00"]
     rows = [(i, "".join(rng.choices(marks, k=rng.randint(1, 20)))) for i in range(150)]
-    rows += [(None, "no id"), (500, None), (501, ""), (502, "the same"), (502, "the same"), (503, " "), (504, "plain <|endoftext|> text")]
+    rows += [(None, "no id"), (500, None), (501, ""), (502, "the same"), (502, "the same"), (503, " "), (504, "plain <|endoftext|> text"), (505, "gap" + " " * 20_000 + "gap")]
     docs = docs_of(rows, groups=F.lit("x"), block=F.lit(1), a=F.lit(2), n_a=F.lit(3))
     found = got(align(docs, block_bytes=300))
     assert found == brute(libraries, rows)
@@ -107,6 +107,22 @@ def test_empty_table(spark, docs_of):
     assert align(docs_of([])).collect() == []
 
 
+def test_ranks_give_the_same_ids_only_if_the_file_allows():
+    import json
+
+    from trackloom.llm.token_alignment import same_as_ranks, vocabulary_file
+    file = vocabulary_file("byte_bpe_50k.json")
+    assert same_as_ranks(file)
+    spec = json.loads(file)
+    spec["model"]["merges"][40], spec["model"]["merges"][41] = spec["model"]["merges"][41], spec["model"]["merges"][40]
+    assert not same_as_ranks(json.dumps(spec).encode())
+    spec = json.loads(file)
+    spec["model"]["merges"][2] = ["x", "y"]
+    spec["model"]["vocab"]["xy"] = spec["model"]["vocab"].pop("he")
+    assert not same_as_ranks(json.dumps(spec).encode())
+    assert not same_as_ranks(vocabulary_file("word_bpe_49k.json"))
+
+
 def test_pointers_cross_chains_of_any_length():
     n = 5000  # the sides' edges meet only at the very end
     ends_a = np.append(np.arange(2, 2 * n + 1, 2), 2 * n + 1)

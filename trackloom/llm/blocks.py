@@ -8,27 +8,45 @@ frequent key costs one entry a block.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import runs, sliced, stored, tasks_for
 
 
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unsqueeze(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def pack_array(a: np.ndarray) -> bytes:
+    """An integer array by byte planes, so that equal high bytes nearly vanish."""
+    return squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+
+
+def unpack_array(raw: bytes, kind: type | np.dtype) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def pack_strings(parts: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zlib.compress(np.uint32(len(parts)).tobytes() + lengths.tobytes() + b"".join(parts), 1)
+    return squeeze(np.uint32(len(parts)).tobytes() + lengths.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(parts))
 
 
 def unpack_strings(raw: bytes) -> list[bytes]:
-    data = zlib.decompress(raw)
+    data = unsqueeze(raw)
     n = int.from_bytes(data[:4], "little")
-    ends = 4 + 4 * n + np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)
-    cuts = [4 + 4 * n, *ends.tolist()]
+    lengths = np.frombuffer(data, np.uint8, 4 * n, 4).reshape(4, n).T.copy().view(np.uint32).reshape(-1)
+    cuts = [4 + 4 * n, *(4 + 4 * n + np.cumsum(lengths, dtype=np.int64)).tolist()]
     return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -64,8 +82,8 @@ def pack_blocks(docs: DataFrame, pack: Callable[[list[str]], dict], schema: str,
 
 
 def consult(blocks: DataFrame, n_buckets: int, ask: Callable[[dict], Iterator[tuple[int, bytes]]],
-            answer: Callable[[list[bytes]], tuple[list[bytes], bytes | None]], *, purpose: str) -> DataFrame:
-    """Stored answers: block, bucket, answer, and note, which ``answer`` may add once a bucket.
+            answer: Callable[[list[bytes]], tuple[list[bytes], bytes | None]]) -> DataFrame:
+    """The answers: block, bucket, answer, and note, which ``answer`` may add once a bucket.
 
     ``ask`` gives a block's question for each bucket below ``n_buckets`` that it needs; ``answer`` gets one bucket's questions
     of all blocks, the only thing that a task holds besides one block.
@@ -87,7 +105,7 @@ def consult(blocks: DataFrame, n_buckets: int, ask: Callable[[dict], Iterator[tu
     questions = blocks.mapInArrow(asked, "bucket int, block long, question binary")
     tasks = max(1, min(n_buckets, max(tasks_for(blocks.sparkSession), n_buckets // 4)))
     dealt = questions.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return stored(dealt.mapInArrow(answered, "block long, bucket int, answer binary, note binary"), purpose)
+    return dealt.mapInArrow(answered, "block long, bucket int, answer binary, note binary")
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:

@@ -34,9 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.blocks import bucket_count, consult, pack_blocks, pack_strings, unpack_strings, with_answers
+from trackloom.llm.blocks import bucket_count, consult, pack_array, pack_blocks, pack_strings, unpack_array, unpack_strings, with_answers
 from trackloom.llm.common import sliced
-from trackloom.llm.packing import deflated, inflated
 
 BLOCK_BYTES = 4_000_000
 BUCKET_WORDS = 100_000
@@ -147,15 +146,20 @@ def _packed(pattern: str) -> Callable[[list[str]], dict]:
             found = split(text)
             counts.append(len(found))
             sequence.extend([number(word, len(numbers)) for word in found])
-        return {"n_words": len(numbers), "words": pack_strings([w.encode("utf-8") for w in numbers]),
-                "counts": deflated(np.array(counts, np.uint32)), "sequence": deflated(np.frombuffer(sequence, np.uint32))}
+        # Frequent words get the small numbers, which pack best.
+        words, found = list(numbers), np.frombuffer(sequence, np.uint32)
+        order = np.argsort(-np.bincount(found, minlength=len(words)), kind="stable")
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        return {"n_words": len(words), "words": pack_strings([words[k].encode("utf-8") for k in order.tolist()]),
+                "counts": pack_array(np.array(counts, np.uint32)), "sequence": pack_array(place[found])}
     return pack
 
 
 def _asked(words: list[bytes], known: Vocabulary, n_buckets: int) -> dict[int, list[int]]:
-    """Numbers of the words to ask for, by bucket, in ascending order."""
+    """Numbers of the words to ask for, by bucket, in the words' order, in which they pack best."""
     out: dict[int, list[int]] = defaultdict(list)
-    for k, word in enumerate(words):
+    for word, k in sorted(zip(words, range(len(words)), strict=True)):
         if word not in known.ranks:
             out[zlib.crc32(word) & (n_buckets - 1)].append(k)
     return out
@@ -192,9 +196,9 @@ def encode(docs: DataFrame, ranks: bytes | None = None, *, pattern: str = public
             for bucket, numbers in _asked(words, known, n_buckets).items():
                 for k, found in zip(numbers, unpack_strings(answers[bucket]), strict=True):
                     ids[k] = found
-            sequence = inflated(row["sequence"], np.uint32).tolist()
+            sequence = unpack_array(row["sequence"], np.uint32).tolist()
             at, results = 0, []
-            for n in inflated(row["counts"], np.uint32).tolist():
+            for n in unpack_array(row["counts"], np.uint32).tolist():
                 results.append(np.frombuffer(b"".join(map(ids.__getitem__, sequence[at:at + n])), known.kind))
                 at += n
             for a in range(0, len(results), 200):
@@ -205,7 +209,7 @@ def encode(docs: DataFrame, ranks: bytes | None = None, *, pattern: str = public
                     columns["decoded"] = pa.array(map(known.decoded, part), pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    answers = consult(blocks, n_buckets, ask, answer, purpose="bpe-answers")
+    answers = consult(blocks, n_buckets, ask, answer)
     return with_answers(blocks, answers).mapInArrow(finish, "doc_id long, n_tokens long, ids binary" + (", decoded binary" if decode else ""))
 
 
