@@ -8,6 +8,7 @@ frequent key costs one entry a block.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import runs, sliced, stored, tasks_for
+from trackloom.llm.common import runs, sliced, tasks_for
 
 
 def squeeze(raw: bytes) -> bytes:
@@ -50,18 +51,45 @@ def unpack_strings(raw: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def pack_blocks(docs: DataFrame, pack: Callable[[list[str]], dict], schema: str, *, block_bytes: int, purpose: str) -> DataFrame:
-    """Blocks of ``docs``, stored: a number, the doc_ids (nulls included), and what ``pack`` makes of the texts (null: empty).
+def joined(parts: list[bytes]) -> bytes:
+    return b"".join(x for p in parts for x in (len(p).to_bytes(8, "little"), p))
+
+
+def parted(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at:at + 8], "little")
+        out.append(raw[at + 8:at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def pack_ids(ids: list[int | None]) -> bytes:
+    missing = np.flatnonzero([i is None for i in ids])
+    return joined([pack_array(np.array([i or 0 for i in ids], np.int64)), pack_array(missing.astype(np.int64))])
+
+
+def unpack_ids(raw: bytes) -> pa.Array:
+    values, missing = (unpack_array(x, np.int64) for x in parted(raw))
+    mask = np.zeros(len(values), bool)
+    mask[missing] = True
+    return pa.array(values, pa.int64(), mask=mask)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: one pass in the JVM, by which numbers of tasks and buckets are set."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0))).first()[0]
 
-    A text is never cut: a block is closed when it has reached ``block_bytes`` characters.
-    """
-    names = ["block", "doc_ids", *(f.split()[0] for f in schema.split(", "))]
 
+def pack_blocks(docs: DataFrame, pack: Callable[[list[str]], list[bytes]], *, block_bytes: int) -> DataFrame:
+    """(block, payload): the doc_ids and what ``pack`` makes of the texts (null: empty), in one value; see ``parted``.
+
+    A text is never cut: a block is closed when it has reached ``block_bytes`` characters. Blocks are numbered by partition, so they
+    must be stored or shuffled before several branches read them.
+    """
     def row(part: int, nth: int, ids: list, texts: list[str]) -> pa.RecordBatch:
-        packed = {"block": (part << 32) + nth, "doc_ids": ids, **pack(texts)}
-        types = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64())}
-        types |= {f.split()[0]: pa.binary() if f.endswith("binary") else pa.int64() for f in schema.split(", ")}
-        return pa.RecordBatch.from_arrays([pa.array([packed[n]], types[n]) for n in names], names)
+        payload = joined([pack_ids(ids), *pack(texts)])
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + nth], pa.int64()), pa.array([payload], pa.binary())], ["block", "payload"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size, nth, part = [], [], 0, 0, 0
@@ -78,42 +106,56 @@ def pack_blocks(docs: DataFrame, pack: Callable[[list[str]], dict], schema: str,
             yield row(part, nth, ids, texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    return stored(rows.mapInArrow(work, f"block long, doc_ids array<long>, {schema}"), purpose)
+    return rows.mapInArrow(work, "block long, payload binary")
 
 
-def consult(blocks: DataFrame, n_buckets: int, ask: Callable[[dict], Iterator[tuple[int, bytes]]],
+def consult(blocks: DataFrame, n_buckets: int, regions: int, ask: Callable[[list[bytes]], Iterator[tuple[int, bytes]]],
             answer: Callable[[list[bytes]], tuple[list[bytes], bytes | None]]) -> DataFrame:
     """The answers: block, bucket, answer, and note, which ``answer`` may add once a bucket.
 
     ``ask`` gives a block's question for each bucket below ``n_buckets`` that it needs; ``answer`` gets one bucket's questions
-    of all blocks, the only thing that a task holds besides one block.
+    of all blocks of a region, the only thing that a task holds besides one block. Blocks are dealt to ``regions`` by number: where
+    each answer follows from its question alone, more regions keep both the questions of a block and a bucket's size bounded.
     """
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
-            row = batch.to_pylist()[0]
-            found = list(ask(row))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["block"]] * len(found), pa.int64()),
-                                              pa.array([q for _, q in found], pa.binary())], ["bucket", "block", "question"])
+            for row in batch.to_pylist():
+                found = list(ask(parted(row["payload"])))
+                region = [zlib.crc32(row["block"].to_bytes(8, "little")) % regions] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(region, pa.int32()), pa.array([b for b, _ in found], pa.int32()), pa.array([row["block"]] * len(found), pa.int64()),
+                                                  pa.array([q for _, q in found], pa.binary())], ["region", "bucket", "block", "question"])
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["bucket"]):
+        for group in runs(batches, ["region", "bucket"]):
             answers, note = answer(group.column("question").to_pylist())
             n = len(answers)
             yield pa.RecordBatch.from_arrays([group.column("block").combine_chunks(), group.column("bucket").combine_chunks(), pa.array(answers, pa.binary()),
                                               pa.array([note] + [None] * (n - 1), pa.binary())], ["block", "bucket", "answer", "note"])
 
-    questions = blocks.mapInArrow(asked, "bucket int, block long, question binary")
-    tasks = max(1, min(n_buckets, max(tasks_for(blocks.sparkSession), n_buckets // 4)))
-    dealt = questions.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    questions = blocks.mapInArrow(asked, "region int, bucket int, block long, question binary")
+    tasks = max(1, min(n_buckets * regions, max(tasks_for(blocks.sparkSession), n_buckets * regions // 4)))
+    dealt = questions.repartition(tasks, "region", "bucket").sortWithinPartitions("region", "bucket")
     return dealt.mapInArrow(answered, "block long, bucket int, answer binary, note binary")
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with their answers, an array in bucket order; null where a block asked nothing."""
-    by_block = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
-    return blocks.join(by_block, "block", "left")
+def finished(blocks: DataFrame, answers: DataFrame, tasks: int, finish: Callable[[list[bytes], dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """The rows that ``finish`` makes of each block's payload and its answers by bucket, in ``tasks`` tasks.
+
+    Blocks that were dealt out by ``repartition(tasks, "block")`` before aren't shuffled again.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for row in batch.to_pylist():
+                yield from finish(parted(row["payload"]), {a["bucket"]: a["answer"] for a in row["answers"] or ()})
+
+    by_block = answers.select("block", "bucket", "answer").repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+    return blocks.join(by_block, "block", "left").select("payload", "answers").mapInArrow(work, schema)
+
+
+MOST_BUCKETS = 1024
 
 
-def bucket_count(questions: int, keys_a_bucket: int) -> int:
-    """A power of two, so that a bucket gets about ``keys_a_bucket`` of the keys that all blocks ask for."""
-    return 1 << max(0, (questions // keys_a_bucket).bit_length())
+def bucket_count(size: int, bucket_size: int) -> tuple[int, int]:
+    """(buckets, regions): a bucket of a region gets about ``bucket_size``. Buckets are a power of two; a block has one question for each at most."""
+    buckets = min(MOST_BUCKETS, 1 << max(0, (size // bucket_size).bit_length()))
+    return buckets, max(1, -(-size // (buckets * bucket_size)))

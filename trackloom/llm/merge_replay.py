@@ -14,16 +14,16 @@ Defined cases. Null or empty text: no ids, decoded to nothing. Null doc_id: kept
 table: no rows. Special tokens are plain text. Only doc_id and text are read, so other columns may have any names. A text of
 any length is split as a whole. A byte missing in the vocabulary is an error.
 
-Scale. A task holds one block (``block_bytes`` of text, or one longer text) or one bucket, about ``BUCKET_WORDS`` words
-asked for; a word that every block asks for adds one entry a block to its bucket, but frequent words are mostly tokens
-themselves, which are never asked for.
+Scale. A task holds one block (``block_bytes`` of text, or one longer text) or one bucket, the words asked for by
+``BUCKET_BYTES`` of text; a word that every block asks for adds one entry a block to its bucket, but frequent words are mostly tokens
+themselves, which are never asked for. Beyond ``MOST_BUCKETS`` * ``BUCKET_BYTES``, some 8 GB of text, the corpus is cut into regions of that size and
+a word is replayed once in each region that holds it, so neither buckets nor questions of a block grow further.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -34,11 +34,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.blocks import bucket_count, consult, pack_array, pack_blocks, pack_strings, unpack_array, unpack_strings, with_answers
-from trackloom.llm.common import sliced
+from trackloom.llm.blocks import bucket_count, consult, finished, pack_array, pack_blocks, pack_strings, text_bytes, unpack_array, unpack_ids, unpack_strings
+from trackloom.llm.common import sliced, tasks_for
 
 BLOCK_BYTES = 4_000_000
-BUCKET_WORDS = 100_000
+#: Bytes of text for each bucket of words, and for each task that writes ids.
+BUCKET_BYTES, TASK_BYTES = 8_000_000, 32_000_000
 
 
 def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> bytes:
@@ -135,34 +136,18 @@ def vocabulary_of(raw: bytes) -> Vocabulary:
     return _known[key]
 
 
-def _packed(pattern: str) -> Callable[[list[str]], dict]:
-    """Packs texts as distinct words and word numbers."""
-    def pack(texts: list[str]) -> dict:
-        split = regex.compile(pattern).findall
-        numbers: dict[str, int] = {}
-        number = numbers.setdefault
-        sequence, counts = array("I"), []
-        for text in texts:
-            found = split(text)
-            counts.append(len(found))
-            sequence.extend([number(word, len(numbers)) for word in found])
-        # Frequent words get the small numbers, which pack best.
-        words, found = list(numbers), np.frombuffer(sequence, np.uint32)
-        order = np.argsort(-np.bincount(found, minlength=len(words)), kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        return {"n_words": len(words), "words": pack_strings([words[k].encode("utf-8") for k in order.tolist()]),
-                "counts": pack_array(np.array(counts, np.uint32)), "sequence": pack_array(place[found])}
-    return pack
-
-
-def _asked(words: list[bytes], known: Vocabulary, n_buckets: int) -> dict[int, list[int]]:
-    """Numbers of the words to ask for, by bucket, in the words' order, in which they pack best."""
-    out: dict[int, list[int]] = defaultdict(list)
-    for word, k in sorted(zip(words, range(len(words)), strict=True)):
-        if word not in known.ranks:
-            out[zlib.crc32(word) & (n_buckets - 1)].append(k)
-    return out
+def _ordered(words: list[bytes], known: Vocabulary, n_buckets: int) -> tuple[list[int], list[int], dict[int, list[int]]]:
+    """Places of the words that are tokens, their ids, and places of the words to ask for by bucket, each in the order in which they pack best."""
+    places, ids, asked = [], [], defaultdict(list)
+    rank = known.ranks.get
+    for place, word in enumerate(words):
+        found = rank(word)
+        if found is None:
+            asked[zlib.crc32(word) & (n_buckets - 1)].append(place)
+        else:
+            places.append(place)
+            ids.append(found)
+    return places, ids, {bucket: sorted(asked[bucket], key=words.__getitem__) for bucket in sorted(asked)}
 
 
 def encode(docs: DataFrame, ranks: bytes | None = None, *, pattern: str = public_tokenizers.PATTERN, decode: bool = False,
@@ -172,45 +157,61 @@ def encode(docs: DataFrame, ranks: bytes | None = None, *, pattern: str = public
     ``ranks``: the text of a rank file, a few megabytes, which is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks or rank_file())
-    blocks = pack_blocks(docs, _packed(pattern), "n_words long, words binary, counts binary, sequence binary", block_bytes=block_bytes, purpose="bpe-blocks")
-    total = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    n_buckets = bucket_count(total, BUCKET_WORDS)
+    total = text_bytes(docs)
+    (n_buckets, regions), tasks = bucket_count(total, BUCKET_BYTES), max(tasks_for(docs.sparkSession), total // TASK_BYTES)
+
+    def pack(texts: list[str]) -> list[bytes]:
+        """Ids of the words that are tokens, the texts as word numbers, and one question for each bucket."""
+        known, split = vocabulary_of(shared.value), regex.compile(pattern).findall
+        found = [split(text) for text in texts]
+        numbers = {word: k for k, word in enumerate(dict.fromkeys(word for words in found for word in words))}
+        sequence = np.fromiter((numbers[word] for words in found for word in words), np.uint32)
+        words = [w.encode("utf-8") for w in numbers]
+        times = np.bincount(sequence, minlength=len(words))
+        places, ids, asked = _ordered(words, known, n_buckets)
+        frequent = np.argsort(-times[places], kind="stable").tolist()
+        order = np.array([places[k] for k in frequent] + [k for part in asked.values() for k in part], np.int64)
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        questions = [x for bucket, part in asked.items() for x in (bucket.to_bytes(4, "little"), pack_strings([words[k] for k in part]))]
+        return [pack_array(np.array([len(x) for x in found], np.uint32)), pack_array(place[sequence]), pack_array(np.array([ids[k] for k in frequent], known.kind)), *questions]
 
-    def ask(row: dict) -> Iterator[tuple[int, bytes]]:
-        words = unpack_strings(row["words"])
-        for bucket, numbers in _asked(words, vocabulary_of(shared.value), n_buckets).items():
-            yield bucket, pack_strings([words[k] for k in numbers])
+    def ask(payload: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        for bucket, question in zip(payload[4::2], payload[5::2], strict=True):
+            yield int.from_bytes(bucket, "little"), question
 
     def answer(questions: list[bytes]) -> tuple[list[bytes], None]:
-        distinct = dict.fromkeys(word for q in questions for word in unpack_strings(q))
-        ids = dict(zip(distinct, vocabulary_of(shared.value).replay(list(distinct)), strict=True))
-        return [pack_strings([ids[word] for word in unpack_strings(q)]) for q in questions], None
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary_of(shared.value)
-        for batch in sliced(batches, 1):
-            row = batch.to_pylist()[0]
-            words = unpack_strings(row["words"])
-            ids = [known.ranks[w].to_bytes(known.kind.itemsize, "little") if w in known.ranks else None for w in words]
-            answers = {a["bucket"]: a["answer"] for a in row["answers"] or ()}
-            for bucket, numbers in _asked(words, known, n_buckets).items():
-                for k, found in zip(numbers, unpack_strings(answers[bucket]), strict=True):
-                    ids[k] = found
-            sequence = unpack_array(row["sequence"], np.uint32).tolist()
-            at, results = 0, []
-            for n in unpack_array(row["counts"], np.uint32).tolist():
-                results.append(np.frombuffer(b"".join(map(ids.__getitem__, sequence[at:at + n])), known.kind))
-                at += n
-            for a in range(0, len(results), 200):
-                part = results[a:a + 200]
-                columns = {"doc_id": pa.array(row["doc_ids"][a:a + 200], pa.int64()), "n_tokens": pa.array(map(len, part), pa.int64()),
-                           "ids": pa.array([i.astype("<u4").tobytes() for i in part], pa.binary())}
-                if decode:
-                    columns["decoded"] = pa.array(map(known.decoded, part), pa.binary())
-                yield pa.RecordBatch.from_pydict(columns)
-
-    answers = consult(blocks, n_buckets, ask, answer)
-    return with_answers(blocks, answers).mapInArrow(finish, "doc_id long, n_tokens long, ids binary" + (", decoded binary" if decode else ""))
+        asked = [unpack_strings(q) for q in questions]
+        distinct = list(dict.fromkeys(word for words in asked for word in words))
+        ids = dict(zip(distinct, vocabulary_of(shared.value).replay(distinct), strict=True))
+        return [pack_strings([ids[word] for word in words]) for words in asked], None
+
+    def finish(payload: list[bytes], answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        known, doc_ids = vocabulary_of(shared.value), unpack_ids(payload[0])
+        counts, sequence = unpack_array(payload[1], np.uint32).tolist(), unpack_array(payload[2], np.uint32)
+        whole = unpack_array(payload[3], known.kind)
+        rest = [ids for bucket in payload[4::2] for ids in unpack_strings(answers[int.from_bytes(bucket, "little")])]
+        flat = np.concatenate([whole, np.frombuffer(b"".join(rest), known.kind)])
+        lengths = np.concatenate([np.ones(len(whole), np.int64), np.fromiter(map(len, rest), np.int64, len(rest)) // known.kind.itemsize])
+        starts, at = np.cumsum(lengths) - lengths, 0
+        for a in range(0, len(counts), 200):
+            part = counts[a:a + 200]
+            words = sequence[at:at + sum(part)]
+            at += len(words)
+            n = lengths[words]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(starts[words] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(part)])].tolist()
+            texts = [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+            columns = {"doc_id": doc_ids[a:a + 200], "n_tokens": pa.array(map(len, texts), pa.int64()), "ids": pa.array([i.astype("<u4").tobytes() for i in texts], pa.binary())}
+            if decode:
+                columns["decoded"] = pa.array(map(known.decoded, texts), pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    # Both branches read one exchange: blocks are packed once, and neither stored nor shuffled again.
+    blocks = pack_blocks(docs, pack, block_bytes=block_bytes).repartition(tasks, "block")
+    answers = consult(blocks, n_buckets, regions, ask, answer)
+    return finished(blocks, answers, tasks, finish, "doc_id long, n_tokens long, ids binary" + (", decoded binary" if decode else ""))
 
 
 def decode(encoded: DataFrame, ranks: bytes | None = None) -> DataFrame:

@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from trackloom.llm.blocks import bucket_count, consult, pack_array, pack_blocks, unpack_array, with_answers
-from trackloom.llm.common import sliced, stored
+from trackloom.llm.blocks import consult, finished, joined, pack_array, pack_blocks, parted, text_bytes, unpack_array, unpack_ids
+from trackloom.llm.common import stored, tasks_for
 
 BLOCK_BYTES = 2_000_000
-BUCKET_TOKENS = 4_000_000
-SCHEMA = "n_tokens long, n_a binary, n_b binary, a binary, b binary"
+#: Bytes of text for each bucket of pairs, and for each task that writes results.
+BUCKET_BYTES, TASK_BYTES = 8_000_000, 32_000_000
 
 
 def vocabulary_file(name: str) -> bytes:
@@ -170,10 +170,10 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
 class Aligned:
     """Links and groups of the documents of one block, laid end to end: a document's last byte ends a token on both sides."""
 
-    def __init__(self, row: dict, known: Tokenizers):
+    def __init__(self, n_a: bytes, a: bytes, n_b: bytes, b: bytes, known: Tokenizers):
         self.known = known
-        self.n_a, self.n_b = unpack_array(row["n_a"], np.uint32).astype(np.int64), unpack_array(row["n_b"], np.uint32).astype(np.int64)
-        self.a, self.b = unpack_array(row["a"], known.kind_a).astype(np.int64), unpack_array(row["b"], known.kind_b).astype(np.int64)
+        self.n_a, self.n_b = unpack_array(n_a, np.uint32).astype(np.int64), unpack_array(n_b, np.uint32).astype(np.int64)
+        self.a, self.b = unpack_array(a, known.kind_a).astype(np.int64), unpack_array(b, known.kind_b).astype(np.int64)
         self.ends_a, self.ends_b = np.cumsum(known.lengths_a[self.a]), np.cumsum(known.lengths_b[self.b])
         size = int(self.ends_a[-1]) if len(self.a) else 0
         last = np.zeros(size, bool)
@@ -223,16 +223,11 @@ def _buckets(pairs: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarra
 
 
 def _pack_numbers(*columns: np.ndarray) -> bytes:
-    return b"".join(len(raw).to_bytes(4, "little") + raw for raw in (pack_array(c.astype(np.int64)) for c in columns))
+    return joined([pack_array(c.astype(np.int64)) for c in columns])
 
 
 def _unpack_numbers(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(raw):
-        n = int.from_bytes(raw[at:at + 4], "little")
-        out.append(unpack_array(raw[at + 4:at + 4 + n], np.int64))
-        at += 4 + n
-    return out
+    return [unpack_array(x, np.int64) for x in parted(raw)]
 
 
 def align(docs: DataFrame, a: bytes | None = None, b: bytes | None = None, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -244,24 +239,18 @@ def align(docs: DataFrame, a: bytes | None = None, b: bytes | None = None, *, bl
     a = a or vocabulary_file("byte_bpe_50k.json")
     files = sc.broadcast((a, b or vocabulary_file("piece_bpe_32k.model"), same_as_ranks(a)))
 
-    def pack(texts: list[str]) -> dict:
-        known = tokenizers_of(files.value)
-        row, total = {}, 0
-        sides: dict[str, list[np.ndarray]] = {"a": [], "b": []}
+    total = text_bytes(docs)
+    n_buckets, tasks = 1 << max(0, (total // BUCKET_BYTES).bit_length()), max(tasks_for(docs.sparkSession), total // TASK_BYTES)
+
+    def pack(texts: list[str]) -> list[bytes]:
+        known, sides = tokenizers_of(files.value), ([], [])
         for at in range(0, len(texts), 200):
-            for (name, side), ids, kind in zip(sides.items(), known.encode(texts[at:at + 200]), (known.kind_a, known.kind_b), strict=True):
+            for side, ids, kind in zip(sides, known.encode(texts[at:at + 200]), (known.kind_a, known.kind_b), strict=True):
                 side += [np.array(i, kind) for i in ids]
-        for name, side in sides.items():
-            row |= {f"n_{name}": pack_array(np.array([len(x) for x in side], np.uint32)), name: pack_array(np.concatenate(side))}
-            total += sum(map(len, side))
-        return row | {"n_tokens": total}
-
-    blocks = pack_blocks(docs, pack, SCHEMA, block_bytes=block_bytes, purpose="alignment-blocks")
-    # Fewer pairs than tokens; a bucket holds the different pairs of each block.
-    n_buckets = bucket_count(blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0], BUCKET_TOKENS)
+        return [x for side in sides for x in (pack_array(np.array([len(i) for i in side], np.uint32)), pack_array(np.concatenate(side)))]
 
-    def ask(row: dict) -> Iterator[tuple[int, bytes]]:
-        pairs, n = Aligned(row, tokenizers_of(files.value)).counted()
+    def ask(payload: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        pairs, n = Aligned(*payload[1:], tokenizers_of(files.value)).counted()
         for bucket, places in _buckets(pairs, n_buckets):
             yield bucket, _pack_numbers(np.diff(pairs[places], prepend=0), n[places])
 
@@ -275,7 +264,9 @@ def align(docs: DataFrame, a: bytes | None = None, b: bytes | None = None, *, bl
         cuts = np.cumsum([len(p) for p, _ in asked])[:-1]
         return [_pack_numbers(x) for x in np.split(total[at], cuts)], _pack_numbers(of_a[first], np.maximum.reduceat(total, first))
 
-    answers = stored(consult(blocks, n_buckets, ask, answer), "alignment-answers")  # read for the highest counts and by the blocks
+    # Tokenizing takes most of the time: blocks are stored, so that a lost executor doesn't repeat it. So are the answers, which are read twice.
+    blocks = stored(pack_blocks(docs, pack, block_bytes=block_bytes), "alignment-blocks")
+    answers = stored(consult(blocks, n_buckets, 1, ask, answer), "alignment-answers")
 
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,28 +276,24 @@ def align(docs: DataFrame, a: bytes | None = None, b: bytes | None = None, *, bl
     best_rows = answers.where("note is not null").select("note").mapInArrow(highest, "a long, n long").groupBy("a").agg(F.max("n").alias("n")).collect()
     best = sc.broadcast({r.a: r.n for r in best_rows})  # at most one entry for each id of A
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokenizers_of(files.value)
+    def finish(payload: list[bytes], found: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        known, doc_ids = tokenizers_of(files.value), unpack_ids(payload[0])
         top = np.zeros(known.size_a, np.int64)
         top[list(best.value)] = list(best.value.values())
-        for batch in sliced(batches, 1):
-            row = batch.to_pylist()[0]
-            block = Aligned(row, known)
-            pairs, at_pair = np.unique(block.pair, return_inverse=True)
-            count = np.zeros(len(pairs), np.int64)
-            found = {x["bucket"]: x["answer"] for x in row["answers"] or ()}
-            for bucket, places in _buckets(pairs, n_buckets):
-                count[places] = _unpack_numbers(found[bucket])[0]
-            counts = count[at_pair]
-            is_best = counts == top[block.pair // known.size_b]
-            edges = np.searchsorted(block.doc, np.arange(len(block.n_a) + 1))
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[edges]) for x in (is_best, counts)]
-            n_groups, texts = block.groups()
-            numbers = [block.n_a, block.n_b, n_groups, np.diff(edges), *sums]
-            for at in range(0, len(texts), 200):
-                to = at + 200
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][at:to], pa.int64()), *(pa.array(c[at:to], pa.int64()) for c in numbers), pa.array(texts[at:to], pa.string())],
-                                                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
-
-    return with_answers(blocks, answers).mapInArrow(
-        finish, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+        block = Aligned(*payload[1:], known)
+        pairs, at_pair = np.unique(block.pair, return_inverse=True)
+        count = np.zeros(len(pairs), np.int64)
+        for bucket, places in _buckets(pairs, n_buckets):
+            count[places] = _unpack_numbers(found[bucket])[0]
+        counts = count[at_pair]
+        is_best = counts == top[block.pair // known.size_b]
+        edges = np.searchsorted(block.doc, np.arange(len(block.n_a) + 1))
+        sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[edges]) for x in (is_best, counts)]
+        n_groups, texts = block.groups()
+        numbers = [block.n_a, block.n_b, n_groups, np.diff(edges), *sums]
+        for at in range(0, len(texts), 200):
+            to = at + 200
+            yield pa.RecordBatch.from_arrays([doc_ids[at:to], *(pa.array(c[at:to], pa.int64()) for c in numbers), pa.array(texts[at:to], pa.string())],
+                                             ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+
+    return finished(blocks, answers, tasks, finish, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
