@@ -150,14 +150,56 @@ def draw_pool(wins: DataFrame, pool: DataFrame, s: CorruptionSettings = Corrupti
     return wins.withColumn("pool_id", F.floor(u * size).cast("bigint"))
 
 
-def replay_corrupt(wins: DataFrame, pool: DataFrame, s: CorruptionSettings = CorruptionSettings()) -> DataFrame:
+WEIGHT_UNIT = 1_000_000
+
+
+def weighted_ranges(pool: DataFrame, weight: Column) -> DataFrame:
+    """(pool_id, lo, hi): each pool window's share of the whole numbers below the total weight.
+
+    Weights count in millionths, so running sums are whole numbers and do not depend on partitioning. Sums run
+    inside bins of 4,096 windows, and over one row per bin. ``weight`` is read from a window's first row; windows
+    without a positive weight are never drawn and have no range.
+    """
+    units = F.greatest(F.bround(F.coalesce(S.finite(weight.cast("double")), F.lit(0.0)) * WEIGHT_UNIT).cast("bigint"), F.lit(0))
+    rows = pool.filter(F.col("idx") == 0).select("pool_id", units.alias("units"), F.floor(F.col("pool_id") / 4096).alias("__bin")).filter("units > 0")
+    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy("__bin").agg(F.sum("units").alias("__sum")).select("__bin", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__skip"))
+    inside = Window.partitionBy("__bin").orderBy("pool_id").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("__upto", F.sum("units").over(inside)).join(bins, "__bin")
+    hi = F.col("__skip") + F.col("__upto")
+    return ranked.select("pool_id", (hi - F.col("units")).alias("lo"), hi.alias("hi"))
+
+
+def draw_weighted(wins: DataFrame, pool: DataFrame, weight: Column, s: CorruptionSettings = CorruptionSettings(), *, payload: DataFrame | None = None) -> DataFrame:
+    """Each window draws a pool window with a chance in proportion to its weight: adds ``pool_id``.
+
+    A keyed whole number below the total weight is looked up in the ranges through an equi-join on bins, as many as there are windows
+    in the pool. A heavy window lies in many bins, so also its draws are dealt out. With ``payload`` (rows per pool_id and idx) the
+    drawn window's rows come along from the bin. A pool without any weight fails the query.
+    """
+    ranges = materialised(weighted_ranges(pool, weight))
+    facts = ranges.agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("n"))
+    total = F.coalesce(facts.select("total").scalar(), F.raise_error(F.lit("no pool window has a weight")).cast("bigint"))
+    size = F.ceil(total / facts.select("n").scalar())
+    u = R.uniform(s.seed, "pool", *[F.col(c) for c in WIN])
+    drawn = wins.withColumn("__at", F.floor(u * total).cast("bigint")).withColumn("__bin", F.floor(F.col("__at") / size))
+    spread = ranges.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
+    keys = ["__bin"]
+    if payload is not None:
+        spread = spread.join(payload, "pool_id")
+        keys = ["__bin", "idx"]
+    met = drawn.join(spread, keys)
+    return met.filter((F.col("__at") >= F.col("lo")) & (F.col("__at") < F.col("hi"))).drop("__at", "__bin", "lo", "hi")
+
+
+def replay_corrupt(wins: DataFrame, pool: DataFrame, s: CorruptionSettings = CorruptionSettings(), *, weight: Column | None = None) -> DataFrame:
     """Each clean window draws one pool window and takes over its errors and misses.
 
-    The draw is a hash modulo the pool size, then an equi-join on (pool_id, idx).
+    Without ``weight`` every pool window is as likely: the draw is a hash modulo the pool size, then an equi-join on
+    (pool_id, idx). With it (a column of the pool) see ``draw_weighted``.
     """
-    drawn = draw_pool(wins, pool, s)
     err = pool.select("pool_id", "idx", *[f"{k}_err_{f}" for k in ("head", "tail") for f in ("seen", "x", "y", "conf")])
-    out = drawn.join(err, ["pool_id", "idx"])
+    out = draw_pool(wins, pool, s).join(err, ["pool_id", "idx"]) if weight is None else draw_weighted(wins, pool, weight, s, payload=err)
     cols = {}
     for k in ("head", "tail"):
         seen = F.col(f"{k}_err_seen")

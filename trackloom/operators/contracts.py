@@ -144,6 +144,94 @@ def verify_alignment(selected: DataFrame, flow: DataFrame, *, expected_frames: i
     return counts
 
 
+def fingerprinted(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A whole number for the content of a row: the first 60 bits of its MD5.
+
+    Numbers count in millionths, rounded half to even, so the text of a number is the same in any engine; NULL and
+    not-a-number are told apart from everything else.
+    """
+    parts = []
+    for c in columns:
+        kind = df.schema[c].dataType
+        value = F.col(c)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            value = F.bround(S.finite(value.cast("double")) * 1e6).cast("bigint")
+        parts.append(F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-")))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def content_fingerprints(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, rows, fingerprint): the sum of row numbers, whatever the order of rows and partitions.
+
+    Summed map-side as decimals, so the exchange carries a row per key and task.
+    """
+    keyed = df.select(*by, fingerprinted(df, columns).cast("decimal(38,0)").alias("__f"))
+    return keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("__f"), F.lit(0)).cast("decimal(38,0)").alias("fingerprint"))
+
+
+def split_report(selected: DataFrame, flow: DataFrame, splits: DataFrame, expected: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """One row per split: sequences and frames of both tables, their content fingerprints, and whether sizes are as expected.
+
+    ``expected``: split to (sequences, frames); a split named there and absent from the data has zeros. Sequences
+    without a split are reported under NULL. ``split_sequences`` has the list of sequences.
+    """
+    names = [f"{k}_{f}" for k in ("head", "tail") for f in PREDICTION_FIELDS]
+    long = ["swing_id", "image_stem", "keypoint", *PREDICTION_FIELDS, *BOX_FIELDS]
+    wide = ["swing_id", "image_stem", *names, *BOX_FIELDS]
+
+    def side(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+        per_swing = content_fingerprints(df, columns, ["swing_id"]).join(splits, "swing_id", "left")
+        return per_swing.groupBy("split").agg(
+            F.count(F.lit(1)).alias(f"{name}_swings"), F.sum("rows").alias(f"{name}_rows"), F.sum("fingerprint").cast("decimal(38,0)").alias(f"{name}_fingerprint"))
+    frames = selected.select("swing_id", "image_stem").distinct().join(splits, "swing_id", "left").groupBy("split").agg(F.count(F.lit(1)).alias("frames"))
+    wanted = df_of(selected.sparkSession, expected)
+    known = [side(selected.filter(F.col("keypoint").isin("head", "tail")), long, "selected"), side(flow, wide, "flow"), frames]
+    keys = wanted.select("split")
+    for table in known:
+        keys = keys.union(table.select("split"))
+    out = keys.distinct().join(wanted, "split", "left")
+    for table in known:
+        renamed = table.withColumnRenamed("split", "__s")
+        out = out.join(renamed, F.col("split").eqNullSafe(F.col("__s")), "left").drop("__s")
+    counts = [c for c in out.columns if c.endswith(("_swings", "_rows", "_fingerprint")) and not c.startswith("expected")] + ["frames"]
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType)) for c in counts})
+    as_wanted = (F.col("selected_swings") == F.col("expected_swings")) & (F.col("frames") == F.col("expected_frames"))
+    return out.withColumn("as_expected", F.coalesce(as_wanted, F.lit(False)))
+
+
+def df_of(spark, expected: Mapping[str, tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame([(k, *v) for k, v in expected.items()], "split string, expected_swings long, expected_frames long")
+
+
+def split_sequences(selected: DataFrame, splits: DataFrame) -> DataFrame:
+    """The list of sequences: (split, swing_id, frames)."""
+    frames = selected.select("swing_id", "image_stem").distinct().groupBy("swing_id").agg(F.count(F.lit(1)).alias("frames"))
+    return frames.join(splits, "swing_id", "left").select("split", "swing_id", "frames")
+
+
+def column_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, differing): the names of the columns in which two tables differ in a row; a row of one table alone differs in all."""
+    left = a.select(*keys, F.lit(True).alias("__a"), *[F.col(c).alias(f"__a_{c}") for c in columns])
+    right = b.select(*keys, F.lit(True).alias("__b"), *[F.col(c).alias(f"__b_{c}") for c in columns])
+    alone = F.col("__a").isNull() | F.col("__b").isNull()
+    names = F.array(*[F.when(alone | ~F.col(f"__a_{c}").eqNullSafe(F.col(f"__b_{c}")), c) for c in columns])
+    return left.join(right, list(keys), "full").select(*keys, F.array_compact(names).alias("differing"))
+
+
+def require_rows(df: DataFrame, message: Column | str, facts: DataFrame | None = None) -> DataFrame:
+    """``df``; a query over it fails with ``message`` if it has no row.
+
+    The check rides in the plan: a second branch, which never yields a row, looks for one row and raises if there is none.
+    ``message`` may use the columns of ``facts``, a table of one row; a NULL message lets the empty table pass.
+    """
+    found = df.select(F.lit(1).alias("__one")).limit(1).agg(F.count(F.lit(1)).alias("__n"))
+    if facts is not None:
+        found = facts.withColumn("__n", found.scalar())
+    text = F.lit(message) if isinstance(message, str) else message
+    checked = found.filter(F.when((F.col("__n") == 0) & text.isNotNull(), F.raise_error(text).cast("boolean")).otherwise(F.lit(False)))
+    return df.unionByName(checked.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+
+
 def hash_order(ids: DataFrame, seed: int, col: str = "swing_id") -> DataFrame:
     """Rank ids by md5(seed|id); 4096 hash bins keep every rank window small."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(col)).cast("binary"))

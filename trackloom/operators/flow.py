@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
+from trackloom.operators.quantiles import bucket_of, interpolated, values_at, wanted_buckets
 from trackloom.schemas import FLOW_REGIONS, GLOBAL_FLOW_STATS, REGION_FLOW_STATS
 
 
@@ -41,9 +42,88 @@ def catalogue_indices(files: DataFrame, path: str = "path") -> DataFrame:
         "frame_idx": F.when(F.size(groups) >= 2, F.try_element_at(groups, F.lit(-1)).try_cast("int"))})
 
 
-def global_stats(fields: DataFrame) -> DataFrame:
-    return fields.withColumn("g", field_stats(F.col("fx"), F.col("fy"))).select(
-        "swing_id", "frame_idx", "prev_frame_idx", "flow_file", *[F.col(f"g.{s}").alias(s) for s in GLOBAL_FLOW_STATS])
+TILE_ROWS, TILE_COLUMNS = 64, 1024
+ROW_PIXELS = 65_536
+FIELD = ["swing_id", "frame_idx"]
+
+
+def field_tiles(fields: DataFrame, rows: int = TILE_ROWS, columns: int = TILE_COLUMNS) -> DataFrame:
+    """Fields cut into tiles of at most ``rows`` x ``columns`` pixels, the only form in which operators hold them.
+
+    For sources that deliver a whole row-major field (fx, fy, width, height); a reader of larger
+    images yields tiles itself: ty and tx count tiles, y1 and x1 are a tile's first pixel, w its width.
+    """
+    w, h = F.col("width"), F.col("height")
+    across = F.ceil(w / columns).cast("int")
+    place = F.posexplode(F.sequence(F.lit(0), F.ceil(h / rows).cast("int") * across - 1)).alias("at", "tile")
+    out = fields.select("swing_id", "frame_idx", "prev_frame_idx", "flow_file", "width", "height", "fx", "fy", place)
+    out = out.withColumns({"ty": F.floor(F.col("tile") / across).cast("int"), "tx": (F.col("tile") % across).cast("int")})
+    out = out.withColumns({"y1": F.col("ty") * rows, "x1": F.col("tx") * columns}).withColumns({
+        "w": F.least(F.lit(columns), w - F.col("x1")), "h": F.least(F.lit(rows), h - F.col("y1"))})
+
+    def cut(field: str) -> Column:
+        return F.flatten(F.transform(F.sequence(F.col("y1"), F.col("y1") + F.col("h") - 1), lambda y: F.slice(field, y * w + F.col("x1") + 1, F.col("w"))))
+    return out.select("swing_id", "frame_idx", "prev_frame_idx", "flow_file", "width", "height", "ty", "tx", "y1", "x1", "w",
+                      cut("fx").alias("fx"), cut("fy").alias("fy"))
+
+
+def field_catalogue(tiles: DataFrame) -> DataFrame:
+    """One row per field, from its first tile."""
+    return tiles.filter((F.col("ty") == 0) & (F.col("tx") == 0)).select("swing_id", "frame_idx", "prev_frame_idx", "flow_file", "width", "height")
+
+
+def _pixels(pieces: DataFrame, *keep: str | Column) -> DataFrame:
+    px = pieces.select(*keep, F.inline(F.arrays_zip(F.col("fx"), F.col("fy"))))
+    return px.withColumn("mag", F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")))
+
+
+def _small_stats(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of groups whose pixels fit in one row."""
+    parts = pieces.groupBy(*keys).agg(F.collect_list(F.struct("fx", "fy")).alias("p"))
+    stats = parts.select(*keys, field_stats(F.flatten("p.fx"), F.flatten("p.fy")).alias("g"))
+    return stats.select(*keys, *[F.col(f"g.{s}").alias(s) for s in GLOBAL_FLOW_STATS])
+
+
+def _large_stats(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for groups of any size: moments per magnitude bucket, then the exact values at the wanted ranks.
+
+    The first pass sums map-side; the second explodes only tiles again and keeps the pixels of wanted buckets.
+    """
+    n = F.col("__c")
+    px = _pixels(pieces, *keys).withColumn("__b", bucket_of(F.col("mag")))
+    axes = {"fx": "flow_x", "fy": "flow_y", "mag": "flow_mag"}
+    hist = px.groupBy(*keys, "__b").agg(
+        F.count(F.lit(1)).alias("__c"), F.min("mag").alias("__lo"), F.max("mag").alias("__hi"),
+        *[f(a).alias(f"__{f.__name__}_{a}") for a in axes for f in (F.avg, F.var_pop)])
+    whole = Window.partitionBy(*keys)
+    centred = hist.withColumns({f"__mean_{a}": F.sum(n * F.col(f"__avg_{a}")).over(whole) / F.sum(n).over(whole) for a in axes})
+
+    def spread(a: str) -> Column:
+        off = F.col(f"__avg_{a}") - F.col(f"__mean_{a}")
+        return F.sqrt(F.sum(n * (F.col(f"__var_pop_{a}") + off * off)) / F.sum(n))
+    moments = centred.groupBy(*keys).agg(
+        *[F.first(f"__mean_{a}").alias(f"{s}_mean") for a, s in axes.items()], *[spread(a).alias(f"{s}_std") for a, s in axes.items()],
+        F.max("__hi").alias("flow_mag_max"))
+    probs = {"p50": .5, "p90": .9, "p95": .95, "p99": .99}
+    facts = ["__b", "__skip", "__n", "__c", "__lo", "__hi"]
+    wanted = wanted_buckets(hist.select(*keys, "__b", "__c", "__lo", "__hi"), keys, probs)
+    wanted = wanted.groupBy(*keys).agg(F.collect_list(F.struct(*facts)).alias("__want"))
+    again = _pixels(pieces.join(wanted, keys), *keys, "__want").withColumn("__b", bucket_of(F.col("mag")))
+    rows = again.filter(F.array_contains("__want.__b", F.col("__b"))).select(*keys, F.col("mag").alias("__v"), F.filter(
+        "__want", lambda t: t["__b"] == F.col("__b"))[0].alias("__t")).select(*keys, "__v", "__t.*")
+    spans = values_at(rows, keys, probs).withColumn("__m", F.lit("flow_mag"))
+    return moments.join(interpolated(spans, keys, ["flow_mag"], probs), keys).select(*keys, *GLOBAL_FLOW_STATS)
+
+
+def piece_stats(pieces: DataFrame, keys: list[str], pixels: Column, row_pixels: int = ROW_PIXELS) -> DataFrame:
+    """Eleven statistics per group of pieces (arrays fx, fy); ``pixels`` is the size of the whole group."""
+    few = pixels <= row_pixels
+    return _small_stats(pieces.filter(few), keys).unionByName(_large_stats(pieces.filter(~few), keys))
+
+
+def global_stats(tiles: DataFrame, *, row_pixels: int = ROW_PIXELS) -> DataFrame:
+    keys = ["swing_id", "frame_idx", "prev_frame_idx", "flow_file"]
+    return piece_stats(tiles, keys, F.col("width") * F.col("height"), row_pixels).select(*keys, *GLOBAL_FLOW_STATS)
 
 
 def attach_global(frames: DataFrame, stats: DataFrame) -> DataFrame:
@@ -71,65 +151,97 @@ def box_bounds(x1, y1, x2, y2, pad: int, width: Column, height: Column) -> Colum
     return F.when(known & (b > a) & (d > c), F.struct(a.alias("x1"), b.alias("x2"), c.alias("y1"), d.alias("y2")))
 
 
-def _crop(field: Column, box: Column, width: Column) -> Column:
-    """Rows y1..y2-1 of a row-major field, columns x1..x2-1: only the region is touched."""
-    return F.flatten(F.transform(
-        F.sequence(box["y1"], box["y2"] - 1), lambda y: F.slice(field, y * width + box["x1"] + 1, box["x2"] - box["x1"])))
-
-
-def region_stats(frames: DataFrame, fields: DataFrame, *, radius: int = 8, pad: int = 5) -> DataFrame:
-    """Flow statistics around head, around tail and inside the box of each frame.
-
-    Frame index 1 or less, or a missing field, gives zeros. ``frames`` has head/tail
-    predictions and a box in pixels of the field.
-    """
-    f = fields.select("swing_id", "frame_idx", "flow_file", "width", "height", "fx", "fy")
-    out = frames.join(f, ["swing_id", "frame_idx"], "left")
+def _regions(frames: DataFrame, tiles: DataFrame, radius: int, pad: int) -> DataFrame:
+    """Frames with the facts of their field and the three boxes, NULL where a region is not valid."""
+    out = frames.join(field_catalogue(tiles).drop("prev_frame_idx"), FIELD, "left")
     usable = F.col("flow_file").isNotNull() & (F.col("frame_idx") > 1)
     w, h = F.col("width"), F.col("height")
     boxes = {
         "head": region_bounds(F.col("head_pred_x"), F.col("head_pred_y"), radius, w, h),
         "tail": region_bounds(F.col("tail_pred_x"), F.col("tail_pred_y"), radius, w, h),
         "bbox": box_bounds(F.col("bbox_x1"), F.col("bbox_y1"), F.col("bbox_x2"), F.col("bbox_y2"), pad, w, h)}
-    out = out.withColumns({
+    return out.withColumns({
         "has_prev_flow": usable.cast("int"),
         "prev_frame_idx": F.when(F.col("frame_idx") > 1, F.col("frame_idx") - 1),
         **{f"{r}_box": F.when(usable, b) for r, b in boxes.items()}})
-    out = out.withColumns({
-        f"{r}_stats": F.when(F.col(f"{r}_box").isNotNull(), field_stats(
-            _crop(F.col("fx"), F.col(f"{r}_box"), w), _crop(F.col("fy"), F.col(f"{r}_box"), w))) for r in FLOW_REGIONS})
+
+
+def box_pieces(boxes: DataFrame, tiles: DataFrame, rows: int, columns: int) -> DataFrame:
+    """The part of every tile that a box touches: (swing_id, frame_idx, box, fx, fy).
+
+    An equi-join on (field, tile): a box reads the tiles under it, not the field.
+    """
+    box = F.col("box")
+
+    def tile_of(edge: str, size: int, last: bool = False) -> Column:
+        return F.floor((box[edge] - int(last)) / size).cast("int")
+    each = boxes.withColumn("ty", F.explode(F.sequence(tile_of("y1", rows), tile_of("y2", rows, True)))).withColumn(
+        "tx", F.explode(F.sequence(tile_of("x1", columns), tile_of("x2", columns, True))))
+    grid = tiles.select(*FIELD, "ty", "tx", F.col("y1").alias("top"), F.col("x1").alias("left"), "w", "fx", "fy")
+    met = each.join(grid, [*FIELD, "ty", "tx"])
+    y1, y2 = F.greatest(box["y1"] - F.col("top"), F.lit(0)), F.least(box["y2"] - F.col("top"), F.lit(rows))
+    x1 = F.greatest(box["x1"] - F.col("left"), F.lit(0))
+    x2 = F.least(box["x2"] - F.col("left"), F.col("w"))
+
+    def cut(field: str) -> Column:
+        return F.flatten(F.transform(F.sequence(y1, y2 - 1), lambda y: F.slice(field, y * F.col("w") + x1 + 1, x2 - x1)))
+    return met.select(*FIELD, "box", cut("fx").alias("fx"), cut("fy").alias("fy"))
+
+
+def region_stats(frames: DataFrame, tiles: DataFrame, *, radius: int = 8, pad: int = 5, tile: tuple[int, int] = (TILE_ROWS, TILE_COLUMNS),
+                 row_pixels: int = ROW_PIXELS) -> DataFrame:
+    """Flow statistics around head, around tail and inside the box of each frame.
+
+    Frame index 1 or less, or a missing field, gives zeros. ``frames`` has head/tail
+    predictions and a box in pixels of the field; ``tile`` is the size ``tiles`` were cut to. A statistic
+    depends on the field and the box alone, so equal boxes of a field are computed once.
+    """
+    out = _regions(frames, tiles, radius, pad)
+    boxes = out.select(*FIELD, F.explode(F.array(*[F.col(f"{r}_box") for r in FLOW_REGIONS])).alias("box")).filter("box is not null").distinct()
+    box = F.col("box")
+    stats = piece_stats(box_pieces(boxes, tiles, *tile), [*FIELD, "box"], (box["x2"] - box["x1"]) * (box["y2"] - box["y1"]), row_pixels)
+    # At most three boxes for each frame row of a field.
+    found = stats.groupBy(*FIELD).agg(F.collect_list(F.struct("box", *REGION_FLOW_STATS)).alias("found"))
+    out = out.join(found, FIELD, "left").withColumns({
+        f"{r}_stats": F.try_element_at(F.filter("found", _same_box(f"{r}_box")), F.lit(1)) for r in FLOW_REGIONS})
     cols = {}
     for r in FLOW_REGIONS:
         cols[f"{r}_valid"] = F.col(f"{r}_box").isNotNull().cast("int")
         for s in REGION_FLOW_STATS:
             cols[f"{r}_{s}"] = F.coalesce(F.col(f"{r}_stats.{s}"), F.lit(0.0))
-    return out.withColumns(cols).drop("fx", "fy", "width", "height", *[f"{r}_{x}" for r in FLOW_REGIONS for x in ("box", "stats")])
+    return out.withColumns(cols).drop("found", "width", "height", *[f"{r}_{x}" for r in FLOW_REGIONS for x in ("box", "stats")])
+
+
+def _same_box(name: str):
+    return lambda found: found["box"] == F.col(name)
 
 
-def require_single(df: DataFrame, keys: list[str], what: str) -> None:
-    """Raise if a key occurs twice; a merge on it would multiply rows."""
-    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(5).collect()
-    if twice:
-        raise ValueError(f"{what}: repeated keys, among them {[tuple(r)[:-1] for r in twice]}")
+def single_keys(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """``df``; a query over it fails when a key occurs twice, as a merge on it would multiply rows.
+
+    The check is a part of the plan: rows meet by key, which the merge needs anyway, and are counted there, so it
+    costs no job and no further exchange. Keys with NULL count as equal.
+    """
+    text = F.concat_ws(", ", *[F.concat_ws("=", F.lit(k), F.coalesce(F.col(k).cast("string"), F.lit("NULL"))) for k in keys])
+    counted = df.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    refused = F.raise_error(F.concat(F.lit(f"{what}: repeated key "), text)).cast("boolean")
+    return counted.filter(F.when(F.col("__rows") > 1, refused).otherwise(F.lit(True))).drop("__rows")
 
 
 def merge_local(wide: DataFrame, local: DataFrame) -> DataFrame:
     """One-to-one left join on (image_stem, swing_id, frame); echoes of the detector are left out."""
-    for side, what in ((wide, "observations"), (local, "local flow")):
-        require_single(side, ["image_stem", "swing_id", "frame"], what)
+    keys = ["image_stem", "swing_id", "frame"]
     echo = ["head_pred_x", "head_pred_y", "head_pred_conf", "tail_pred_x", "tail_pred_y", "tail_pred_conf",
             "bbox_conf", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "flow_file"]
-    return wide.join(local.drop(*echo), ["image_stem", "swing_id", "frame"], "left")
+    return single_keys(wide, keys, "observations").join(single_keys(local.drop(*echo), keys, "local flow"), keys, "left")
 
 
 def merge_global(wide: DataFrame, stats: DataFrame) -> DataFrame:
     """One-to-one left join of prefixed global statistics on (swing_id, frame_idx)."""
-    for side, what in ((wide, "observations"), (stats, "global flow")):
-        require_single(side, ["swing_id", "frame_idx"], what)
     names = ["has_prev_flow", "prev_frame_idx", "flow_file", *GLOBAL_FLOW_STATS]
     g = stats.withColumnsRenamed({n: f"global_{n}" for n in names})
-    keep = ["swing_id", "frame_idx", "frame_name", *[f"global_{n}" for n in names]]
-    return wide.join(g.select(*keep), ["swing_id", "frame_idx"], "left")
+    keep = [*FIELD, "frame_name", *[f"global_{n}" for n in names]]
+    return single_keys(wide, FIELD, "observations").join(single_keys(g.select(*keep), FIELD, "global flow"), FIELD, "left")
 
 
 def sanity_columns(wide: DataFrame) -> DataFrame:
@@ -141,7 +253,7 @@ def sanity_columns(wide: DataFrame) -> DataFrame:
 
 
 def completeness(frames: DataFrame, fields: DataFrame) -> DataFrame:
-    """Expected (frames - 1) against existing fields per sequence."""
+    """Expected (frames - 1) against existing fields per sequence; ``fields`` has one row per field."""
     expected = frames.groupBy("swing_id").agg(F.count(F.lit(1)).alias("n_frames"))
     existing = fields.groupBy("swing_id").agg(F.count(F.lit(1)).alias("existing_flows"))
     out = expected.join(existing, "swing_id", "left").withColumn("existing_flows", F.coalesce("existing_flows", F.lit(0)))
@@ -149,17 +261,10 @@ def completeness(frames: DataFrame, fields: DataFrame) -> DataFrame:
         "complete", (F.col("n_frames") >= 2) & (F.col("existing_flows") == F.col("expected_flows")))
 
 
-def region_pixels(frames: DataFrame, fields: DataFrame, *, radius: int = 8, pad: int = 5) -> DataFrame:
-    """Pixels (x, y, fx, fy) of every region, cut from the field before they are exploded."""
-    f = fields.select("swing_id", "frame_idx", "width", "height", "fx", "fy")
-    out = frames.filter(F.col("frame_idx") > 1).join(f, ["swing_id", "frame_idx"])
-    w, h = F.col("width"), F.col("height")
-    boxes = {
-        "head": region_bounds(F.col("head_pred_x"), F.col("head_pred_y"), radius, w, h),
-        "tail": region_bounds(F.col("tail_pred_x"), F.col("tail_pred_y"), radius, w, h),
-        "bbox": box_bounds(F.col("bbox_x1"), F.col("bbox_y1"), F.col("bbox_x2"), F.col("bbox_y2"), pad, w, h)}
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("region"), b.alias("box")) for r, b in boxes.items()]))
-    out = out.select("image_stem", "swing_id", "frame_idx", "width", "fx", "fy", each.alias("e")).filter(F.col("e.box").isNotNull())
-    box = F.col("e.box")
-    return out.select("image_stem", "swing_id", "frame_idx", F.col("e.region").alias("region"), F.inline(F.arrays_zip(
-        _crop(F.col("fx"), box, w).alias("fx"), _crop(F.col("fy"), box, w).alias("fy"))))
+def region_pixels(frames: DataFrame, tiles: DataFrame, *, radius: int = 8, pad: int = 5, tile: tuple[int, int] = (TILE_ROWS, TILE_COLUMNS)) -> DataFrame:
+    """Pixels (x, y, fx, fy) of every region, cut from the tiles before they are exploded."""
+    out = _regions(frames, tiles, radius, pad)
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("region"), F.col(f"{r}_box").alias("box")) for r in FLOW_REGIONS]))
+    named = out.select("image_stem", *FIELD, each.alias("e")).filter("e.box is not null").select("image_stem", *FIELD, "e.region", "e.box")
+    pieces = box_pieces(named.select(*FIELD, "box").distinct(), tiles, *tile)
+    return named.join(pieces, [*FIELD, "box"]).select("image_stem", *FIELD, "region", F.inline(F.arrays_zip("fx", "fy")))

@@ -1,7 +1,7 @@
 """Error statistics over overlapping groups of frames.
 
-A frame belongs to several groups, so group names are exploded and summed with
-map-side aggregation; only (series, group) partial sums are shuffled. Quantiles use
+A frame belongs to several groups. Frames are summed by their whole list of groups, of which there are
+a few dozen, and only these sums are exploded into groups. Quantiles use
 ``group_quantiles``. Groups come from a fixed list, so empty ones are reported too.
 """
 
@@ -132,17 +132,37 @@ def series_rows(frames: DataFrame) -> DataFrame:
     return frames.select("*", F.inline(pairs)).filter(F.col("error").isNotNull())
 
 
+def member_sums(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], groups: str = "groups") -> DataFrame:
+    """Sums per (keys, grp) of rows that are in several groups.
+
+    Rows are summed by their whole list of groups, a few dozen lists; only these sums are exploded.
+    """
+    by_list = rows.groupBy(*keys, groups).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return by_list.withColumn("grp", F.explode(groups)).groupBy(*keys, "grp").agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def error_by_group(frames: DataFrame) -> DataFrame:
-    rows = in_groups(series_rows(frames)).select("series", "grp", "error")
-    return complete(error_stats(rows, ["series", "grp"], "error", few_groups=True), {"series": SERIES, "grp": GROUPS})
+    """``error_stats`` per series and group of frames."""
+    rows = series_rows(frames.withColumn("groups", group_array())).select("series", "groups", "error")
+    e, n = F.col("error"), F.col("count")
+    sums = member_sums(rows, ["series"], {
+        "count": F.lit(1), "squares": e * e, "sizes": F.abs(e), "over20": (e > 20).cast("bigint"), "over40": (e > 40).cast("bigint"),
+        "nan": F.isnan(e).cast("bigint")})
+    q = group_quantiles(rows, ["series"], {"v": e}, {"p90": 0.9}, member="groups")
+    stats = sums.join(F.broadcast(q), ["series", "grp"], "left").select(
+        "series", "grp", n, F.sqrt(F.col("squares") / n).alias("rmse"), (F.col("sizes") / n).alias("mae"),
+        F.when(F.col("nan") > 0, F.lit(float("nan"))).otherwise(F.col("v_p90")).alias("p90"),
+        (F.col("over20") / n).alias("gt20"), (F.col("over40") / n).alias("gt40"))
+    return complete(stats, {"series": SERIES, "grp": GROUPS})
 
 
 def mean_and_quantiles(frames: DataFrame, value: str) -> DataFrame:
     """count, mean, p50, p90 per group of rows where ``value`` is not NULL."""
-    rows = in_groups(frames).select("grp", F.col(value).alias("v")).filter(F.col("v").isNotNull())
-    sums = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"))
-    q = group_quantiles(rows, ["grp"], {"v": F.col("v")}, {"p50": .5, "p90": .9}, few_groups=True)
-    out = sums.join(F.broadcast(q), "grp", "left").withColumnsRenamed({"v_p50": "p50", "v_p90": "p90"})
+    rows = frames.select(group_array().alias("groups"), F.col(value).alias("v")).filter(F.col("v").isNotNull())
+    sums = member_sums(rows, [], {"count": F.lit(1), "total": F.col("v")})
+    q = group_quantiles(rows, [], {"v": F.col("v")}, {"p50": .5, "p90": .9}, member="groups")
+    out = sums.join(F.broadcast(q), "grp", "left").select(
+        "grp", "count", (F.col("total") / F.col("count")).alias("mean"), F.col("v_p50").alias("p50"), F.col("v_p90").alias("p90"))
     return complete(out, {"grp": GROUPS})
 
 
@@ -180,39 +200,51 @@ def axis_error_summary(frames: DataFrame) -> DataFrame:
 
     The unfilled and the filled head are the same point, so one table serves both.
     """
-    rows = in_groups(axis_rows(frames), group_array(("base", "head_visibility", "tail_visibility")))
-    rows = rows.select("grp", "u", "v", "euclid", "u_quality", "v_quality", "axis_quality")
+    rows = axis_rows(frames).withColumn("groups", group_array(("base", "head_visibility", "tail_visibility")))
+    rows = rows.select("groups", "u", "v", "euclid", "u_quality", "v_quality", "axis_quality")
     labels = {"u": ("ok", "slightly_bad", "bad", "very_bad"), "v": ("ok", "slightly_bad", "bad"),
               "axis": ("ok", "slightly_bad", "bad", "very_bad")}
-    n = F.count(F.lit(1))
-    aggs = [n.alias("count")]
+    e, n = F.col("euclid"), F.col("count")
+    sums = {"count": F.lit(1), "__euclid": e, "__euclid2": e * e, "__euclid_gt20": (e > 20).cast("bigint"), "__euclid_gt40": (e > 40).cast("bigint")}
     for c in ("u", "v"):
         x = F.col(c)
-        aggs += [F.avg(x).alias(f"{c}_mean_signed"), F.avg(F.abs(x)).alias(f"{c}_mae"), F.sqrt(F.avg(x * x)).alias(f"{c}_rmse"),
-                 *[F.avg((F.abs(x) > t).cast("double")).alias(f"{c}_gt{t}") for t in (5, 10, 20)]]
-    e = F.col("euclid")
-    aggs += [F.sqrt(F.avg(e * e)).alias("euclid_rmse"), F.avg(e).alias("euclid_mae"),
-             F.avg((e > 20).cast("double")).alias("euclid_gt20"), F.avg((e > 40).cast("double")).alias("euclid_gt40")]
+        sums |= {f"__{c}": x, f"__{c}_abs": F.abs(x), f"__{c}2": x * x, **{f"__{c}_gt{t}": (F.abs(x) > t).cast("bigint") for t in (5, 10, 20)}}
     counts = ["count"]
     for kind, names in labels.items():
-        for name in names:
-            hits = F.count_if(F.col(f"{kind}_quality") == name)
-            aggs += [hits.alias(f"{kind}_{name}_count"), (hits / n).alias(f"{kind}_{name}_rate")]
-            counts.append(f"{kind}_{name}_count")
-    sums = rows.groupBy("grp").agg(*aggs)
-    q = group_quantiles(rows, ["grp"], {"u": F.abs("u"), "v": F.abs("v"), "euclid": e}, {"median_abs": .5, "p90_abs": .9}, few_groups=True)
-    out = sums.join(F.broadcast(q), "grp", "left").withColumnRenamed("euclid_p90_abs", "euclid_p90").drop("euclid_median_abs")
+        sums |= {f"{kind}_{name}_count": (F.col(f"{kind}_quality") == name).cast("bigint") for name in names}
+        counts += [f"{kind}_{name}_count" for name in names]
+    total = member_sums(rows, [], sums)
+    out = []
+    for c in ("u", "v"):
+        out += [(F.col(f"__{c}") / n).alias(f"{c}_mean_signed"), (F.col(f"__{c}_abs") / n).alias(f"{c}_mae"), F.sqrt(F.col(f"__{c}2") / n).alias(f"{c}_rmse"),
+                *[(F.col(f"__{c}_gt{t}") / n).alias(f"{c}_gt{t}") for t in (5, 10, 20)]]
+    out += [F.sqrt(F.col("__euclid2") / n).alias("euclid_rmse"), (F.col("__euclid") / n).alias("euclid_mae"),
+            *[(F.col(f"__euclid_gt{t}") / n).alias(f"euclid_gt{t}") for t in (20, 40)]]
+    out += [x for kind, names in labels.items() for name in names for x in (
+        F.coalesce(F.col(f"{kind}_{name}_count"), F.lit(0)).alias(f"{kind}_{name}_count"), (F.coalesce(F.col(f"{kind}_{name}_count"), F.lit(0)) / n).alias(f"{kind}_{name}_rate"))]
+    q = group_quantiles(rows, [], {"u": F.abs("u"), "v": F.abs("v"), "euclid": e}, {"median_abs": .5, "p90_abs": .9}, member="groups")
+    stats = total.select("grp", "count", *out).join(F.broadcast(q), "grp", "left").withColumnRenamed("euclid_p90_abs", "euclid_p90").drop("euclid_median_abs")
     groups = [g for gs in AXIS_FAMILIES.values() for g in gs]
-    return complete(out, {"grp": groups}, counts)
+    return complete(stats, {"grp": groups}, counts)
+
 
+EFFECTS = ("improved", "worsened", "effective", "hurt", "neutral")
 
-def _effect_counts(gain: Column, threshold: float, prefix: str) -> list[Column]:
+
+def _effects(gain: Column, threshold: float) -> dict[str, Column]:
+    """1 or 0 for each kind of effect of a gain; 0 where there is none."""
     kinds = {"improved": gain > 0, "worsened": gain < 0, "effective": gain >= threshold, "hurt": gain <= -threshold,
              "neutral": F.abs(gain) < threshold}
-    out = []
-    for name, hit in kinds.items():
-        out += [F.count_if(hit).alias(f"{prefix}{name}_count"), F.avg(hit.cast("double")).alias(f"{prefix}{name}_rate")]
-    return out
+    return {name: F.coalesce(kinds[name], F.lit(False)).cast("bigint") for name in EFFECTS}
+
+
+def _share(part: str, of: str) -> Column:
+    return F.when(F.col(of) > 0, F.col(part) / F.col(of))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Rows with ``groups``; a single group ``grp`` per row becomes a list of one."""
+    return rows if "groups" in rows.columns else rows.withColumn("groups", F.array("grp"))
 
 
 def gain_rows(frames: DataFrame, after: str) -> DataFrame:
@@ -227,39 +259,46 @@ def effect_by_group(rows: DataFrame, groups: Sequence[str], *, threshold: float
                     shift_threshold: float | None = None) -> DataFrame:
     """Improved / worsened / effective / hurt / neutral counts and rates of two gains.
 
-    ``rows`` has grp, gain_raw, gain_filled; with ``shift_threshold`` also final_shift
+    ``rows`` has groups (or grp), gain_raw, gain_filled; with ``shift_threshold`` also final_shift
     and delta_mag.
     """
-    aggs, counts = [], []
-    for base in ("raw", "filled"):
-        g = F.col(f"gain_{base}")
-        aggs += [F.count(g).alias(f"eligible_{base}"), F.avg(g).alias(f"mean_gain_{base}"), *_effect_counts(g, threshold, f"{base}_")]
-        counts += [f"eligible_{base}", *[f"{base}_{k}_count" for k in ("improved", "worsened", "effective", "hurt", "neutral")]]
+    sums, out, counts = {}, [], []
     values = {"gain_raw": F.col("gain_raw"), "gain_filled": F.col("gain_filled")}
-    keep = ["grp", "gain_raw", "gain_filled"]
+    keep = ["groups", "gain_raw", "gain_filled"]
+    for base in ("raw", "filled"):
+        g, n = F.col(f"gain_{base}"), f"eligible_{base}"
+        sums |= {n: g.isNotNull().cast("bigint"), f"__gain_{base}": g, **{f"{base}_{k}_count": hit for k, hit in _effects(g, threshold).items()}}
+        out += [F.col(n), _share(f"__gain_{base}", n).alias(f"mean_gain_{base}")]
+        out += [x for k in EFFECTS for x in (F.col(f"{base}_{k}_count"), _share(f"{base}_{k}_count", n).alias(f"{base}_{k}_rate"))]
+        counts += [n, *[f"{base}_{k}_count" for k in EFFECTS]]
     if shift_threshold is not None:
         ok = F.col("gain_filled").isNotNull()
         moved = F.coalesce(S.finite(F.col("final_shift")) >= shift_threshold, F.lit(False))
-        aggs += [F.count_if(ok & moved).alias("moved_count"), F.avg(F.when(ok, moved.cast("double"))).alias("moved_rate"),
-                 F.avg(F.when(ok, F.col("final_shift"))).alias("mean_shift"), F.avg(F.when(ok, F.col("delta_mag"))).alias("mean_delta")]
+        shift, delta = F.when(ok, F.col("final_shift")), F.when(ok, F.col("delta_mag"))
+        sums |= {"moved_count": (ok & moved).cast("bigint"), "__shift": shift, "__shifts": shift.isNotNull().cast("bigint"), "__delta": delta, "__deltas": delta.isNotNull().cast("bigint")}
+        out += [F.col("moved_count"), _share("moved_count", "eligible_filled").alias("moved_rate"), _share("__shift", "__shifts").alias("mean_shift"), _share("__delta", "__deltas").alias("mean_delta")]
         counts.append("moved_count")
-        values["shift"] = F.when(ok, F.col("final_shift"))
+        values["shift"] = shift
         keep += ["final_shift", "delta_mag"]
-    rows = rows.select(*keep)
-    sums = rows.groupBy("grp").agg(*aggs)
-    q = group_quantiles(rows, ["grp"], values, {"median": .5, "p10": .1, "p90": .9}, few_groups=True)
+    rows = _listed(rows).select(*keep)
+    stats = member_sums(rows, [], sums).select("grp", *out)
+    q = group_quantiles(rows, [], values, {"median": .5, "p10": .1, "p90": .9}, member="groups")
     if shift_threshold is not None:
         q = q.drop("shift_p10", "shift_p90")
-    return complete(sums.join(F.broadcast(q), "grp", "left"), {"grp": groups}, counts)
+    return complete(stats.join(F.broadcast(q), "grp", "left"), {"grp": groups}, counts)
+
+
+def grouped_gains(frames: DataFrame, after: str) -> DataFrame:
+    return gain_rows(frames, after).withColumn("groups", group_array())
 
 
 def correction_effect(frames: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
-    return effect_by_group(in_groups(gain_rows(frames, "final_error")), groups, shift_threshold=1.0)
+    return effect_by_group(grouped_gains(frames, "final_error"), groups, shift_threshold=1.0)
 
 
 def prior_effect(frames: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     """Same for the prior; prior minus base statistics are the negated gains."""
-    out = effect_by_group(in_groups(gain_rows(frames, "prior_error")), groups)
+    out = effect_by_group(grouped_gains(frames, "prior_error"), groups)
     neg = {}
     for base in ("raw", "filled"):
         neg[f"prior_minus_{base}_mean"] = -F.col(f"mean_gain_{base}")
@@ -278,24 +317,26 @@ def trust_bucket(trust: Column) -> Column:
 
 
 def trust_effect_rows(rows: DataFrame, groups: Sequence[str], threshold: float = 1.0) -> DataFrame:
-    """Gain statistics per (base, group, trust bucket); rows has grp, trust and gains."""
+    """Gain statistics per (base, group, trust bucket); rows has groups (or grp), trust and gains."""
     bases = ("raw", "filled")
     pairs = F.array(*[F.struct(F.lit(b).alias("base"), F.col(f"gain_{b}").alias("gain")) for b in bases])
-    long = rows.select("grp", "trust", F.inline(pairs)).filter(
+    long = _listed(rows).select("groups", "trust", F.inline(pairs)).filter(
         F.col("gain").isNotNull() & S.finite(F.col("trust")).isNotNull()).withColumn("bucket", trust_bucket(F.col("trust")))
-    keys = ["base", "grp", "bucket"]
-    sums = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"), F.avg("trust").alias("trust_mean"), F.avg("gain").alias("mean"), *_effect_counts(F.col("gain"), threshold, ""))
-    q = group_quantiles(long, keys, {"gain": F.col("gain")}, {"median": .5, "p10": .1, "p90": .9}, few_groups=True)
-    counts = ["count", *[f"{k}_count" for k in ("improved", "worsened", "effective", "hurt", "neutral")]]
-    out = complete(sums.join(F.broadcast(q), keys, "left"), {"base": bases, "grp": groups, "bucket": TRUST_LABELS}, counts)
-    total = long.groupBy("base", "grp").agg(F.count(F.lit(1)).alias("eligible"))
+    keys, n = ["base", "grp", "bucket"], F.col("count")
+    sums = member_sums(long, ["base", "bucket"], {
+        "count": F.lit(1), "__trust": F.col("trust"), "__gain": F.col("gain"), **{f"{k}_count": hit for k, hit in _effects(F.col("gain"), threshold).items()}})
+    stats = sums.select(*keys, "count", (F.col("__trust") / n).alias("trust_mean"), (F.col("__gain") / n).alias("mean"),
+                        *[x for k in EFFECTS for x in (F.col(f"{k}_count"), (F.col(f"{k}_count") / n).alias(f"{k}_rate"))])
+    q = group_quantiles(long, ["base", "bucket"], {"gain": F.col("gain")}, {"median": .5, "p10": .1, "p90": .9}, member="groups")
+    counts = ["count", *[f"{k}_count" for k in EFFECTS]]
+    out = complete(stats.join(F.broadcast(q), keys, "left"), {"base": bases, "grp": groups, "bucket": TRUST_LABELS}, counts)
+    total = sums.groupBy("base", "grp").agg(F.sum("count").alias("eligible"))
     out = out.join(F.broadcast(total), ["base", "grp"], "left").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
     return out.withColumn("frame_rate", F.when(F.col("eligible") > 0, F.col("count") / F.col("eligible")))
 
 
 def trust_effect(frames: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
-    return trust_effect_rows(in_groups(gain_rows(frames, "final_error")), groups)
+    return trust_effect_rows(grouped_gains(frames, "final_error"), groups)
 
 
 def rmse_improvement(by_group: DataFrame) -> DataFrame:

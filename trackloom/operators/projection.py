@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import keyed_random as R
 from trackloom.functions import scalars as S
 from trackloom.operators.quantiles import group_quantiles
+from trackloom.operators.sequence import with_sequence_facts
 from trackloom.schemas import BAT_MARKERS, BODY_MARKERS
 
 FOCAL_MM, SENSOR_MM, DISTANCE_SCALE = 35.0, 36.0, 5.0
@@ -51,7 +52,7 @@ def unit_scales(track: DataFrame) -> DataFrame:
 
 
 def scaled_track(track: DataFrame) -> DataFrame:
-    out = track.join(unit_scales(track), "sequence_id")
+    out = with_sequence_facts(track, unit_scales(track))
     return out.withColumns({f"{k}_{a}": F.col(f"{k}_{a}") * F.col("scale") for k in ("head", "tail") for a in "xyz"})
 
 
@@ -149,7 +150,7 @@ def project(point: Sequence[Column], width: float, height: float) -> dict[str, C
 def project_tracks(track: DataFrame, basis: DataFrame, *, width: float = 1920.0, height: float = 1080.0,
                    keep_only_visible: bool = False) -> DataFrame:
     """Every valid frame of a sequence seen by each of its cameras."""
-    rows = track.filter(_ok("head") & _ok("tail")).join(basis, "sequence_id")
+    rows = with_sequence_facts(track.filter(_ok("head") & _ok("tail")), basis)
     cols = {}
     for k in ("head", "tail"):
         cols.update({f"{k}_{n}": e for n, e in project([F.col(f"{k}_{a}") for a in "xyz"], width, height).items()})
@@ -175,19 +176,27 @@ def in_frame() -> Column:
 
 
 def skeleton(body: DataFrame, basis: DataFrame, *, width: float = 1920.0, height: float = 1080.0) -> DataFrame:
-    """26 body markers per (sequence, camera, frame): u, v, depth, in_frame, NULL if absent.
+    """``skeleton``: an array of (marker, u, v, depth, in_frame) in the order of the 26 body markers, for each
+    (sequence, camera, frame); NULL values where a marker is absent.
 
-    Marker rows are gathered per frame first (at most 26), then joined to cameras.
+    A frame's markers are gathered once, at most 26, and one expression projects the array for each camera.
     """
     known = body.filter(F.col("marker").isin(*BODY_MARKERS) & valid_xyz(F.col("x"), F.col("y"), F.col("z")))
-    wide = known.groupBy("sequence_id", "frame_idx").agg(*[
-        F.max(F.when(F.col("marker") == m, F.struct("x", "y", "z"))).alias(m) for m in BODY_MARKERS])
-    rows = wide.join(basis, "sequence_id")
-    out = []
-    for m in BODY_MARKERS:
-        for n, e in project([F.col(f"{m}.{a}") for a in "xyz"], width, height).items():
-            out.append(e.alias(f"skel_{m}_{n}"))
-    return rows.select("sequence_id", "camera_id", "frame_idx", *out)
+    single = known.groupBy("sequence_id", "frame_idx", "marker").agg(F.max(F.struct("x", "y", "z")).alias("p"))
+    frames = single.groupBy("sequence_id", "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("marker", "p"))).alias("known"))
+    points = F.transform(F.array(*[F.lit(m) for m in BODY_MARKERS]), lambda m: F.struct(m.alias("marker"), F.try_element_at("known", m).alias("p")))
+    rows = with_sequence_facts(frames.select("sequence_id", "frame_idx", points.alias("points")), basis)
+
+    def seen(point: Column) -> Column:
+        values = project([point["p"][a] for a in "xyz"], width, height)
+        return F.struct(point["marker"].alias("marker"), *[e.alias(n) for n, e in values.items()])
+    return rows.select("sequence_id", "camera_id", "frame_idx", F.transform("points", seen).alias("skeleton"))
+
+
+def skeleton_columns(rows: DataFrame, values: Sequence[str] = ("u", "v", "depth", "in_frame")) -> DataFrame:
+    """``skel_{marker}_{value}`` columns of a skeleton, for flat files."""
+    rest = [c for c in rows.columns if c != "skeleton"]
+    return rows.select(*rest, *[F.col("skeleton")[i][v].alias(f"skel_{m}_{v}") for i, m in enumerate(BODY_MARKERS) for v in values])
 
 
 def mirror_rows(rows: DataFrame, width_col: str = "image_width") -> DataFrame:

@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from trackloom.functions import scalars as S
 from trackloom.operators.quantiles import group_quantiles
 from trackloom.operators.sequence import (
-    FOLD_FAN, FOLD_ROWS, block_window, follow_states, with_halo, with_positions,
+    FOLD_FAN, FOLD_ROWS, block_window, fold_levels, follow_states, with_halo, with_positions,
 )
 from trackloom.schemas import ScreenSettings, SelectionSettings
 from trackloom.session import materialised
 
-NO_FRAME_NUMBER = 1_000_000_000
 MIN_KEYPOINT_CONF = 0.1
 CANDIDATE = ("rank", "conf", "hx", "hy", "tx", "ty", "cx", "cy", "length", "angle", "head_conf", "tail_conf")
 
@@ -85,11 +84,11 @@ def sequence_anchors(records: DataFrame, settings: SelectionSettings = Selection
 def ordered_records(records: DataFrame) -> DataFrame:
     """Positions along (frame number or last, frame name, stem); ``flag_pos`` counts
     the frames with an eligible candidate."""
-    number = F.coalesce(F.col("frame_no"), F.lit(NO_FRAME_NUMBER))
-    unnumbered = F.when(F.col("frame_no").isNull(), F.substring("frame_name", 1, 8)).otherwise("")
+    number, last = F.coalesce(F.col("frame_no"), F.lit(0)), F.col("frame_no").isNull()
+    unnumbered = F.when(last, F.substring("frame_name", 1, 8)).otherwise("")
     return with_positions(
-        records, ["swing_id"], [F.floor(number / 256), unnumbered],
-        [number, F.col("frame_name"), F.col("prediction_stem")],
+        records, ["swing_id"], [last, F.floor(number / 256), unnumbered],
+        [last, number, F.col("frame_name"), F.col("prediction_stem")],
         flag=F.size("eligible") > 0, flag_pos="turn", total=None)
 
 
@@ -123,7 +122,10 @@ def select_candidates(records: DataFrame, settings: SelectionSettings = Selectio
     nobody = F.slice(F.col("eligible"), 1, 1)
     entries = F.coalesce(F.col("earlier"), F.transform(nobody, lambda c: F.when(F.lit(False), c)))
     turns = materialised(turns.withColumn("step", F.transform(entries, best)))
-    walked = follow_states(turns, "swing_id", "turn", "step", payload, block="block", levels=1, fan=FOLD_FAN)
+    # Only numbers and tables go through the fold; the frames meet their states by turn.
+    longest = turns.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
+    states = follow_states(turns, "swing_id", "turn", "step", [], block="block", levels=fold_levels(longest, FOLD_FAN), fan=FOLD_FAN)
+    walked = turns.select("swing_id", "turn", *payload).join(states, ["swing_id", "turn"])
     chosen = F.get(F.col("eligible"), F.col("after"))
     before = F.get(F.col("earlier"), F.col("before"))
     parts = score_parts(F.col("chosen"), F.col("before_c"), F.col("gap"), F.col("anchor_x"), F.col("anchor_y"), settings)

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
-FOLD_ROWS = 512
-FOLD_FAN = 1024
+FOLD_ROWS = 128
+FOLD_FAN = 128
 FRAME_BIN = 256
 
 
@@ -102,6 +102,17 @@ def with_halo(
     )
 
 
+def with_sequence_facts(rows: DataFrame, facts: DataFrame, *, seq: str = "sequence_id", idx: str = "frame_idx", size: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of a sequence beside its facts (any number of rows per sequence).
+
+    Facts go to the frame bins that a sequence has, a table with one row per bin, and rows meet them by
+    (sequence, bin): a sequence of any length is dealt out, also in a second such join.
+    """
+    keyed = rows.withColumn("__part", F.floor(F.col(idx) / size))
+    parts = keyed.select(seq, "__part").distinct().join(facts, seq)
+    return keyed.join(parts, [seq, "__part"]).drop("__part")
+
+
 def block_window(seq: str = "swing_id", pos: str = "pos", descending: bool = False):
     key = F.col(pos).desc() if descending else F.col(pos)
     return Window.partitionBy(seq, "block").orderBy(key)
@@ -162,6 +173,14 @@ def _walk(items: Column, entry: Column) -> Column:
     return done["path"]
 
 
+def fold_levels(blocks: int, fan: int = FOLD_FAN) -> int:
+    """Levels of ``follow_states`` after which at most ``fan`` tables of a sequence of ``blocks`` blocks are left."""
+    levels = 0
+    while blocks > fan:
+        blocks, levels = -(-blocks // fan), levels + 1
+    return levels
+
+
 def follow_states(
     df: DataFrame, seq: str, idx: str, step: str, payload: Sequence[str],
     *, block: str, levels: int = 1, fan: int = FOLD_FAN,
@@ -171,7 +190,7 @@ def follow_states(
     ``step[s]`` is the state after row ``idx`` when the state before was ``s``; the
     first row has one entry. Rows are collected per ``block`` only. Composed block
     tables go through the same step again with blocks of blocks (``levels`` times),
-    so the last, per-sequence level sees one entry per ``fan ** levels`` blocks.
+    so the last, per-sequence level sees one entry per ``fan ** levels`` blocks; see ``fold_levels``.
     Returns seq, idx, payload, before, after.
     """
     item = F.struct(F.col(idx).alias("idx"), F.col(step).alias("step"), *[F.col(c) for c in payload])

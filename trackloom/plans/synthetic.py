@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import augment as A
@@ -31,21 +33,34 @@ def pooled_frames(track: DataFrame) -> DataFrame:
     return track.withColumns(out)
 
 
+Sampler = Callable[[DataFrame, A.CorruptionSettings, WindowSettings], DataFrame]
+"""Adds obs_head_*/obs_tail_* (x, y, conf, seen) to the rows of clean windows."""
+
+
+def gaussian_sampler(wins: DataFrame, s: A.CorruptionSettings, settings: WindowSettings) -> DataFrame:
+    return A.gaussian_corrupt(wins, s, settings.width, settings.height)
+
+
+def pool_sampler(pool: DataFrame, weight: Column | None = None) -> Sampler:
+    """Replays windows of real detector errors, all alike or in proportion to ``weight``, a column of the pool."""
+    return lambda wins, s, settings: A.replay_corrupt(wins, pool, s, weight=weight)
+
+
 def synthetic_windows(
-    rows: DataFrame, splits: DataFrame, *, pool: DataFrame | None = None, lookup: DataFrame | None = None,
+    rows: DataFrame, splits: DataFrame, *, sampler: Sampler = gaussian_sampler, lookup: DataFrame | None = None,
     settings: WindowSettings = WindowSettings(), corruption: A.CorruptionSettings = A.CorruptionSettings(),
     target_fps: float = 60.0, source_fps: float = 360.0,
 ) -> DataFrame:
     """One row per window: features of the pseudo detector and clean targets.
 
-    Sequences without a split are dropped. Features see the corrupted points only;
-    the labels that caused the corruption are kept as supervision.
+    Sequences without a split are dropped. ``sampler`` corrupts the clean windows. Features see the corrupted
+    points only; the labels that caused the corruption are kept as supervision.
     """
     tracks = materialised(A.clean_tracks(
         rows.join(splits.select("swing_id"), "swing_id", "left_semi"), target_fps=target_fps, source_fps=source_fps,
         width=settings.width, height=settings.height, min_rows=settings.size))
     wins = A.clean_windows(tracks, settings)
-    noisy = A.replay_corrupt(wins, pool, corruption) if pool is not None else A.gaussian_corrupt(wins, corruption, settings.width, settings.height)
+    noisy = sampler(wins, corruption, settings)
     hidden = A.apply_occlusion(A.visibility_labels(noisy, lookup, corruption, settings.size), corruption, settings.width, settings.height)
     return _featurised(hidden, A.window_view_labels(wins), settings).join(splits, "swing_id")
 
@@ -73,6 +88,17 @@ def _featurised(rows: DataFrame, labels: DataFrame, settings: WindowSettings) ->
     return packed.withColumns({"swing_id": F.get("sid", F.lit(0)), "view_id": F.get("vid", F.lit(0))}).drop("sid", "vid")
 
 
+ROW_COLUMNS = ("label", "tail_weight", "tail_status", "tail_seen", "target_head_x", "target_head_y", "target_tail_x", "target_tail_y")
+
+
+def sample_rows(samples: DataFrame) -> DataFrame:
+    """The rows of packed samples: features by name, targets, weight and labels, for checks and for loaders that shuffle rows."""
+    each = F.posexplode(F.arrays_zip("x", *ROW_COLUMNS)).alias("idx", "r")
+    keys = ["split", "swing_id", "view_id", "win_start", "start_frame_idx", "end_frame_idx"]
+    return samples.select(*keys, each).select(*keys, "idx", *[F.col(f"r.{c}").alias(c) for c in ROW_COLUMNS],
+                                              *[F.col("r.x")[i].alias(n) for i, n in enumerate(FEATURES_25)])
+
+
 def summary(samples: DataFrame) -> DataFrame:
     """Groups and samples per split."""
     per_group = samples.groupBy("split", "swing_id", "view_id").agg(F.count(F.lit(1)).alias("c"))

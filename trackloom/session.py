@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder (a URI) below the shared folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint.
 

@@ -78,20 +78,3 @@ def write_by_folder(rows: DataFrame, path: str, *, source: str = "source_c3d", a
     """One CSV folder per source folder."""
     folder = S.safe_name(F.regexp_extract(F.col(source), r"([^/]+)/[^/]+$", 1))
     rows.withColumn("folder", folder).write.mode("append" if append else "overwrite").partitionBy("folder").option("header", True).csv(path)
-
-
-def folder_progress(rows: DataFrame, source: str = "source_c3d") -> DataFrame:
-    """Files and rows per folder; distinct files are counted after map-side dedup."""
-    folder = S.safe_name(F.regexp_extract(F.col(source), r"([^/]+)/[^/]+$", 1))
-    per_file = rows.groupBy(folder.alias("folder"), source).agg(F.count(F.lit(1)).alias("rows"))
-    return per_file.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
-
-
-def metric_json(stats: DataFrame, key: str) -> DataFrame:
-    """One JSON text per key from a small statistics table."""
-    rest = [c for c in stats.columns if c != key]
-    return stats.select(key, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("report"))
-
-
-def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    report.write.mode(mode).json(path)

@@ -6,12 +6,14 @@ items of an order; flow fields are embedding vectors; cameras are nations.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
 from trackloom.operators.sequence import with_positions
-from trackloom.schemas import DETECTION_TYPE
+from trackloom.schemas import BODY_MARKERS, DETECTION_TYPE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +104,18 @@ def with_ctes(body: str, *needs: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTE[n][0]})" for n in done) + "\n" + body
 
 
+def cte_again(prefix: str, names: tuple[str, ...], swap: dict[str, str]) -> str:
+    """Repeat the steps ``names`` over other tables: ``swap`` has the new name of each table that changes. Returns the last step's name."""
+    swap = dict(swap)
+    for name in names:
+        body, needs = CTE[name]
+        for old in needs:
+            body = re.sub(rf"\b(from|join) {old}\b", rf"\1 {swap.get(old, old)}", body)
+        cte(prefix + name, body, *[swap.get(n, n) for n in needs])
+        swap[name] = prefix + name
+    return swap[names[-1]]
+
+
 _D = ("x", "y", "conf", "x1", "x2", "y1", "y2")
 cte("track_base", "select event_id, ts, event_type, " + _sql_cols(_TRACK_BASE) +
     ", row_number() over (partition by user_id order by ts, event_id) as rn from "
@@ -258,6 +272,15 @@ def flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.reverse("embedding"), lambda v: v.cast("double") * 10).alias("fy"))
 
 
+#: Rows and columns of the tiles of the 8 x 8 fields, and the pixels that are held in one row: both ways of every statistic are used.
+FLOW_TILE, FLOW_ROW_PIXELS = (3, 5), 16
+
+
+def flow_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.operators.flow import field_tiles
+    return field_tiles(flow_fields(spark, sf_dir), *FLOW_TILE)
+
+
 cte("flow_fields", "select " + _sql_cols(_FLOW).replace("as string", "as varchar") + ", "
     "list_transform(embedding, lambda v: cast(v as double) * 10) as fx, "
     "list_transform(list_reverse(embedding), lambda v: cast(v as double) * 10) as fy from embeddings")
@@ -301,6 +324,32 @@ cte("markers", " union all ".join(
     + ", ".join(f"case when event_id % 41 <> {i} then cast({x} as double) end as {n}" for n, x in zip("xyz", xyz))
     + " from marker_base" for i, (m, xyz) in enumerate(_MARKER.items())), "marker_base")
 
+def _body_point(i: int) -> tuple[str, str, str]:
+    """Marker i of the body: beside the bat, each with an offset of its own."""
+    return f"3 * value - {200 + 7 * i}", f"10 * k + {13 * i - 100}", f"{1400 - 9 * i} + event_id % {11 + i}"
+
+
+def body_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long rows of all body markers in metres; each is missing in some frames, one in every frame of left-handed takes."""
+    e = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "value", "ts", "cast(regexp_extract(props, '([0-9]+)', 1) as int) as k")
+    e = with_positions(e.withColumn("sequence_id", F.expr("concat('take_', case when user_id % 2 = 0 then 'R' else 'L' end, '_', cast(user_id as string))")),
+                       ["sequence_id"], [F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)],
+                       [F.col("ts"), F.col("event_id")], pos="frame_idx", total=None)
+    points = F.array(*[
+        F.struct(F.lit(m).alias("marker"), *[F.expr(f"case when {_body_seen(i)} then cast({x} as double) * 0.001 end").alias(n) for n, x in zip("xyz", _body_point(i))])
+        for i, m in enumerate(BODY_MARKERS)])
+    return e.select("sequence_id", F.col("frame_idx").cast("int").alias("frame_idx"), F.inline(points))
+
+
+def _body_seen(i: int) -> str:
+    return f"event_id % 37 <> {i}" + (" and user_id % 2 = 0" if i == len(BODY_MARKERS) - 1 else "")
+
+
+cte("body", "select sequence_id, frame_idx, " + ", ".join(
+    f"case when {_body_seen(i)} then cast({x} as double) * 0.001e0 end as {m}_{n}" for i, m in enumerate(BODY_MARKERS) for n, x in zip("xyz", _body_point(i)))
+    + " from marker_base", "marker_base")
+
 _CAMERA = {
     "rig": "n_regionkey",
     "camera_id": "concat('cam_', lpad(cast(n_nationkey as string), cast(greatest(3, length(cast(n_nationkey as string))) as int), '0'))",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -43,18 +44,22 @@ cte("global_flow", "select t.swing_id, t.frame_idx, t.frame as frame_name, c.pre
     + ", ".join(f"coalesce(g.{s}, 0) as {s}" for s in GLOBAL_FLOW_STATS) + " from track t left join flow_cat c using (swing_id, frame_idx) left join gstats g using (swing_id, frame_idx)", "track", "flow_cat", "gstats")
 
 
+_TILED = {"radius": 1, "pad": 1, "tile": B.FLOW_TILE}
+TILED = {**_TILED, "row_pixels": B.FLOW_ROW_PIXELS}
+
+
 def local_rows(spark, d):
-    return W.region_stats(scaled_frames(B.track(spark, d)), B.flow_fields(spark, d), radius=1, pad=1)
+    return W.region_stats(scaled_frames(B.track(spark, d)), B.flow_tiles(spark, d), **TILED)
 
 
 def global_rows(spark, d):
     frames = B.track(spark, d).select("swing_id", "frame_idx", F.col("frame").alias("frame_name"))
-    return W.attach_global(frames, W.global_stats(B.flow_fields(spark, d)))
+    return W.attach_global(frames, W.global_stats(B.flow_tiles(spark, d), row_pixels=B.FLOW_ROW_PIXELS))
 
 
 @query("flow_global_stats", f"select swing_id, frame_idx, {rs(list(GLOBAL_FLOW_STATS))} from gstats", "gstats")
 def flow_global_stats(spark, d):
-    return rounded(W.global_stats(B.flow_fields(spark, d)).drop("prev_frame_idx", "flow_file"))
+    return rounded(W.global_stats(B.flow_tiles(spark, d), row_pixels=B.FLOW_ROW_PIXELS).drop("prev_frame_idx", "flow_file"))
 
 
 @query("flow_region_stats", "select image_stem, head_valid, tail_valid, bbox_valid, " + rs(_lcols) + " from local_flow", "local_flow")
@@ -65,7 +70,7 @@ def flow_region_stats(spark, d):
 @query("region_pixel_join", "select b.image_stem, region, count(*) as pixels, " + r("sum(fx)") + " as sum_fx from region_boxes b join pix p on p.swing_id = b.swing_id and p.frame_idx = b.frame_idx and px >= bx1 and px < bx2 and py >= by1 and py < by2 group by all", "region_boxes", "pix")
 def region_pixel_join(spark, d):
     frames = scaled_frames(B.track(spark, d))
-    return rounded(W.region_pixels(frames, B.flow_fields(spark, d), radius=1, pad=1).groupBy("image_stem", "region").agg(
+    return rounded(W.region_pixels(frames, B.flow_tiles(spark, d), **_TILED).groupBy("image_stem", "region").agg(
         F.count(F.lit(1)).alias("pixels"), F.sum("fx").alias("sum_fx")))
 
 
@@ -76,13 +81,13 @@ def asof_prev_flow(spark, d):
 
 @query("scan_flow_fields", "select flow_file, prev_frame_idx, frame_idx from flow_cat", "flow_cat")
 def scan_flow_fields(spark, d):
-    files = B.flow_fields(spark, d).select("flow_file")
+    files = W.field_catalogue(B.flow_tiles(spark, d)).select("flow_file")
     return W.catalogue_indices(files, "flow_file")
 
 
 @query("flow_completeness", "select swing_id, count(*) as n_frames, coalesce(any_value(e), 0) as existing_flows, count(*) - 1 as expected_flows, count(*) >= 2 and coalesce(any_value(e), 0) = count(*) - 1 as complete from track left join (select swing_id, count(*) as e from flow_fields group by 1) using (swing_id) group by swing_id", "track", "flow_fields")
 def flow_completeness(spark, d):
-    return W.completeness(B.track(spark, d).select("swing_id"), B.flow_fields(spark, d).select("swing_id"))
+    return W.completeness(B.track(spark, d).select("swing_id"), W.field_catalogue(B.flow_tiles(spark, d)).select("swing_id"))
 
 
 @query("merge_local_flow", "select t.image_stem, t.frame_idx, has_prev_flow, head_valid, " + r("head_flow_mag_p95") + " as head_flow_mag_p95, t.detection_rank from track t join local_flow using (image_stem)", "track", "local_flow")
@@ -102,7 +107,7 @@ def merge_global_flow(spark, d):
     f"{r(f'l.{g}_{s}')} as {g}_{s}" for g in FLOW_REGIONS for s in ("flow_x_mean", "flow_mag_p95")) + f", {r('g.flow_x_mean')} as global_flow_x_mean, {r('t.bbox_x2 - t.bbox_x1')} as bbox_w, "
     + r("sqrt((t.head_pred_x - t.tail_pred_x)**2 + (t.head_pred_y - t.tail_pred_y)**2)") + " as pred_bat_length from track t join local_flow l using (image_stem) join global_flow g on g.swing_id = t.swing_id and g.frame_idx = t.frame_idx", "track", "local_flow", "global_flow")
 def flow_table(spark, d):
-    t = flow_feature_table(B.details(spark, d), F.col("keypoint"), B.flow_fields(spark, d), scale=(240.0, 135.0), radius=1, pad=1)
+    t = flow_feature_table(B.details(spark, d), F.col("keypoint"), B.flow_tiles(spark, d), scale=(240.0, 135.0), **TILED)
     return rounded(t.select("image_stem", "has_prev_flow", "head_valid", "tail_valid", "bbox_valid", *[f"{g}_{s}" for g in FLOW_REGIONS for s in ("flow_x_mean", "flow_mag_p95")],
                             "global_flow_x_mean", "bbox_w", "pred_bat_length"))
 
@@ -177,9 +182,24 @@ def entity_split(spark, d):
     return K.entity_split(B.track(spark, d), 0.8, 0.1, 7)
 
 
-@query("scan_split_assignment", f"select swing_id, case when pos < greatest(1, round_even(n * 0.2e0, 0)) then 'val' else 'train' end as split from (select *, {_h} from {_ids})", "track")
+_known = "cast(regexp_extract(swing_id, '([0-9]+)$', 1) as int) % 3"
+
+
+def _generation(number: int, where: str) -> str:
+    return (f"select swing_id, case when pos < round_even(n * 0.8e0, 0) then 'train' when pos < round_even(n * 0.8e0, 0) + round_even(n * 0.1e0, 0) then 'val' else 'test' end as split, {number} as generation "
+            f"from (select *, {_h} from (select distinct swing_id from track where {where}))")
+
+
+@query("scan_split_assignment", f"{_generation(0, _known + ' <> 0')} union all {_generation(1, _known + ' = 0')}", "track")
 def scan_split_assignment(spark, d):
-    return K.holdout_split(B.track(spark, d), 0.2, 7)
+    """A split file written for two thirds of the sequences, read again unchanged, then extended by the rest."""
+    from trackloom.session import shared_folder
+    from trackloom.sources.files import split_file
+    ids, where = B.track(spark, d).select("swing_id").distinct(), shared_folder(spark, "splits")
+    known = ids.filter(F.expr(_known) != 0)
+    for wanted in (known, known, ids):
+        out = split_file(spark, where, wanted, train=0.8, val=0.1, seed=7)
+    return out
 
 
 _splits = f"select swing_id, case when pos < round_even(n * 0.8e0, 0) then 'train' when pos < round_even(n * 0.8e0, 0) + round_even(n * 0.1e0, 0) then 'val' else 'test' end as split from (select *, {_h} from {_ids})"
@@ -207,16 +227,77 @@ def prepare_training(spark, d):
     return rounded(t.groupBy("split").agg(F.count(F.lit(1)).alias("windows"), F.sum(total).alias("weight")), digits=4)
 
 
-@query("leakage_guard", "select count(*) as changed from track where false", "track")
+_expected = {"train": (8, 300), "val": (1, 100), "test": (1, 100), "holdout": (0, 0)}
+_num = lambda e: f"coalesce('=' || cast(cast(round_even({e} * 1000000e0, 0) as bigint) as varchar), '-')"
+_txt = lambda e: f"coalesce('=' || {e}, '-')"
+_fp = lambda parts: f"cast(sum(cast(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::bigint as decimal(38, 0))) as decimal(38, 0))"
+_sel_fp = _fp([_txt("d.swing_id"), _txt("image_stem"), _txt("keypoint"), *[_num(f) for f in (*K.PREDICTION_FIELDS, *K.BOX_FIELDS)]])
+_flow_fp = _fp([_txt("d.swing_id"), _txt("image_stem"), *[_num(f"{k}_{f}") for k in ("head", "tail") for f in K.PREDICTION_FIELDS], *[_num(f) for f in K.BOX_FIELDS]])
+cte("align_split", f"{_splits}", "track")
+
+
+@query("alignment_splits", "select w.split, expected_swings, expected_frames, coalesce(selected_swings, 0) as selected_swings, coalesce(selected_rows, 0) as selected_rows, coalesce(selected_fingerprint, 0) as selected_fingerprint, "
+       "coalesce(flow_swings, 0) as flow_swings, coalesce(flow_rows, 0) as flow_rows, coalesce(flow_fingerprint, 0) as flow_fingerprint, coalesce(frames, 0) as frames, coalesce(selected_swings, 0) = expected_swings and coalesce(frames, 0) = expected_frames as as_expected "
+       "from (values " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in _expected.items()) + ") w(split, expected_swings, expected_frames) "
+       f"left join (select split, count(distinct d.swing_id) as selected_swings, count(*) as selected_rows, {_sel_fp} as selected_fingerprint, count(distinct image_stem) as frames from details d join align_split using (swing_id) group by split) a using (split) "
+       f"left join (select split, count(distinct d.swing_id) as flow_swings, count(*) as flow_rows, {_flow_fp} as flow_fingerprint from damaged d join align_split using (swing_id) group by split) b using (split)", "align_split", "details", "damaged")
+def alignment_splits(spark, d):
+    """Sizes, content fingerprints and expectations per split: one changed cell changes a fingerprint."""
+    splits = K.entity_split(B.track(spark, d), 0.8, 0.1, 7)
+    out = K.split_report(B.details(spark, d), damaged(spark, d), splits, _expected)
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("selected_rows", "flow_rows")})
+
+
+@query("alignment_sequences", "select split, swing_id, count(distinct image_stem) as frames from details join align_split using (swing_id) group by all", "align_split", "details")
+def alignment_sequences(spark, d):
+    return K.split_sequences(B.details(spark, d), K.entity_split(B.track(spark, d), 0.8, 0.1, 7))
+
+
+@query("argument_guards", "select 'no windows' as guard, 'no windows: ' || count(*) || ' sequences, the longest has ' || max(n) || ' frames of ' || (max(n) + 1) as message from (select count(*) as n from track group by swing_id) "
+       "union all select 'no training windows', 'no training windows: all ' || count(*) || ' are held out' from starts "
+       "union all select 'accepted', count(*) || ' windows' from starts union all select 'window size', 'window size and stride must be positive' union all select 'flow clip', 'flow_clip_px must be finite and positive'", "track", "starts")
+def argument_guards(spark, d):
+    """The messages of guards: those of settings when they are made, those that depend on data when the query runs."""
+    from pyspark.errors import PySparkException
+
+    from trackloom.plans.training import trainable, training_windows
+    from trackloom.schemas import WindowSettings
+    frames = X.tracked(spark, d)
+    longest = frames.groupBy("swing_id").count().agg(F.max("count")).first()[0]
+
+    def message(run) -> str:
+        try:
+            return run()
+        except (PySparkException, ValueError) as e:
+            return next(line for line in re.sub(r"^.*\[USER_RAISED_EXCEPTION\] ", "", str(e)).splitlines() if line).removesuffix(" SQLSTATE: P0001")
+
+    def windows(settings=WindowSettings(), **held) -> str:
+        return f"{trainable(training_windows(frames, settings=settings, **held), frames, settings).count()} windows"
+    rows = [("no windows", message(lambda: windows(WindowSettings(size=longest + 1)))), ("no training windows", message(lambda: windows(val_fraction=1.0))),
+            ("accepted", message(windows)), ("window size", message(lambda: WindowSettings(size=0))), ("flow clip", message(lambda: WindowSettings(flow_clip_px=float("inf"))))]
+    return spark.createDataFrame(rows, "guard string, message string")
+
+
+@query("missing_flow_counts", "select count(*) filter (l.image_stem is null) as missing_local, count(*) filter (g.frame_idx is null) as missing_global from track t left join (select image_stem from local_flow where frame_idx % 5 <> 0) l using (image_stem) "
+       "left join (select swing_id, frame_idx from global_flow where frame_idx % 7 <> 0) g on g.swing_id = t.swing_id and g.frame_idx = t.frame_idx", "track", "local_flow", "global_flow")
+def missing_flow_counts(spark, d):
+    """Rows of a merge that found no local or no global partner, where some partners are taken away."""
+    from trackloom.plans.flow import missing_flow
+    wide = pivot_wide(B.details(spark, d), F.col("keypoint"))
+    merged = W.merge_local(wide, local_rows(spark, d).filter("frame_idx % 5 <> 0").drop("frame_idx"))
+    keyed = merged.join(B.track(spark, d).select("image_stem", "frame_idx"), "image_stem")
+    return missing_flow(W.merge_global(keyed, global_rows(spark, d).filter("frame_idx % 7 <> 0")))
+
+
+@query("leakage_guard", "select count(*) as rows, 0::bigint as changed from features", "features")
 def leakage_guard(spark, d):
-    """Features from rows with overwritten annotations minus features from the original rows."""
+    """Feature rows that annotations can change: the original rows beside rows with overwritten annotations, by key and column."""
     from trackloom.operators.windows import observation_windows
     from trackloom.schemas import FEATURES_25
     t = X.tracked(spark, d)
     bad = t.withColumns({"head_gt_x": F.lit(9999.0), "tail_gt_y": F.lit(-9999.0), "head_visibility": F.lit("ignore"), "tail_visibility": F.lit("ignore")})
-    cols = ["swing_id", "win_start", "idx", *FEATURES_25]
-    a, b = observation_windows(t).select(*cols), observation_windows(bad).select(*cols)
-    return a.exceptAll(b).agg(F.count(F.lit(1)).alias("changed"))
+    out = K.column_differences(observation_windows(t), observation_windows(bad), ["swing_id", "win_start", "idx"], FEATURES_25)
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("differing") > 0).alias("changed"))
 
 
 @query("assert_required_columns", "select count(*) as rows from track", "track")

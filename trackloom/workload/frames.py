@@ -31,6 +31,16 @@ STUB_WEIGHTS = {
 }
 
 
+# The same for the 45 columns: flow moves the prediction and its trust.
+FLOW_STUB_WEIGHTS = {
+    **STUB_WEIGHTS,
+    "delta_x": {**STUB_WEIGHTS["delta_x"], "tail_flow_x_mean_clipped_norm": 9.0, "global_flow_x_mean_clipped_norm": -4.0},
+    "delta_y": {**STUB_WEIGHTS["delta_y"], "tail_flow_y_mean_clipped_norm": 9.0, "global_flow_y_mean_clipped_norm": -4.0},
+    "trust": {**STUB_WEIGHTS["trust"], "tail_flow_mag_p95_clipped_norm": 1.5, "has_prev_flow": 0.25},
+    "quality": {**STUB_WEIGHTS["quality"], "bbox_flow_mag_mean_clipped_norm": -2.0},
+}
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip_metadata(B.clips(spark, sf_dir), "line_no")
 
@@ -116,6 +126,16 @@ cte("features", "select swing_id, win_start, idx, pos, n, frame_idx, image_stem,
     + ", ".join(f'cast({e} as double) as "{n}"' for n, e in _feat.items()) + " from features0", "features0")
 
 
+def features_over(prefix: str, source: str) -> str:
+    """The steps from windows to features once more, over the windows ``source``; returns the last step's name."""
+    return B.cte_again(prefix, ("near", "filled", "lagged", "unit", "features0"), {"win": source})
+
+
+def feature_columns(digits: int = 6) -> str:
+    from trackloom.workload.registry import r
+    return ", ".join(f'{r(f"cast({e} as double)", digits)} as "{n}"' for n, e in _feat.items())
+
+
 def _lin(terms: dict) -> str:
     parts = [f"{float(terms.get('bias', 0.0))!r}e0".replace("e0e0", "e0")]
     parts += [f'"{n}" * {w}e0' for n, w in terms.items() if n != "bias"]
@@ -168,8 +188,8 @@ def with_raw(df: DataFrame, settings: WindowSettings) -> DataFrame:
     return df.withColumns(cols)
 
 
-def decoded(wins: DataFrame, settings: WindowSettings = SETTINGS) -> DataFrame:
-    d = decode_scores(linear_scores(STUB_WEIGHTS), F.col("tail_x_norm"), F.col("tail_y_norm"), settings)
+def decoded(wins: DataFrame, settings: WindowSettings = SETTINGS, weights: dict = STUB_WEIGHTS) -> DataFrame:
+    d = decode_scores(linear_scores(weights), F.col("tail_x_norm"), F.col("tail_y_norm"), settings)
     return wins.withColumns(d)
 
 

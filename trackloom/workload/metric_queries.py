@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import metrics as M
 from trackloom.operators.losses import weighted_loss_terms
-from trackloom.sources.sinks import metric_json, prediction_rows
-from trackloom.schemas import PREDICTION_COLUMNS, VISIBILITIES
+from trackloom.session import materialised, shared_folder
+from trackloom.sources.files import nested_report, read_report, report_rows, write_report
+from trackloom.sources.sinks import prediction_rows, write_predictions
+from trackloom.schemas import FEATURES_25, PREDICTION_COLUMNS, VISIBILITIES
 from trackloom.workload import bindings as B
 from trackloom.workload import frames as X
 from trackloom.workload.bindings import cte
 from trackloom.workload.registry import R, query, r, rounded
+from trackloom.workload.window_queries import wide_flow
 
 _names = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _e = "case when raw_valid and target_valid then raw_error end"
@@ -214,9 +217,9 @@ cte("scaled", f"select *, max({_len}) over (partition by swing_id) as max_length
 cte("ratios", " union all ".join(f"select swing_id, '{s}' as series, {s}_error as error, round({s}_error / max_length, 12) as ratio from scaled where target_valid and raw_valid and {s}_error is not null" for s in ("raw", "filled", "prior", "final")), "scaled")
 
 
-def ratio_rows(spark, d):
+def ratio_rows(spark, d, scored=None):
     length = F.hypot((F.col("gt_head_x") - F.col("gt_tail_x")) * 1920.0, (F.col("gt_head_y") - F.col("gt_tail_y")) * 1080.0)
-    rows = M.with_sequence_scale(frames(spark, d).select("swing_id", "target_valid", "raw_valid", "gt_head_x", "gt_head_y", "gt_tail_x", "gt_tail_y",
+    rows = M.with_sequence_scale((frames(spark, d) if scored is None else scored).select("swing_id", "target_valid", "raw_valid", "gt_head_x", "gt_head_y", "gt_tail_x", "gt_tail_y",
                                                          *[f"{s}_error" for s in M.SERIES]), length)
     pairs = F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"{s}_error").alias("error"), F.round(F.col(f"{s}_error") / F.col("max_length"), 12).alias("ratio")) for s in M.SERIES])
     return rows.filter("target_valid and raw_valid").select("swing_id", F.inline(pairs)).filter("error is not null")
@@ -278,8 +281,11 @@ _p = lambda e: r(e, 4)
 def sink_prediction_rows(spark, d):
     f = X.scored_frames(spark, d).withColumnsRenamed({"raw_head_conf": "head_conf", "raw_tail_conf": "tail_conf"})
     rows = prediction_rows(f, 1920.0, 1080.0)
-    assert tuple(rows.columns) == PREDICTION_COLUMNS
-    return rounded(rows, digits=4)
+    where = shared_folder(spark, "predictions")
+    write_predictions(rows, where)
+    back = spark.read.option("header", True).schema(rows.schema).csv(where)
+    assert tuple(back.columns) == PREDICTION_COLUMNS
+    return rounded(back, digits=4)
 
 
 @query("unpivot_predictions", f"select swing_id, frame_idx, 'head' as keypoint, {_p('raw_head_x * 1920')} as final_x from frames union all select swing_id, frame_idx, 'tail', {_p('final_x * 1920')} from frames", "frames")
@@ -288,10 +294,30 @@ def unpivot_predictions(spark, d):
     return rounded(prediction_rows(f, 1920.0, 1080.0).select("swing_id", "frame_idx", "keypoint", "final_x"), digits=4)
 
 
-@query("sink_metric_report", "select series, '{\"frames\":' || frames || ',\"within_5_percent\":' || cast(round(pck_5 * 1000) as bigint) || '}' as report from headline", "headline")
+_REPORT_SQL = {
+    "error": ("by_group", "series", "grp", ("count", "rmse", "mae", "p90", "gt20", "gt40")),
+    "trust": (f"(select grp, coalesce(count, 0) as count, mean, p50, p90 from groups left join (select grp, {_mq('trust')} from grouped group by grp) using (grp))", "'all'", "grp", ("count", "mean", "p50", "p90")),
+    "quality": (f"(select grp, coalesce(count, 0) as count, mean, p50, p90 from groups left join (select grp, {_mq('quality')} from grouped where target_valid group by grp) using (grp))", "'all'", "grp", ("count", "mean", "p50", "p90")),
+    "headline": ("headline", "'all'", "series", ("frames", "rmse", "mean", "median", "p90", "pck_2_5", "pck_5", "auc"))}
+_RUN_FACTS = {"swings": "count(distinct swing_id)", "frames": "count(*)", "target_frames": "count(*) filter (target_valid)"}
+
+
+@query("sink_metric_report", " union all ".join(
+    f"select '{m}' as metric, {s} as series, {g} as grp, unnest({_names(cols)}) as stat, unnest([{', '.join(r(f'cast({c} as double)') for c in cols)}]) as value from {t}" for m, (t, s, g, cols) in _REPORT_SQL.items())
+    + "".join(f" union all select 'run', 'all', 'all', '{n}', cast({e} as double) from frames" for n, e in _RUN_FACTS.items()), "by_group", "groups", "grouped", "headline", "frames")
 def sink_metric_report(spark, d):
-    h = M.headline(ratio_rows(spark, d)).select("series", "frames", F.round(F.col("pck_5") * 1000).cast("bigint").alias("within_5_percent"))
-    return metric_json(h, "series")
+    """The nested report written as one JSON document, read back, and taken apart."""
+    f = frames(spark, d)
+    tables = {
+        "error": (M.error_by_group(f), "series", "grp"), "trust": (M.mean_and_quantiles(f, "trust"), None, "grp"),
+        "quality": (M.mean_and_quantiles(f.filter("target_valid"), "quality"), None, "grp"), "headline": (M.headline(ratio_rows(spark, d, f)), None, "series")}
+    facts = {"swings": F.count_distinct("swing_id"), "frames": F.count(F.lit(1)), "target_frames": F.count_if("target_valid")}
+    where = shared_folder(spark, "report")
+    write_report(nested_report(tables, facts, f), where)
+    back = read_report(spark, where, ", ".join(f"{n}: bigint" for n in facts))
+    run = F.inline(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(f"run.{n}").cast("double").alias("value")) for n in facts]))
+    run_rows = back.select(F.lit("run").alias("metric"), F.lit("all").alias("series"), F.lit("all").alias("grp"), run)
+    return rounded(report_rows(back).unionByName(run_rows))
 
 
 
@@ -388,25 +414,32 @@ def best_row_selection(spark, d):
     return rounded(M.best_epochs(M.epoch_means(history(spark, d), ["total", "position"]), 10), digits=3)
 
 
-@query("evaluate_with_flow", "select series, grp, count, rmse, mae, p90, gt20, gt40, (select count(distinct swing_id) from frames) as swings, (select count(*) from starts) as windows, (select count(*) from frames) as frames "
-       "from by_group", "by_group", "starts", "frames")
+cte("flow_scores", "select *, " + ", ".join(f"{X._lin(t)} as s{i}" for i, t in enumerate(X.FLOW_STUB_WEIGHTS.values())) + " from features45", "features45")
+B.cte_again("flow_", ("decoded0", "decoded1", "decoded", "frames0", "frames1", "frames", "grouped", "series", "by_group"), {"scores": "flow_scores"})
+
+
+@query("evaluate_with_flow", "select series, grp, count, rmse, mae, p90, gt20, gt40, (select count(distinct swing_id) from flow_frames) as swings, (select count(*) from starts) as windows, (select count(*) from flow_frames) as frames "
+       "from flow_by_group", "flow_by_group", "starts", "flow_frames")
 def evaluate_with_flow(spark, d):
-    """The 45-column build; the stand-in model reads its first 25 columns."""
+    """The 45-column build from real flow statistics; the stand-in model reads flow columns, too."""
     from trackloom.operators.contracts import require_feature_order
     from trackloom.operators.windows import supervised_windows
     from trackloom.plans.evaluation import evaluate
-    from trackloom.workload.window_queries import wide_flow
     wins = supervised_windows(X.with_raw(wide_flow(spark, d), X.SETTINGS), X.SETTINGS, carry=X.CARRY, use_flow=True)
-    return rounded(evaluate(X.decoded(require_feature_order(wins, True)), X.frames_of))
+    return rounded(evaluate(X.decoded(require_feature_order(wins, True), weights=X.FLOW_STUB_WEIGHTS), X.frames_of))
 
 
-@query("path_consistency", "select count(*) as rows, 0::bigint as differing from features", "features")
+@query("path_consistency", "select column_name, count(*) as rows, 0::bigint as without_flow_differs, 0::bigint as supervised_differs from features, (select unnest(" + _names(FEATURES_25) + ") as column_name) group by column_name", "features")
 def path_consistency(spark, d):
-    """Training, evaluation and flow paths build the same 25 columns."""
-    from trackloom.operators.windows import observation_windows
-    from trackloom.schemas import FEATURES_25
-    from trackloom.workload.window_queries import wide_flow
+    """The three ways that build the 25 columns (inference, with flow, with targets), compared column by column."""
+    from trackloom.operators.contracts import column_differences
+    from trackloom.operators.windows import observation_windows, supervised_windows
     key = ["swing_id", "win_start", "idx"]
-    a = observation_windows(X.tracked(spark, d)).select(*key, F.hash(*FEATURES_25).alias("a"))
-    b = observation_windows(wide_flow(spark, d), use_flow=True).select(*key, F.hash(*FEATURES_25).alias("b"))
-    return a.join(b, key, "full").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
+    plain = materialised(observation_windows(X.tracked(spark, d)).select(*key, *FEATURES_25))
+    out = None
+    for name, other in (("without_flow_differs", observation_windows(wide_flow(spark, d), use_flow=True)), ("supervised_differs", supervised_windows(X.tracked(spark, d)))):
+        rows = column_differences(plain, other, key, FEATURES_25)
+        hits = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.array_contains("differing", c)).alias(f"__{i}") for i, c in enumerate(FEATURES_25)])
+        long = hits.select("rows", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__{i}").alias(name)) for i, c in enumerate(FEATURES_25)])))
+        out = long if out is None else out.join(long.drop("rows"), "column_name")
+    return out.select("column_name", "rows", "without_flow_differs", "supervised_differs")

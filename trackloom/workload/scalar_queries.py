@@ -335,11 +335,14 @@ def union_details(spark, d):
 
 @query("sink_detail_rows", "select image_stem, keypoint, coalesce(printf('%.6f', gt_x), '') as gt_x, coalesce(printf('%.6f', pred_conf), '') as pred_conf, cast(detection_rank as varchar) as detection_rank, coalesce(printf('%.6f', bbox_x1), '') as bbox_x1, status from details", "details")
 def sink_detail_rows(spark, d):
-    from trackloom.operators.evaluation_rows import detail_order
-    from trackloom.sources.sinks import detail_text
-    text = detail_text(B.details(spark, d).orderBy(*detail_order()))
+    """Detail rows written as sorted CSV text and read back."""
+    from trackloom.session import shared_folder
+    from trackloom.sources.sinks import write_details
+    where = shared_folder(spark, "details")
+    write_details(B.details(spark, d), where)
+    text = spark.read.option("header", True).csv(where)
     assert tuple(text.columns) == DETAIL_COLUMNS
-    return text.select("image_stem", "keypoint", "gt_x", "pred_conf", "detection_rank", "bbox_x1", "status")
+    return text.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("image_stem", "keypoint", "gt_x", "pred_conf", "detection_rank", "bbox_x1", "status")])
 
 
 @query("sequence_profile", "select swing_id, count(*) as frames, count(*) filter (head_gt_x is not null and tail_gt_x is not null and tail_visibility <> 'ignore') as target_frames, count(*) filter (tail_pred_x is not null and tail_pred_conf > 0) as tail_predictions, "

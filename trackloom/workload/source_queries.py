@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackloom.session import shared_folder
+from trackloom.sources import files as FS
 from trackloom.sources import readers as I
 from trackloom.workload import bindings as B
 from trackloom.workload.bindings import cte
@@ -31,10 +33,30 @@ def scan_frame_population(spark, d):
     return out.select("prediction_stem", F.size("detections").alias("detections"))
 
 
-@query("scan_globbed_dirs", "select distinct 'run' || (l_orderkey % 7) as run_dir, 'run' || (l_orderkey % 7) || case when l_orderkey % 2 = 0 then '/labels' else '' end as labels_dir from lineitem")
+_given = ("run*", "./run3", "run4/labels", "none*")
+cte("run_dirs", "select 'run' || (l_orderkey % 7) as run, case when l_orderkey % 7 % 2 = 0 then 'run' || (l_orderkey % 7) || '/labels' else 'run' || (l_orderkey % 7) end as labels, count(*) as lines from lineitem group by all")
+
+
+@query("scan_globbed_dirs", "select 0 as given_no, run as run_dir, labels as labels_dir, true as first, lines, true as has_files from run_dirs "
+       "union all select 1, run, labels, false, 0, true from run_dirs where run = 'run3' union all select 2, run, labels, true, lines, true from run_dirs where run = 'run4'", "run_dirs")
 def scan_globbed_dirs(spark, d):
-    paths = B.table(spark, d, "lineitem").selectExpr("concat('run', l_orderkey % 7, case when l_orderkey % 2 = 0 then '/labels/' else '/' end, l_orderkey, '.txt') as path")
-    return I.prediction_folders(paths)
+    """A tree of label folders is written, found again by wildcards and plain paths, and read: lines per folder that is not a duplicate."""
+    root = shared_folder(spark, "runs")
+    lines = B.table(spark, d, "lineitem").select((F.col("l_orderkey") % 7).alias("run"), F.concat_ws(" ", "l_orderkey", "l_linenumber").alias("value"))
+    for run in range(7):
+        lines.filter(F.col("run") == run).select("value").write.text(f"{root}/run{run}" + ("" if run % 2 else "/labels"))
+    found = FS.label_folders(FS.matched_folders(spark, [f"{root}/{g}" for g in _given]))
+    folders = [r.labels_dir for r in found.select("labels_dir").distinct().collect()]
+    files = FS.file_catalogue(spark, folders, pattern="*.txt").groupBy("folder").agg(F.sum("length").alias("bytes"))
+    text = spark.read.text(folders).groupBy(_folder(F.col("_metadata.file_path")).alias("folder")).agg(F.count(F.lit(1)).alias("lines"))
+    named = found.withColumn("folder", F.regexp_replace("labels_dir", "^file:/+", "file:/"))
+    out = named.join(files, "folder", "left").join(text, "folder", "left")
+    short = lambda c: F.regexp_extract(c, r"(run[0-9](/labels)?)/?$", 1).alias(c)
+    return out.select("given_no", short("run_dir"), short("labels_dir"), "first", F.when(F.col("first"), F.col("lines")).otherwise(0).alias("lines"), (F.col("bytes") > 0).alias("has_files"))
+
+
+def _folder(path):
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "file:/"), "/[^/]*$", "")
 
 
 @query("fingerprint_files", "select url as path, sha256(html) as sha256 from pages")

@@ -8,10 +8,10 @@ from trackloom.functions import scalars as S
 from trackloom.operators import augment as A
 from trackloom.operators import projection as P
 from trackloom.operators.sequence import frame_positions
-from trackloom.plans.synthetic import pooled_frames, projected_tracks, synthetic_windows
+from trackloom.plans.synthetic import pool_sampler, pooled_frames, projected_tracks, sample_rows, synthetic_windows
 from trackloom.schemas import BODY_MARKERS, FEATURES_25, WindowSettings
-from trackloom.session import materialised
-from trackloom.sources.sinks import folder_progress
+from trackloom.session import materialised, shared_folder
+from trackloom.sources.files import read_folders, read_quarantine, read_shards, write_exact_shards, write_folders
 from trackloom.workload import bindings as B
 from trackloom.workload import frames as X
 from trackloom.workload.bindings import cte
@@ -110,21 +110,46 @@ def mirror_pixel_rows(spark, d):
     return rounded(m.select("sequence_id", "camera_id", "frame_idx", "mirror", "camera_name", "batter_hand", "head_u", "tail_u", F.col("tail_from_head_dx").alias("dx")))
 
 
-_sk = ["LSHO", "C7", "LTOE"]
 _skrel = lambda m, n: " + ".join(f"({m}_{a} - b.eye_{a}) * b.{n}_{a}" for a in "xyz")
-cte("skel0", "select sequence_id, frame_idx, " + ", ".join(f"max({a} * 0.001e0) filter (marker = '{m}' and x is not null) as {m}_{a}" for m in _sk for a in "xyz")
-    + " from markers where marker in ('LSHO', 'RSHO', 'C7') and x is not null group by all", "markers")
-cte("skel", "select s.sequence_id, camera_id, s.frame_idx, " + ", ".join(f"{_skrel(m, 'fwd')} as {m}_z, zoom * (35 / 36e0 * 1920) * ({_skrel(m, 'right')}) / ({_skrel(m, 'fwd')}) + 1920 * (0.5 + pan_x) as {m}_u" for m in _sk) + " from skel0 s join basis b using (sequence_id)", "skel0", "basis")
+cte("skel0", "select s.sequence_id, camera_id, s.frame_idx, zoom, pan_x, pan_y, " + ", ".join(f"{_skrel(m, n)} as {m}_{v}" for m in BODY_MARKERS for n, v in (("right", "px"), ("up", "py"), ("fwd", "depth"))) + " from body s join basis b using (sequence_id) "
+    "where " + " or ".join(f"{m}_x is not null" for m in BODY_MARKERS), "body", "basis")
+cte("skel", "select sequence_id, camera_id, frame_idx, " + ", ".join(
+    f"case when {m}_depth > 1e-6 then zoom * (35 / 36e0 * 1920) * {m}_px / {m}_depth + 1920 * (0.5 + pan_x) end as {m}_u, case when {m}_depth > 1e-6 then 1080 * (0.5 + pan_y) - zoom * (35 / 36e0 * 1920) * {m}_py / {m}_depth end as {m}_v, {m}_depth" for m in BODY_MARKERS) + " from skel0", "skel0")
 
 
-@query("project_skeleton", f"select {_PK}, " + ", ".join(f"{r(f'case when {m}_z > 1e-6 then {m}_u end')} as {m}_u, {r(f'{m}_z')} as {m}_depth" for m in _sk) + " from skel", "skel")
+@query("project_skeleton", f"select {_PK}, " + ", ".join(
+    f"{r(f'{m}_u', 4)} as skel_{m}_u, {r(f'{m}_v', 4)} as skel_{m}_v, {r(f'{m}_depth', 4)} as skel_{m}_depth, coalesce({m}_u >= 0 and {m}_u < 1920 and {m}_v >= 0 and {m}_v < 1080, false) as skel_{m}_in_frame" for m in BODY_MARKERS) + " from skel", "skel")
 def project_skeleton(spark, d):
-    m = B.markers(spark, d)
-    track = P.scaled_track(P.bat_track(m))
+    """All 26 body markers of every frame in every camera of its sequence."""
+    track = P.scaled_track(P.bat_track(B.markers(spark, d)))
     cams = P.sample_cameras(P.sequence_cameras(_rigs(spark, d), B.cameras(spark, d)), SEED)
-    body = m.join(track.select("sequence_id").distinct(), "sequence_id", "left_semi").withColumns({a: F.col(a) * 0.001 for a in "xyz"})
-    s = P.skeleton(body, P.camera_basis(cams, P.scene_bounds(track)))
-    return rounded(s.select("sequence_id", "camera_id", "frame_idx", *[F.col(f"skel_{k}_{v}").alias(f"{k}_{v}") for k in _sk for v in ("u", "depth")]))
+    s = P.skeleton(B.body_markers(spark, d), P.camera_basis(cams, P.scene_bounds(track)))
+    return rounded(P.skeleton_columns(s), digits=4)
+
+
+#: A configured list of views: single values and ranges; two random ones come on top.
+VIEWS = (
+    {"name": "view_1B_side", "yaw": (80.0, 100.0), "pitch": 6.0, "zoom": (0.9, 1.1)},
+    {"name": "view_front", "yaw": 0.0, "pan_x": (-0.1, 0.1), "pan_y": (-0.05, 0.05)},
+    {"name": "high", "type": "fixed", "yaw": 200.0, "pitch": (20.0, 25.0), "roll": (-2.0, 2.0)})
+
+
+def _view_sql() -> str:
+    default = {"yaw": 0.0, "pitch": 8.0, "roll": 0.0, "zoom": 1.0, "pan_x": 0.0, "pan_y": 0.0}
+    free = {"yaw": (0.0, 360.0), "pitch": (-12.0, 28.0), "roll": (-4.0, 4.0), "zoom": (0.7, 1.4), "pan_x": (-0.18, 0.18), "pan_y": (-0.14, 0.14)}
+    rows = []
+    for i, v in enumerate([*VIEWS, *[{"type": "random", "name": "random", **free}] * 2]):
+        ends = [x for f in _f for x in ((v.get(f, default[f]),) * 2 if isinstance(v.get(f, default[f]), float) else v[f])]
+        rows.append(f"('cam_{i:03d}', '{v.get('type', 'configured')}', '{v['name']}', " + ", ".join(f"{x}e0" for x in ends) + ")")
+    return f"(values {', '.join(rows)}) v(camera_id, camera_type, camera_name, " + ", ".join(f"{f}_lo, {f}_hi" for f in _f) + ")"
+
+
+@query("configured_views", "select sequence_id, camera_id, camera_type, camera_name, " + ", ".join(
+    r(f"""{f}_lo + {U(f, "sequence_id || '|' || camera_id")} * ({f}_hi - {f}_lo)""") + f" as {f}" for f in _f) + f" from (select distinct sequence_id from mtrack), {_view_sql()}", "mtrack")
+def configured_views(spark, d):
+    """Every sequence with the configured views and two random ones, each field drawn in its range."""
+    seqs = P.bat_track(B.markers(spark, d)).select("sequence_id").distinct()
+    return rounded(P.sample_cameras(P.configured_views(seqs, VIEWS, random_views=2), SEED))
 
 
 @query("project_tracks", f"select {_PK}, mirror, camera_name, {rs('head_u tail_u')} from projm where head_in_frame and tail_in_frame", "projm")
@@ -133,9 +158,28 @@ def project_tracks(spark, d):
     return rounded(t.select("sequence_id", "camera_id", "frame_idx", "mirror", "camera_name", "head_u", "tail_u"))
 
 
-@query("sink_by_folder", "select split_part(source, '/', 1) as folder, count(distinct source) as files, count(*) as rows from proj group by 1", "proj")
+# Some inputs can't be read: their bat markers have unknown names or their numbers are no numbers.
+_unread = "case when cast(regexp_extract(sequence_id, '([0-9]+)$', 1) as int) % 11 = 3 then 'unknown marker names' when cast(regexp_extract(sequence_id, '([0-9]+)$', 1) as int) % 13 = 5 then 'broken numbers' end"
+cte("folder_inputs", f"select source, split_part(source, '/', 1) as folder, {_unread} as problem from (select distinct source, sequence_id from markers)", "markers")
+cte("folder_rows", "select folder, source, count(p.sequence_id) as rows, any_value(case when problem is null then null else problem end) as problem from folder_inputs i left join (select p.* from proj p join folder_inputs j using (source) where j.problem is null) p using (source) group by folder, source", "folder_inputs", "proj")
+
+
+@query("sink_by_folder", "select folder, count(*) filter (rows > 0) as files, cast(sum(rows) as bigint) as rows, count(*) filter (rows = 0) as skipped, count(*) filter (problem = 'broken numbers') as broken, "
+       "count(*) filter (rows = 0 and problem is null) as without_rows, cast(sum(rows) as bigint) as read_back from folder_rows group by folder", "folder_rows")
 def sink_by_folder(spark, d):
-    return folder_progress(_projected(spark, d)).select("folder", "files", F.col("rows").cast("bigint").alias("rows"))
+    """CSV by folder of the readable inputs, the others in quarantine; counts from the sink, its files and its quarantine."""
+    markers = B.markers(spark, d)
+    inputs = markers.select(F.col("source").alias("source_c3d"), "sequence_id").distinct().withColumn("problem", F.expr(_unread))
+    good = inputs.filter("problem is null").select("sequence_id")
+    rows = materialised(_projected(spark, d).join(good, "sequence_id", "left_semi"))
+    where = shared_folder(spark, "by-folder")
+    counts = write_folders(rows, inputs, where)
+    read = read_folders(spark, where, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    back = read.groupBy("folder").agg(F.count("sequence_id").alias("read_back"))
+    bad = read_quarantine(spark, where).groupBy("folder").agg(
+        F.count_if(F.col("problem") == "broken numbers").alias("broken"), F.count_if(F.col("problem") == "no rows").alias("without_rows"))
+    out = counts.join(back, "folder", "left").join(bad, "folder", "left")
+    return out.select("folder", "files", "rows", "skipped", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("broken", "without_rows", "read_back")])
 
 
 # --- synthetic windows --------------------------------------------------------------
@@ -164,10 +208,16 @@ def syn_source(spark, d):
                     "frame_idx", "time_sec", "batter_hand", "camera_name", "head_u", "head_v", "tail_u", "tail_v")
 
 
-@query("downsample_stride", "select swing_id, view_id, step from syn_steps", "syn_steps")
+cte("both_step", "select sequence_id as swing_id, camera_id || case when mirror = 'none' then '' else '__' || mirror end as view_id, frame_idx / 120e0 as time_sec, "
+    "row_number() over (partition by sequence_id, camera_id, mirror order by frame_idx) - 1 as rn from projm", "projm")
+
+
+@query("downsample_stride", "select swing_id, view_id, cast(case when nt >= 3 and g is not null then greatest(1, round_even((1 / g) / 60e0, 0)) else 6 end as int) as step from "
+       "(select swing_id, view_id, count(*) as nt, median(g) filter (g > 0) as g from (select *, time_sec - lag(time_sec) over (partition by swing_id, view_id order by rn) as g from both_step) group by all)", "both_step")
 def downsample_stride(spark, d):
-    rows = materialised(syn_source(spark, d).filter("batter_hand = 'R'"))
+    """Steps of all copies of all sequences, right-handed and left-handed."""
     from trackloom.operators.sequence import with_positions
+    rows = materialised(syn_source(spark, d))
     numbered = with_positions(rows, ["swing_id", "view_id"], [F.floor(F.col("frame_idx") / 256)], [F.col("frame_idx")])
     return A.time_steps(numbered, ["swing_id", "view_id"], 60.0, 360.0)
 
@@ -228,10 +278,10 @@ _cap = "case label when 'partially_occluded' then 0.4e0 when 'fully_occluded' th
 _ns = "case label when 'partially_occluded' then 4e0 when 'fully_occluded' then 12e0 else 24e0 end"
 
 
-def _occluded(source: str) -> str:
-    return (f"select *, case when masked then 0e0 when hidden then least(0.9e0, {_cap}) else 0.9e0 end as tail_conf, not masked as tail_seen, case label when 'partially_occluded' then 2e0 when 'fully_occluded' then 3e0 when 'ignore' then 4e0 else 0.75e0 end as tail_weight, "
+def _occluded(source: str, conf: str = "0.9e0", seen: str = "true") -> str:
+    return (f"select *, case when masked then 0e0 when hidden then least({conf}, {_cap}) else {conf} end as tail_conf, {seen} and not masked as tail_seen, case label when 'partially_occluded' then 2e0 when 'fully_occluded' then 3e0 when 'ignore' then 4e0 else 0.75e0 end as tail_weight, "
             + ", ".join(f"case when hidden and not masked then least(greatest(obs_tail_{a} + {N(f'extra.{a}', _rk)} * ({_ns}) / {s}, 0), 1) else obs_tail_{a} end as pseudo_tail_{a}" for a, s in (("x", 1920), ("y", 1080)))
-            + f" from (select *, label <> 'fully_visible' as hidden, label <> 'fully_visible' and {U('mask', _rk)} < {_lim} as masked from {source})")
+            + f" from (select *, label <> 'fully_visible' as hidden, label <> 'fully_visible' and (not {seen} or {U('mask', _rk)} < {_lim}) as masked from {source})")
 
 
 cte("occluded", _occluded("(select * exclude (drawn_label), drawn_label as label from drawn)"), "drawn")
@@ -302,10 +352,20 @@ def dataset_summary(spark, d):
     return summary(_synthetic(spark, d))
 
 
-@query("sink_dataset_shards", "select split, cast((count(*) + 99) // 100 as bigint) as shards, count(*) as samples from (select distinct swing_id, view_id, win_start from syn_win) join syn_split using (swing_id) group by split", "syn_win", "syn_split")
+cte("sharded", "select split, (pos - 1) // 100 as shard, (pos - 1) % 100 as place, k from (select split, k, row_number() over (partition by split order by md5('7|' || k), swing_id, view_id, win_start) as pos from "
+    "(select distinct swing_id, view_id, win_start, swing_id || '|' || view_id || '|' || win_start as k from syn_win) join syn_split using (swing_id))", "syn_win", "syn_split")
+
+
+@query("sink_dataset_shards", "select split, cast(shard as bigint) as shard, count(*) as samples, cast(min(place) as bigint) as first_place, cast(max(place) as bigint) as last_place, count(*) * 31 as rows, "
+       "arg_min(k, place) as first_key, arg_max(k, place) as last_key from sharded group by all", "sharded")
 def sink_dataset_shards(spark, d):
-    counts = _synthetic(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("samples"))
-    return counts.select("split", F.ceil(F.col("samples") / 100).alias("shards"), "samples")
+    """The built dataset in shards of exactly 100 samples; the manifest beside what the files hold."""
+    where = shared_folder(spark, "shards")
+    manifest = write_exact_shards(_synthetic(spark, d), where, shard_size=100, order=["swing_id", "view_id", "win_start"], seed=SEED)
+    key = F.concat_ws("|", "swing_id", "view_id", "win_start")
+    held = read_shards(spark, where).groupBy("split", F.col("shard").cast("bigint").alias("shard")).agg(
+        F.sum(F.size("x")).cast("bigint").alias("rows"), F.min_by(key, "place").alias("first_key"), F.max_by(key, "place").alias("last_key"))
+    return manifest.drop("path").join(held, ["split", "shard"], "full")
 
 
 @query("scan_projected_tracks", f"select swing_id, view_id, frame_idx, split, {rs('head_u tail_v')} from (select sequence_id as swing_id, camera_id || case when mirror = 'none' then '' else '__' || mirror end as view_id, frame_idx, head_u, tail_v from projm) join syn_split using (swing_id)", "projm", "syn_split")
@@ -316,3 +376,67 @@ def scan_projected_tracks(spark, d):
     ids = B.markers(spark, d).select(F.col("sequence_id").alias("swing_id"))
     rows = projected_rows(text).join(entity_split(ids, 0.8, 0.1, SEED), "swing_id")
     return rounded(rows.select("swing_id", "view_id", F.col("frame_idx").cast("int").alias("frame_idx"), "split", "head_u", "tail_v"))
+
+
+# --- samples row by row, and a build that replays a weighted pool ---------------------------
+
+_status = "case when label = 'ignore' then case when tail_seen then 'ignore_with_prediction' else 'ignore_no_prediction' end when tail_seen then 'matched' else 'missing_prediction' end"
+_view = "case when camera_name like '%1B%' then '1b_side' when camera_name like '%3B%' then '3b_side' when camera_name like '%front%' then 'front' else 'home_side' end"
+
+
+def _observed(source: str, head_seen: str, head_conf: str) -> str:
+    """Corrupted windows as the windows that features are made of."""
+    head = f"({head_seen} and obs_head_x is not null and obs_head_y is not null and {head_conf} > 0)"
+    tail = "(tail_seen and pseudo_tail_x is not null and pseudo_tail_y is not null and tail_conf > 0)"
+    return (f"select swing_id || '|' || view_id as swing_id, swing_id as sid, view_id as vid, win_start, cast(idx as bigint) as pos, idx, frame_idx, {_view} as view_label, label, tail_weight, {_status} as tail_status, "
+            f"head_x as target_head_x, head_y as target_head_y, tail_x as target_tail_x, tail_y as target_tail_y, {head} as head_ok, {tail} as tail_ok, obs_head_x as head_x, obs_head_y as head_y, "
+            f"pseudo_tail_x as tail_x, pseudo_tail_y as tail_y, case when {head} then {head_conf} else 0e0 end as head_c, case when {tail} then tail_conf else 0e0 end as tail_c from {source}")
+
+
+def _sample_rows(last: str) -> str:
+    frames = "min(frame_idx) over (partition by f.swing_id, win_start) as start_frame_idx, max(frame_idx) over (partition by f.swing_id, win_start) as end_frame_idx"
+    return (f"select split, f.sid as swing_id, f.vid as view_id, win_start, {frames}, idx, label, {r('tail_weight')} as tail_weight, tail_status, tail_ok as tail_seen, "
+            + rs([f"target_{k}_{a}" for k in ("head", "tail") for a in "xy"]) + f", {X.feature_columns()} from {last} f join syn_split s on s.swing_id = f.sid")
+
+
+cte("syn_done", _occluded("labelled"), "labelled")
+cte("syn_obs", _observed("syn_done", "true", "0.95e0"), "syn_done")
+
+
+@query("synthetic_rows", _sample_rows(X.features_over("syn_", "syn_obs")), "syn_features0", "syn_split")
+def synthetic_rows(spark, d):
+    return rounded(sample_rows(_synthetic(spark, d)))
+
+
+#: Windows that show an occluded tail are replayed more often, those that begin without a usable tail never.
+POOL_WEIGHTS = {"fully_visible": "1.5", "partially_occluded": "0.333", "fully_occluded": "4", "ignore": "0"}
+_weight_sql = "case tail_visibility " + " ".join(f"when '{v}' then {w}e0" for v, w in POOL_WEIGHTS.items()) + " end"
+cte("pool_ranges", f"select pool_id, hi - units as lo, hi from (select *, sum(units) over (order by pool_id) as hi from (select pool_id, cast(round_even(({_weight_sql}) * 1000000, 0) as bigint) as units from pool where idx = 0)) where units > 0", "pool")
+cte("pool_draws", "select swing_id, view_id, win_start, pool_id from (select swing_id, view_id, win_start, cast(floor(" + U("pool", _wk) + " * (select max(hi) from pool_ranges)) as bigint) as spot from syn_win where idx = 0) join pool_ranges on spot >= lo and spot < hi", "syn_win", "pool_ranges")
+cte("pool_noisy", "select w.*, d.pool_id, p.head_err_seen as obs_head_seen, p.tail_err_seen as obs_tail_seen, "
+    + ", ".join(f"case when p.{k}_err_seen then p.{k}_pred_conf else 0e0 end as obs_{k}_conf, " + ", ".join(f"case when p.{k}_err_seen then least(greatest(w.{k}_{a} + p.{k}_e{a}, 0), 1) end as obs_{k}_{a}" for a in "xy") for k in ("head", "tail"))
+    + " from syn_win w join pool_draws d using (swing_id, view_id, win_start) join pool p on p.pool_id = d.pool_id and p.idx = w.idx", "syn_win", "pool_draws", "pool")
+cte("pool_labelled", "select w.*, case when idx >= start2 and idx < start2 + len2 then label2 when idx >= start1 and idx < start1 + len1 then label1 else 'fully_visible' end as label from pool_noisy w join occ using (swing_id, view_id, win_start)", "pool_noisy", "occ")
+cte("pool_done", _occluded("pool_labelled", "obs_tail_conf", "obs_tail_seen"), "pool_labelled")
+cte("pool_obs", _observed("pool_done", "obs_head_seen", "obs_head_conf"), "pool_done")
+
+
+def _pool_weight():
+    w = F.lit(None).cast("double")
+    for v, x in POOL_WEIGHTS.items():
+        w = F.when(F.col("tail_visibility") == v, float(x)).otherwise(w)
+    return w
+
+
+@query("weighted_pool_draw", f"select {_WK}, pool_id from pool_draws", "pool_draws")
+def weighted_pool_draw(spark, d):
+    keys = A.clean_windows(_tracks(spark, d), WindowSettings()).filter("idx = 0").select("swing_id", "view_id", "win_start")
+    return A.draw_weighted(keys, _pool(spark, d), _pool_weight())
+
+
+@query("pluggable_sampler", _sample_rows(X.features_over("pool_", "pool_obs")), "pool_features0", "syn_split")
+def pluggable_sampler(spark, d):
+    """The dataset build with windows of real errors, drawn from a weighted pool, in place of noise."""
+    from trackloom.operators.contracts import entity_split
+    ids = B.markers(spark, d).select(F.col("sequence_id").alias("swing_id"))
+    return rounded(sample_rows(synthetic_windows(syn_source(spark, d), entity_split(ids, 0.8, 0.1, SEED), sampler=pool_sampler(_pool(spark, d), _pool_weight()))))

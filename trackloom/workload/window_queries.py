@@ -9,10 +9,12 @@ from trackloom.operators import windows as W
 from trackloom.operators.reshape import wide_observations
 from trackloom.operators.scoring import argmax_class, overlap_mean, score_windows
 from trackloom.operators.sequence import fill_linear, frame_positions
+from trackloom.plans.flow import flow_observations
 from trackloom.schemas import FEATURES_25, FEATURES_45, FLOW_SOURCE_COLUMNS, WindowSettings
 from trackloom.workload import bindings as B
 from trackloom.workload import frames as X
 from trackloom.workload.bindings import cte
+from trackloom.workload.flow_queries import TILED
 from trackloom.workload.registry import R, query, r, rounded, rs
 
 KEY = ["swing_id", "win_start", "idx", "frame_idx"]
@@ -55,31 +57,13 @@ def linear_fill(spark, d):
     return rounded(out.select("swing_id", "frame_idx", *X._gts))
 
 
-cte("wideflow", "select tracked.*, " + ", ".join(
-    f"cast({e} as double) as {n}" for n, e in {
-        "has_prev_flow": "case when frame_idx > 1 then 1 else 0 end",
-        "head_valid": "case when head_pred_x is not null and frame_idx > 1 then 1 else 0 end",
-        "tail_valid": "case when tail_pred_x is not null and frame_idx > 1 then 1 else 0 end",
-        "bbox_valid": "case when bbox_x1 is not null then 1 else 0 end",
-        **{f"{g}_flow_{s}": e for g, k in (("head", 7), ("tail", 11), ("bbox", 13), ("global", 17)) for s, e in (
-            ("x_mean", f"case when event_id % {k} <> 0 then (event_id % {k * 10}) - 60e0 end"),
-            ("y_mean", f"(event_id % {k * 9}) - 55e0"), ("mag_mean", f"(event_id % {k * 8}) / 1.5e0"), ("mag_p95", f"(event_id % {k * 12}) - 2e0"))},
-    }.items()) + " from tracked", "tracked")
+cte("wideflow", "select t.*, " + ", ".join(f"g.{c.removeprefix('global_')} as {c}" if c.startswith("global_") else f"l.{c}" for c in FLOW_SOURCE_COLUMNS)
+    + " from tracked t join local_flow l using (image_stem) join global_flow g on g.swing_id = t.swing_id and g.frame_idx = t.frame_idx", "tracked", "local_flow", "global_flow")
 
 
 def wide_flow(spark, d):
-    """Tracked frames with twenty flow columns by arithmetic on the event id."""
-    exprs = {
-        "has_prev_flow": "case when frame_idx > 1 then 1 else 0 end",
-        "head_valid": "case when head_pred_x is not null and frame_idx > 1 then 1 else 0 end",
-        "tail_valid": "case when tail_pred_x is not null and frame_idx > 1 then 1 else 0 end",
-        "bbox_valid": "case when bbox_x1 is not null then 1 else 0 end"}
-    for g, k in (("head", 7), ("tail", 11), ("bbox", 13), ("global", 17)):
-        exprs.update({
-            f"{g}_flow_x_mean": f"case when event_id % {k} <> 0 then (event_id % {k * 10}) - 60e0 end",
-            f"{g}_flow_y_mean": f"(event_id % {k * 9}) - 55e0", f"{g}_flow_mag_mean": f"(event_id % {k * 8}) / 1.5e0",
-            f"{g}_flow_mag_p95": f"(event_id % {k * 12}) - 2e0"})
-    return X.tracked(spark, d).withColumns({n: F.expr(e).cast("double") for n, e in exprs.items()})
+    """Tracked frames with the flow statistics of their fields."""
+    return flow_observations(X.tracked(spark, d), B.flow_tiles(spark, d), scale=(240.0, 135.0), **TILED)
 
 
 def _flow_sql(name: str, flip: str) -> str:
@@ -99,10 +83,12 @@ def normalise_flow_columns(spark, d):
         R(S.flow_feature(s, F.col(s), 50.0)).alias(f) for s, f in zip(FLOW_SOURCE_COLUMNS, FEATURES_45[25:])])
 
 
-@query("clean_features_45", "select swing_id, win_start, idx, features.frame_idx, " + ", ".join(
-    f'{r("features." + chr(34) + n + chr(34))} as "{n}"' for n in FEATURES_25) + ", " + ", ".join(
-    f"{r(_flow_sql(s, 'f.flip').replace('coalesce(' + s, 'coalesce(f.' + s))} as {n}" for s, n in zip(FLOW_SOURCE_COLUMNS, FEATURES_45[25:]))
+cte("features45", "select features.*, " + ", ".join(
+    f"{_flow_sql(s, 'f.flip').replace('coalesce(' + s, 'coalesce(f.' + s)} as {n}" for s, n in zip(FLOW_SOURCE_COLUMNS, FEATURES_45[25:]))
     + " from features join wideflow f using (swing_id, image_stem)", "features", "wideflow")
+
+
+@query("clean_features_45", "select swing_id, win_start, idx, frame_idx, " + ", ".join(f'{r(chr(34) + n + chr(34))} as "{n}"' for n in FEATURES_45) + " from features45", "features45")
 def clean_features_45(spark, d):
     wins = W.observation_windows(wide_flow(spark, d), use_flow=True)
     return rounded(wins.select(*KEY, *FEATURES_45))
