@@ -190,6 +190,18 @@ class Encoder:
         return [(next(whole) if p is None else b"".join(map(self.cache.__getitem__, p))) + self.end for p in split]
 
 
+#: Encoders of this Python worker by vocabulary and end id: workers serve many tasks, which share the learnt words.
+_known: dict[tuple[int, int], Encoder] = {}
+
+
+def encoder_of(vocabulary: str, end_id: int) -> Encoder:
+    key = (zlib.crc32(vocabulary.encode("utf-8")), end_id)
+    if key not in _known:
+        _known.clear()
+        _known[key] = Encoder(vocabulary, end_id)
+    return _known[key]
+
+
 def write_records(docs: DataFrame, *, vocabulary: str, end_id: int, roll_bytes: int = 64 << 20) -> DataFrame:
     """Write ``docs`` in doc_id order; returns the manifest, one row per record file.
 
@@ -205,7 +217,7 @@ def write_records(docs: DataFrame, *, vocabulary: str, end_id: int, roll_bytes:
                .sortWithinPartitions(*keys, "text").select("doc_id", "text", F.spark_partition_id().alias("part")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, end_id)
+        encoder = encoder_of(shared.value, end_id)
         store, root = open_store(where)
         store.create_dir(root, recursive=True)
         done, out, nth = [], None, 0
