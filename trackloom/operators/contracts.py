@@ -223,6 +223,7 @@ def require_rows(df: DataFrame, message: Column | str, facts: DataFrame | None =
 
     The check rides in the plan: a second branch, which never yields a row, looks for one row and raises if there is none.
     ``message`` may use the columns of ``facts``, a table of one row; a NULL message lets the empty table pass.
+    The second branch has NULL in every column, so a filter put on the result may cut it off: require rows last.
     """
     found = df.select(F.lit(1).alias("__one")).limit(1).agg(F.count(F.lit(1)).alias("__n"))
     if facts is not None:

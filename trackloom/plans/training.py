@@ -9,6 +9,7 @@ from trackloom.functions import scalars as S
 from trackloom.operators.contracts import holdout_split, require_rows
 from trackloom.operators.windows import pack_windows, supervised_windows
 from trackloom.schemas import FEATURES_25, FEATURES_45, WindowSettings
+from trackloom.session import materialised
 
 TARGETS = ("gt_head_x", "gt_head_y", "gt_tail_x", "gt_tail_y", "target_valid", "tail_visibility")
 WEIGHTS = (0.75, 2.0, 3.0, 4.0)
@@ -29,12 +30,13 @@ def training_windows(
 def trainable(windows: DataFrame, frames: DataFrame, settings: WindowSettings = WindowSettings()) -> DataFrame:
     """``windows``; a query over them fails if there are none at all, or none to train on.
 
-    The first message tells how many sequences there are and how long the longest is.
+    The first message tells how many sequences there are and how long the longest is. The windows are stored once, as the
+    guards read them, too.
     """
+    windows = materialised(windows)
     longest = frames.groupBy("swing_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("swings"), F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
     none = F.concat(F.lit("no windows: "), F.col("swings").cast("string"), F.lit(" sequences, the longest has "), F.col("longest").cast("string"), F.lit(f" frames of {settings.size}"))
     held = windows.groupBy("split").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"))
     alone = F.when(F.col("all") > 0, F.concat(F.lit("no training windows: all "), F.col("all").cast("string"), F.lit(" are held out")))
-    guarded = require_rows(windows, none, longest)
     training = require_rows(windows.filter(F.col("split") == "train"), alone, held)
-    return guarded.filter(F.col("split") != "train").unionByName(training)
+    return require_rows(windows.filter(F.col("split") != "train").unionByName(training), none, longest)

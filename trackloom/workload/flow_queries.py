@@ -12,6 +12,7 @@ from trackloom.operators import flow as W
 from trackloom.operators.reshape import pivot_wide
 from trackloom.plans.flow import flow_feature_table, scaled_frames
 from trackloom.schemas import FLOW_REGIONS, GLOBAL_FLOW_STATS, REGION_FLOW_STATS
+from trackloom.session import materialised
 from trackloom.workload import bindings as B
 from trackloom.workload import frames as X
 from trackloom.workload.bindings import cte
@@ -107,7 +108,8 @@ def merge_global_flow(spark, d):
     f"{r(f'l.{g}_{s}')} as {g}_{s}" for g in FLOW_REGIONS for s in ("flow_x_mean", "flow_mag_p95")) + f", {r('g.flow_x_mean')} as global_flow_x_mean, {r('t.bbox_x2 - t.bbox_x1')} as bbox_w, "
     + r("sqrt((t.head_pred_x - t.tail_pred_x)**2 + (t.head_pred_y - t.tail_pred_y)**2)") + " as pred_bat_length from track t join local_flow l using (image_stem) join global_flow g on g.swing_id = t.swing_id and g.frame_idx = t.frame_idx", "track", "local_flow", "global_flow")
 def flow_table(spark, d):
-    t = flow_feature_table(B.details(spark, d), F.col("keypoint"), B.flow_tiles(spark, d), scale=(240.0, 135.0), **TILED)
+    # Groups of up to 65,536 pixels in one row, as by default; the queries above use the way for larger ones, too.
+    t = flow_feature_table(B.details(spark, d), F.col("keypoint"), B.flow_tiles(spark, d), scale=(240.0, 135.0), **_TILED)
     return rounded(t.select("image_stem", "has_prev_flow", "head_valid", "tail_valid", "bbox_valid", *[f"{g}_{s}" for g in FLOW_REGIONS for s in ("flow_x_mean", "flow_mag_p95")],
                             "global_flow_x_mean", "bbox_w", "pred_bat_length"))
 
@@ -258,21 +260,30 @@ def alignment_sequences(spark, d):
        "union all select 'accepted', count(*) || ' windows' from starts union all select 'window size', 'window size and stride must be positive' union all select 'flow clip', 'flow_clip_px must be finite and positive'", "track", "starts")
 def argument_guards(spark, d):
     """The messages of guards: those of settings when they are made, those that depend on data when the query runs."""
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
-    from trackloom.plans.training import trainable, training_windows
+    from trackloom.operators.sequence import frame_positions
+    from trackloom.operators.windows import explode_windows
+    from trackloom.plans.training import trainable
     from trackloom.schemas import WindowSettings
-    frames = X.tracked(spark, d)
-    longest = frames.groupBy("swing_id").count().agg(F.max("count")).first()[0]
+    frames = materialised(frame_positions(B.track(spark, d).select("swing_id", "image_stem", "frame_idx")))
+    longest = frames.agg(F.max("n")).first()[0]
 
     def message(run) -> str:
         try:
             return run()
-        except (PySparkException, ValueError) as e:
-            return next(line for line in re.sub(r"^.*\[USER_RAISED_EXCEPTION\] ", "", str(e)).splitlines() if line).removesuffix(" SQLSTATE: P0001")
-
-    def windows(settings=WindowSettings(), **held) -> str:
-        return f"{trainable(training_windows(frames, settings=settings, **held), frames, settings).count()} windows"
+        except ValueError as e:
+            return str(e)
+        except (PySparkException, Py4JJavaError) as e:
+            raised = re.search(r"\[USER_RAISED_EXCEPTION\] (.*?)\.? *(SQLSTATE|\n|$)", str(e))
+            if not raised:
+                raise
+            return raised[1]
+
+    def windows(settings=WindowSettings(), val_fraction: float = 0.2) -> str:
+        starts = explode_windows(frames, settings).filter("idx = 0").select("swing_id", "win_start")
+        return f"{trainable(starts.join(K.holdout_split(frames, val_fraction, 7), 'swing_id'), frames, settings).count()} windows"
     rows = [("no windows", message(lambda: windows(WindowSettings(size=longest + 1)))), ("no training windows", message(lambda: windows(val_fraction=1.0))),
             ("accepted", message(windows)), ("window size", message(lambda: WindowSettings(size=0))), ("flow clip", message(lambda: WindowSettings(flow_clip_px=float("inf"))))]
     return spark.createDataFrame(rows, "guard string, message string")
