@@ -83,10 +83,13 @@ def overlap_mean(decoded: DataFrame) -> DataFrame:
 
     Other facts of a frame come from the window written last (lowest start).
     """
+    means = {**{c: c for c in AVERAGED}, "tail_x_norm": "filled_x", "tail_y_norm": "filled_y"}
+    # Rows of a frame first: keys of any type are hashed, while a buffer with text would have every window's row sorted.
+    rows = decoded.groupBy("swing_id", "frame_idx", "pos", "image_stem", "tail_seen", "ctx").agg(
+        F.min("win_start").alias("win_start"), *[x for c in means for x in (F.sum(c).alias(f"__sum_{c}"), F.count(c).alias(f"__n_{c}"))])
     facts = F.struct("image_stem", "tail_seen", "ctx")
-    out = decoded.groupBy("swing_id", "frame_idx").agg(
-        *[F.avg(c).alias(c) for c in AVERAGED],
-        F.avg("tail_x_norm").alias("filled_x"), F.avg("tail_y_norm").alias("filled_y"),
+    out = rows.groupBy("swing_id", "frame_idx").agg(
+        *[(F.sum(f"__sum_{c}") / F.sum(f"__n_{c}")).alias(n) for c, n in means.items()],
         F.min_by(facts, F.struct(F.col("win_start"), -F.col("pos"))).alias("f"))
     return out.select("swing_id", "frame_idx", "f.image_stem", "f.tail_seen", "f.ctx.*",
                       *AVERAGED, "filled_x", "filled_y").withColumn("bucket_pred", argmax_class(*[F.col(f"p{i}") for i in range(4)]))
