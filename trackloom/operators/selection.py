@@ -135,12 +135,15 @@ def select_candidates(records: DataFrame, settings: SelectionSettings = Selectio
     return picked.unionByName(empty, allowMissingColumns=True)
 
 
-def screen_outliers(selected: DataFrame, limits: ScreenSettings = ScreenSettings()) -> DataFrame:
+def screen_outliers(selected: DataFrame, limits: ScreenSettings = ScreenSettings(), *, digits: int | None = None) -> DataFrame:
     """Compare each choice with its neighbouring rows; needs ``pos`` and ``chosen``.
 
     Adds length_ratio, center_dist, center_threshold, length_outlier, center_outlier,
-    outlier_reason and drop_reason (center_outlier, length_outlier or NULL).
+    outlier_reason and drop_reason (center_outlier, length_outlier or NULL). With ``digits`` the three
+    numbers are rounded before limits and text, so that neither depends on the last bit of a double.
     """
+    def number(c: Column) -> Column:
+        return c if digits is None else F.round(c, digits)
     k = limits.window
     rows = with_halo(selected, before=k, after=k)
     w = block_window()
@@ -160,9 +163,9 @@ def screen_outliers(selected: DataFrame, limits: ScreenSettings = ScreenSettings
     rows = rows.withColumns({
         "neighbors": F.size("near"),
         "enough": F.col("chosen").isNotNull() & (F.size("near") >= limits.min_neighbors),
-        "length_ratio": F.when(F.col("__ml") > 1, F.col("chosen.length") / F.col("__ml")).otherwise(1.0),
-        "center_dist": F.hypot(F.col("chosen.cx") - F.col("__mx"), F.col("chosen.cy") - F.col("__my")),
-        "center_threshold": F.greatest(F.lit(limits.center_base), limits.center_spread_weight * spread),
+        "length_ratio": number(F.when(F.col("__ml") > 1, F.col("chosen.length") / F.col("__ml")).otherwise(1.0)),
+        "center_dist": number(F.hypot(F.col("chosen.cx") - F.col("__mx"), F.col("chosen.cy") - F.col("__my"))),
+        "center_threshold": number(F.greatest(F.lit(limits.center_base), limits.center_spread_weight * spread)),
     })
     r, d, t = F.col("length_ratio"), F.col("center_dist"), F.col("center_threshold")
     rows = rows.withColumns({
