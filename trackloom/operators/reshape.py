@@ -104,11 +104,14 @@ def combine_metadata(*maps: DataFrame) -> DataFrame:
     return last_row_wins(tagged, ["swing_id"], "__prio").drop("__prio")
 
 
-def attach_metadata(df: DataFrame, meta: DataFrame, view: str = "random", hand: str = "R") -> DataFrame:
-    """Left join of clip metadata with defaults for unknown sequences."""
+def attach_metadata(df: DataFrame, meta: DataFrame, view: str = "random", hand: str = "R", *, tasks: int | None = None) -> DataFrame:
+    """Left join of clip metadata with defaults for unknown sequences.
+
+    Where rows need ``tasks`` of their own, the few columns of a clip are hashed and the frames are not sorted.
+    """
     side = "left" if hand.upper().startswith("L") else "right"
     label = S.swap_side(S.view_label(F.lit(view))) if side == "left" else S.view_label(F.lit(view))
-    out = df.join(meta, "swing_id", "left")
+    out = df.join(meta.hint("shuffle_hash") if tasks else meta, "swing_id", "left")
     return out.withColumns({
         "side": F.coalesce(F.col("side"), F.lit(side)),
         "hand": F.coalesce(F.col("hand"), F.lit("L" if side == "left" else "R")),

@@ -78,15 +78,19 @@ AVERAGED = ("prior_x", "prior_y", "final_x", "final_y", "corrected_x", "correcte
             "trust", "p0", "p1", "p2", "p3", "quality")
 
 
-def overlap_mean(decoded: DataFrame) -> DataFrame:
+def overlap_mean(decoded: DataFrame, *, tasks: int | None = None) -> DataFrame:
     """Average all windows covering (sequence, frame); clipping happened before.
 
-    Other facts of a frame come from the window written last (lowest start).
+    Other facts of a frame come from the window written last (lowest start). Where ``decoded`` has the
+    ``block`` by which its windows were dealt out, the windows of a row are added up where they are.
     """
     means = {**{c: c for c in AVERAGED}, "tail_x_norm": "filled_x", "tail_y_norm": "filled_y"}
     # Rows of a frame first: keys of any type are hashed, while a buffer with text would have every window's row sorted.
-    rows = decoded.groupBy("swing_id", "frame_idx", "pos", "image_stem", "tail_seen", "ctx").agg(
+    home = [c for c in ("block",) if c in decoded.columns]
+    rows = decoded.groupBy("swing_id", *home, "frame_idx", "pos", "image_stem", "tail_seen", "ctx").agg(
         F.min("win_start").alias("win_start"), *[x for c in means for x in (F.sum(c).alias(f"__sum_{c}"), F.count(c).alias(f"__n_{c}"))])
+    if tasks:
+        rows = rows.repartition(tasks, "swing_id", "frame_idx")
     facts = F.struct("image_stem", "tail_seen", "ctx")
     out = rows.groupBy("swing_id", "frame_idx").agg(
         *[(F.sum(f"__sum_{c}") / F.sum(f"__n_{c}")).alias(n) for c, n in means.items()],

@@ -46,7 +46,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_metadata(B.track(spark, sf_dir), metadata(spark, sf_dir))
+    return attach_metadata(B.track(spark, sf_dir), metadata(spark, sf_dir), tasks=B.frame_tasks(spark, sf_dir))
 
 
 def _canon(t: str, left: str) -> str:
@@ -174,7 +174,7 @@ CARRY = ("raw_head_x", "raw_head_y", "raw_tail_x", "raw_tail_y", "raw_head_conf"
 
 def windows(spark: SparkSession, sf_dir: str, settings: WindowSettings = SETTINGS) -> DataFrame:
     """Feature windows of ``track`` with targets and the raw normalised points."""
-    return supervised_windows(with_raw(tracked(spark, sf_dir), settings), settings, carry=CARRY)
+    return supervised_windows(with_raw(tracked(spark, sf_dir), settings), settings, carry=CARRY, keep_block=True, tasks=B.frame_tasks(spark, sf_dir))
 
 
 def with_raw(df: DataFrame, settings: WindowSettings) -> DataFrame:
@@ -193,9 +193,9 @@ def decoded(wins: DataFrame, settings: WindowSettings = SETTINGS, weights: dict
     return wins.withColumns(d)
 
 
-def frames_of(scored_windows: DataFrame) -> DataFrame:
+def frames_of(scored_windows: DataFrame, *, tasks: int | None = None) -> DataFrame:
     """Overlap-averaged frames with errors and the columns the metrics read."""
-    out = overlap_mean(scored_windows)
+    out = overlap_mean(scored_windows, tasks=tasks)
     gts = ["gt_head_x", "gt_head_y", "gt_tail_x", "gt_tail_y"]
     out = out.withColumns({g: F.when(F.col("target_valid"), F.col(g)) for g in gts})
     out = out.withColumns({
@@ -208,7 +208,7 @@ def flat(wins: DataFrame) -> DataFrame:
 
 
 def scored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames_of(decoded(windows(spark, sf_dir)))
+    return frames_of(decoded(windows(spark, sf_dir)), tasks=B.frame_tasks(spark, sf_dir))
 
 
 def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from trackloom.operators import metrics as M
@@ -326,7 +328,7 @@ def sink_metric_report(spark, d):
        "from by_group", "by_group", "starts", "frames")
 def evaluate_tracks(spark, d):
     from trackloom.plans.evaluation import evaluate
-    return rounded(evaluate(X.decoded(X.windows(spark, d)), X.frames_of))
+    return rounded(evaluate(X.decoded(X.windows(spark, d)), partial(X.frames_of, tasks=B.frame_tasks(spark, d))))
 
 
 _terms = {
@@ -425,8 +427,9 @@ def evaluate_with_flow(spark, d):
     from trackloom.operators.contracts import require_feature_order
     from trackloom.operators.windows import supervised_windows
     from trackloom.plans.evaluation import evaluate
-    wins = supervised_windows(X.with_raw(wide_flow(spark, d), X.SETTINGS), X.SETTINGS, carry=X.CARRY, use_flow=True)
-    return rounded(evaluate(X.decoded(require_feature_order(wins, True), weights=X.FLOW_STUB_WEIGHTS), X.frames_of))
+    tasks = B.frame_tasks(spark, d)
+    wins = supervised_windows(X.with_raw(wide_flow(spark, d), X.SETTINGS), X.SETTINGS, carry=X.CARRY, use_flow=True, keep_block=True, tasks=tasks)
+    return rounded(evaluate(X.decoded(require_feature_order(wins, True), weights=X.FLOW_STUB_WEIGHTS), partial(X.frames_of, tasks=tasks)))
 
 
 @query("path_consistency", "select column_name, count(*) as rows, 0::bigint as without_flow_differs, 0::bigint as supervised_differs from features, (select unnest(" + _names(FEATURES_25) + ") as column_name) group by column_name", "features")

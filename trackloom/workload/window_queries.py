@@ -22,7 +22,7 @@ KEYS = ", ".join(KEY)
 
 
 def _windows(spark, d):
-    return W.observation_windows(X.tracked(spark, d))
+    return W.observation_windows(X.tracked(spark, d), tasks=B.frame_tasks(spark, d))
 
 
 def _select(names):
@@ -90,7 +90,7 @@ cte("features45", "select features.*, " + ", ".join(
 
 @query("clean_features_45", "select swing_id, win_start, idx, frame_idx, " + ", ".join(f'{r(chr(34) + n + chr(34))} as "{n}"' for n in FEATURES_45) + " from features45", "features45")
 def clean_features_45(spark, d):
-    wins = W.observation_windows(wide_flow(spark, d), use_flow=True)
+    wins = W.observation_windows(wide_flow(spark, d), use_flow=True, tasks=B.frame_tasks(spark, d))
     return rounded(wins.select(*KEY, *FEATURES_45))
 
 
