@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from trackloom.operators.metrics import with_sequence_scale
 from trackloom.operators.scoring import AVERAGED, overlap_mean
 from trackloom.operators.windows import supervised_windows
 from trackloom.schemas import WindowSettings
@@ -46,3 +47,15 @@ def test_results_do_not_depend_on_tasks(spark):
     assert len(a) == 200
     for x, y in zip(a, b):
         assert all(abs(u - v) < 1e-12 if isinstance(u, float) else u == v for u, v in zip(x, y))
+
+
+def test_frames_are_not_sorted_beside_the_scale_of_their_sequence(spark):
+    rows = spark.createDataFrame([("a", True, 2.0), ("a", False, 9.0), ("a", True, 3.0), ("b", True, 1.0)], "swing_id string, target_valid boolean, v double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = with_sequence_scale(rows, F.col("v"))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.swing_id, r.v, r.max_length) for r in out.collect()) == [("a", 2.0, 3.0), ("a", 3.0, 3.0), ("a", 9.0, 3.0), ("b", 1.0, 1.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

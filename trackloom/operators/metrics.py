@@ -350,10 +350,11 @@ def with_sequence_scale(frames: DataFrame, length: Column) -> DataFrame:
     """Largest valid true length of the sequence beside every frame.
 
     An aggregate and a join: the maximum is combined map-side and a huge sequence is
-    split by the adaptive skew join, unlike a window over the sequence.
+    split by the adaptive skew join, unlike a window over the sequence. The maxima, one row per
+    sequence, are hashed; a merge join would sort the frames of a partition.
     """
     scale = frames.groupBy("swing_id").agg(F.max(F.when(F.col("target_valid"), length)).alias("max_length"))
-    return frames.join(scale, "swing_id", "inner")
+    return frames.join(scale.hint("shuffle_hash"), "swing_id", "inner")
 
 
 def pck(rows: DataFrame, keys: Sequence[str], ratio: str, alphas: Sequence[float] = (0.025, 0.05)) -> DataFrame:
