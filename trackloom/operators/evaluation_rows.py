@@ -100,6 +100,15 @@ def detail_order() -> list[Column]:
     return [F.col("swing_id"), F.col("frame"), F.coalesce(F.col("detection_rank"), F.lit(10 ** 9)), F.col("keypoint")]
 
 
+COUNTED = ("image_stem", "swing_id", "view", "batter_side", "frame", "n_detections", "drop_reason", "head_visibility", "tail_visibility",
+           "head_x", "head_y", "tail_x", "tail_y", "bat_visible_aux_x", "bat_visible_aux_y")
+
+
+def counted_columns(frames: DataFrame) -> DataFrame:
+    """The columns of selected frames that detail rows and ``selection_counters`` read."""
+    return frames.select(*COUNTED, "chosen")
+
+
 def selection_counters(frames: DataFrame, rows: DataFrame, unmatched: DataFrame) -> DataFrame:
     """Counter name and value: what was missing, re-ranked, dropped or ignored."""
     def counts(df: DataFrame, named: dict[str, Column]) -> DataFrame:

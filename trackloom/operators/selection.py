@@ -81,15 +81,15 @@ def sequence_anchors(records: DataFrame, settings: SelectionSettings = Selection
     ).select("swing_id", F.col("anchor_x_p50").alias("anchor_x"), F.col("anchor_y_p50").alias("anchor_y"))
 
 
-def ordered_records(records: DataFrame) -> DataFrame:
-    """Positions along (frame number or last, frame name, stem); ``flag_pos`` counts
-    the frames with an eligible candidate."""
+def ordered_records(records: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Positions along (frame number or last, frame name, stem); ``turn`` counts the frames with an
+    eligible candidate (``n_eligible``). ``facts`` has one row per sequence."""
     number, last = F.coalesce(F.col("frame_no"), F.lit(0)), F.col("frame_no").isNull()
     unnumbered = F.when(last, F.substring("frame_name", 1, 8)).otherwise("")
     return with_positions(
         records, ["swing_id"], [last, F.floor(number / 256), unnumbered],
         [last, number, F.col("frame_name"), F.col("prediction_stem")],
-        flag=F.size("eligible") > 0, flag_pos="turn", total=None)
+        flag=F.col("n_eligible") > 0, flag_pos="turn", total=None, facts=facts)
 
 
 def select_candidates(records: DataFrame, settings: SelectionSettings = SelectionSettings()) -> DataFrame:
@@ -97,18 +97,21 @@ def select_candidates(records: DataFrame, settings: SelectionSettings = Selectio
 
     ``records`` has exactly the six inference columns (see contracts.require_record_schema).
     The prepared frames and the scored tables are stored once each, since the anchor,
-    the numbering, the composition and the walk all read them.
+    the numbering, the composition and the walk all read them. Candidate lists are wide, so they are dealt
+    out twice only, by frame bin and by block: the anchor comes with the numbering, the states of a block
+    come to its frames, and frames without an eligible candidate are numbered without the lists.
     """
     keys = ["prediction_stem", "image_stem", "swing_id", "frame_no", "frame_name"]
     box = first_box(records, settings)
     prepared = materialised(records.select(
         *keys, F.size("detections").alias("n_detections"), *[e.alias(n) for n, e in box.items()],
-        eligible(pixel_candidates(F.col("detections"), settings.width, settings.height)).alias("eligible")))
-    frames = ordered_records(prepared.drop("first_x", "first_y")).join(sequence_anchors(prepared, settings), "swing_id", "left")
+        eligible(pixel_candidates(F.col("detections"), settings.width, settings.height)).alias("eligible")).withColumn(
+        "n_eligible", F.size("eligible")))
+    frames = ordered_records(prepared.drop("first_x", "first_y"), sequence_anchors(prepared, settings))
     payload = ["prediction_stem", "image_stem", "frame_no", "frame_name", "n_detections", "pos",
                "eligible", "earlier", "gap", "anchor_x", "anchor_y"]
 
-    turns = with_halo(frames.filter(F.size("eligible") > 0), before=1, after=0, pos="turn", rows=FOLD_ROWS)
+    turns = with_halo(frames.filter(F.col("n_eligible") > 0), before=1, after=0, pos="turn", rows=FOLD_ROWS)
     w = block_window(pos="turn")
     gap = F.greatest(F.lit(1), F.coalesce(F.col("frame_no") - F.lag("frame_no").over(w), F.lit(1)))
     turns = turns.withColumns({"earlier": F.lag("eligible").over(w), "gap": gap}).filter(~F.col("is_halo"))
@@ -124,14 +127,15 @@ def select_candidates(records: DataFrame, settings: SelectionSettings = Selectio
     turns = materialised(turns.withColumn("step", F.transform(entries, best)))
     # Only numbers and tables go through the fold; the frames meet their states by turn.
     longest = turns.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
-    states = follow_states(turns, "swing_id", "turn", "step", [], block="block", levels=fold_levels(longest, FOLD_FAN), fan=FOLD_FAN)
-    walked = turns.select("swing_id", "turn", *payload).join(states, ["swing_id", "turn"])
-    chosen = F.get(F.col("eligible"), F.col("after"))
-    before = F.get(F.col("earlier"), F.col("before"))
+    paths = follow_states(turns, "swing_id", "turn", "step", [], block="block", levels=fold_levels(longest, FOLD_FAN), fan=FOLD_FAN, by_block=True)
+    walked = turns.select("swing_id", "block", "turn", *payload).join(paths.hint("shuffle_hash"), ["swing_id", "block"])
+    walked = walked.withColumn("state", F.get("path", (F.col("turn") - F.col("first")).cast("int"))).drop("path", "first")
+    chosen = F.get(F.col("eligible"), F.col("state.after"))
+    before = F.get(F.col("earlier"), F.col("state.before"))
     parts = score_parts(F.col("chosen"), F.col("before_c"), F.col("gap"), F.col("anchor_x"), F.col("anchor_y"), settings)
     picked = walked.withColumns({"chosen": chosen, "before_c": before}).select(
         *keys, "n_detections", "pos", "chosen", F.struct(*[e.alias(n) for n, e in parts.items()]).alias("parts"))
-    empty = frames.filter(F.size("eligible") == 0).select(*keys, "n_detections", "pos")
+    empty = ordered_records(prepared.drop("first_x", "first_y", "eligible")).filter(F.col("n_eligible") == 0).select(*keys, "n_detections", "pos")
     return picked.unionByName(empty, allowMissingColumns=True)
 
 
