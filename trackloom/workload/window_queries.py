@@ -15,7 +15,7 @@ from trackloom.workload import bindings as B
 from trackloom.workload import frames as X
 from trackloom.workload.bindings import cte
 from trackloom.workload.flow_queries import TILED
-from trackloom.workload.registry import R, query, r, rounded, rs
+from trackloom.workload.registry import R, query, r, rounded, rounded_small, rs
 
 KEY = ["swing_id", "win_start", "idx", "frame_idx"]
 KEYS = ", ".join(KEY)
@@ -26,7 +26,7 @@ def _windows(spark, d):
 
 
 def _select(names):
-    return lambda spark, d: rounded(_windows(spark, d).select(*KEY, *names))
+    return lambda spark, d: rounded_small(_windows(spark, d).select(*KEY, *names))
 
 
 def _sql(names):
@@ -91,7 +91,7 @@ cte("features45", "select features.*, " + ", ".join(
 @query("clean_features_45", "select swing_id, win_start, idx, frame_idx, " + ", ".join(f'{r(chr(34) + n + chr(34))} as "{n}"' for n in FEATURES_45) + " from features45", "features45")
 def clean_features_45(spark, d):
     wins = W.observation_windows(wide_flow(spark, d), use_flow=True, tasks=B.frame_tasks(spark, d))
-    return rounded(wins.select(*KEY, *FEATURES_45))
+    return rounded_small(wins.select(*KEY, *FEATURES_45))
 
 
 _l = "over (partition by swing_id order by pos)"
@@ -128,7 +128,7 @@ _DEC = list(X._avg)
 
 @query("blend_prediction", f"select {KEYS}, {rs(_DEC)} from decoded", "decoded")
 def blend_prediction(spark, d):
-    return rounded(X.decoded(_windows(spark, d)).select(*KEY, *_DEC))
+    return rounded_small(X.decoded(_windows(spark, d)).select(*KEY, *_DEC))
 
 
 @query("overlap_mean", f"select swing_id, frame_idx, {rs(_DEC + ['filled_x', 'filled_y'])} from frames0", "frames0")
