@@ -89,3 +89,14 @@ def test_one_row_of_each_group_stays(docs_of):
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([]).limit(0)).count() == 0
     assert simhash.keep_one(docs_of([]).limit(0)).count() == 0
+
+
+def test_links_are_searched_and_contracted_in_separate_stages(spark, monkeypatch):
+    # Two Python nodes in one task start two workers a core, and Spark keeps them all, with what they hold, for later stages.
+    plans = []
+    contract = simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: (plans.append(edges._jdf.queryExecution().executedPlan().toString()), contract(edges))[1])
+    nodes = spark.createDataFrame([(5,), (7,), (-1,)], "fp long")
+    got = {r.fp: r.c for r in simhash._groups(nodes, 4).collect()}
+    assert got == {5: 5, 7: 5, -1: -1}
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]

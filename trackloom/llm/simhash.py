@@ -179,7 +179,8 @@ def links(nodes: DataFrame, *, radius: int = 4, hot: int = 4096, levels: int = 3
 
 def _groups(nodes: DataFrame, radius: int) -> DataFrame:
     """fp and the smallest fingerprint ``c`` of its component."""
-    found = components(links(nodes, radius=radius))
+    # Stored, so that search and contraction need no two Python workers a task: Spark keeps every worker, with all it holds, for later stages.
+    found = components(stored(links(nodes, radius=radius), "links"))
     return nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("c"))
 
 
