@@ -135,11 +135,10 @@ class Encoder:
     them, so a text's ids are those of its words, with trailing marks apart, in order. A-Z is lowered first, as the
     tokenizer does. Texts that hold a special token's opening mark, where case counts, are encoded whole.
     Words of letters only are sent to the library 64 to a line; as each yields one piece, its ids end at the first id
-    whose token closes a word. ``cache_words`` bounds memory: once half of them are learnt they become the older half, which
-    gives its words back as they are met again, and the older half before is dropped. So frequent words stay.
+    whose token closes a word. ``cache_words`` bounds memory: a full cache is emptied.
     """
 
-    def __init__(self, vocabulary: str, end_id: int, cache_words: int = 600_000):
+    def __init__(self, vocabulary: str, end_id: int, cache_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -149,7 +148,6 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.closes[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -182,12 +180,10 @@ class Encoder:
         """Packed ids of each text, the end id included."""
         split = [None if t and "<|" in t else self._pieces(t) if t else [] for t in texts]
         words = {w for pieces in split if pieces for w in pieces}
-        if 2 * len(self.cache) > self.cache_words:
-            self.cache, self.older = {}, self.cache
-        words = [w for w in words if w not in self.cache]
-        known = {w: self.older[w] for w in words if w in self.older}
-        self.cache |= known
-        fresh = [w for w in words if w not in known]
+        fresh = [w for w in words if w not in self.cache]
+        if len(self.cache) + len(fresh) > self.cache_words:
+            self.cache = {}
+            fresh = list(words)
         for at in range(0, len(fresh), 20_000):
             self._learn([w.decode("utf-8") for w in fresh[at:at + 20_000]])
         whole = iter(self._ids([t for t, pieces in zip(texts, split, strict=True) if pieces is None]))
