@@ -9,7 +9,7 @@ table, computed for all frames at once. Only the table look-ups remain sequentia
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
@@ -18,7 +18,7 @@ from trackloom.operators.sequence import (
     FOLD_FAN, FOLD_ROWS, block_window, fold_levels, follow_states, with_halo, with_positions,
 )
 from trackloom.schemas import ScreenSettings, SelectionSettings
-from trackloom.session import materialised
+from trackloom.session import filed, materialised
 
 MIN_KEYPOINT_CONF = 0.1
 CANDIDATE = ("rank", "conf", "hx", "hy", "tx", "ty", "cx", "cy", "length", "angle", "head_conf", "tail_conf")
@@ -92,39 +92,107 @@ def ordered_records(records: DataFrame, facts: DataFrame | None = None) -> DataF
         flag=F.col("n_eligible") > 0, flag_pos="turn", total=None, facts=facts)
 
 
-def select_candidates(records: DataFrame, settings: SelectionSettings = SelectionSettings()) -> DataFrame:
+KEYS = ("prediction_stem", "image_stem", "swing_id", "frame_no", "frame_name")
+
+#: Frames of a sequence that are chosen in one group; longer sequences are cut into blocks.
+SHORT_ROWS = 1024
+
+
+def _step(settings: SelectionSettings) -> Column:
+    """The best candidate of a frame (``eligible``) for each candidate of the frame before (``earlier``), or for none."""
+    def best(p: Column) -> Column:
+        ranked = F.transform(F.col("eligible"), lambda c, i: F.struct(
+            total_score(score_parts(c, p, F.col("gap"), F.col("anchor_x"), F.col("anchor_y"), settings)).alias("score"),
+            c["rank"].alias("rank"), i.alias("i")))
+        return F.array_min(ranked)["i"]
+
+    nobody = F.slice(F.col("eligible"), 1, 1)
+    return F.transform(F.coalesce(F.col("earlier"), F.transform(nobody, lambda c: F.when(F.lit(False), c))), best)
+
+
+def select_candidates(records: DataFrame, settings: SelectionSettings = SelectionSettings(), *,
+                      only: DataFrame | None = None, short_rows: int = SHORT_ROWS) -> DataFrame:
     """Add ``pos``, ``chosen`` (NULL when nothing was eligible) and ``parts``.
 
-    ``records`` has exactly the six inference columns (see contracts.require_record_schema).
-    The prepared frames and the scored tables are stored once each, since the anchor,
-    the numbering, the composition and the walk all read them. Candidate lists are wide, so they are dealt
-    out twice only, by frame bin and by block: the anchor comes with the numbering, the states of a block
-    come to its frames, and frames without an eligible candidate are numbered without the lists.
+    ``records`` has exactly the six inference columns (see contracts.require_record_schema); ``only`` (image_stem, swing_id)
+    names the frames to choose on, else all. The prepared frames are stored once, as files. Candidate lists are wide: those of a
+    sequence of at most ``short_rows`` frames are dealt out once, by sequence, and its frames are filtered, numbered, scored
+    and walked there. Longer sequences are cut (``_cut_sequences``); no more than one in ``short_rows`` frames is named as such.
     """
-    keys = ["prediction_stem", "image_stem", "swing_id", "frame_no", "frame_name"]
     box = first_box(records, settings)
-    prepared = materialised(records.select(
-        *keys, F.size("detections").alias("n_detections"), *[e.alias(n) for n, e in box.items()],
+    prepared = filed(records.select(
+        *KEYS, F.size("detections").alias("n_detections"), *[e.alias(n) for n, e in box.items()],
         eligible(pixel_candidates(F.col("detections"), settings.width, settings.height)).alias("eligible")).withColumn(
-        "n_eligible", F.size("eligible")))
-    frames = ordered_records(prepared.drop("first_x", "first_y"), sequence_anchors(prepared, settings))
+        "n_eligible", F.size("eligible")), "candidates")
+    lists = prepared.drop("first_x", "first_y")
+    boxes = prepared.select("image_stem", "swing_id", "first_x", "first_y")
+    anchors = sequence_anchors(boxes if only is None else boxes.join(only.select("image_stem").distinct(), "image_stem", "left_semi"), settings)
+    sizes = prepared.groupBy("swing_id").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > short_rows).select("swing_id")
+    if sizes.isEmpty():
+        return _whole_sequences(lists, anchors, only, settings)
+    sizes = F.broadcast(materialised(sizes))
+    cut = lists.join(sizes, "swing_id", "left_semi")
+    if only is not None:
+        cut = cut.join(only.select("image_stem").distinct(), "image_stem", "left_semi")
+        only = only.join(sizes, "swing_id", "left_anti")
+    return _whole_sequences(lists.join(sizes, "swing_id", "left_anti"), anchors, only, settings).unionByName(
+        _cut_sequences(cut, anchors, settings))
+
+
+def _whole_sequences(prepared: DataFrame, anchors: DataFrame, only: DataFrame | None, settings: SelectionSettings) -> DataFrame:
+    """Choices of sequences that one group holds: every step after the exchange by sequence finds the rows in place."""
+    tasks = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prepared.filter(F.col("swing_id").isNotNull()).repartition(tasks, "swing_id")
+    if only is not None:
+        names = only.groupBy("swing_id").agg(F.collect_set("image_stem").alias("__names"))
+        rows = rows.join(names.hint("shuffle_hash"), "swing_id").filter(F.array_contains("__names", F.col("image_stem"))).drop("__names")
+    rows = rows.join(anchors.hint("shuffle_hash"), "swing_id", "left")
+    last = F.col("frame_no").isNull()
+    w = Window.partitionBy("swing_id").orderBy(last, F.coalesce(F.col("frame_no"), F.lit(0)), "frame_name", "prediction_stem")
+    has = F.col("n_eligible") > 0
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "pos": (F.row_number().over(w) - 1).cast("bigint"),
+        "__before": F.last(F.when(has, F.struct("frame_no", "eligible")), ignorenulls=True).over(ahead)})
+    rows = rows.withColumns({
+        "earlier": F.col("__before.eligible"),
+        "gap": F.greatest(F.lit(1), F.coalesce(F.col("frame_no") - F.col("__before.frame_no"), F.lit(1)))})
+    rows = rows.withColumn("step", F.when(has, _step(settings)))
+    rest = [*[k for k in KEYS if k != "swing_id"], "n_detections", "eligible", "gap", "anchor_x", "anchor_y"]
+    groups = rows.groupBy("swing_id").agg(F.sort_array(F.collect_list(F.struct("pos", "step", *rest))).alias("items"))
+    walked = F.aggregate(
+        "items", F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("path")),
+        lambda acc, item: F.struct(
+            F.when(item["step"].isNull(), acc["s"]).otherwise(F.get(item["step"], acc["s"])).alias("s"),
+            F.concat(acc["path"], F.array(F.when(item["step"].isNotNull(), F.get(item["step"], acc["s"])))).alias("path")))["path"]
+    each = groups.select("swing_id", F.inline(F.arrays_zip(F.col("items").alias("f"), walked.alias("at"))))
+    each = each.select("swing_id", "f.*", F.get("f.eligible", F.col("at")).alias("chosen")).drop("step", "eligible")
+    each = each.withColumn("before_c", F.last("chosen", ignorenulls=True).over(
+        Window.partitionBy("swing_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)))
+    parts = score_parts(F.col("chosen"), F.col("before_c"), F.col("gap"), F.col("anchor_x"), F.col("anchor_y"), settings)
+    scored = F.when(F.col("chosen").isNotNull(), F.struct(*[e.alias(n) for n, e in parts.items()]))
+    return each.select(*KEYS, "n_detections", "pos", "chosen", scored.alias("parts"))
+
+
+def _cut_sequences(prepared: DataFrame, anchors: DataFrame, settings: SelectionSettings) -> DataFrame:
+    """Choices of sequences of any length.
+
+    The scored tables are stored, since the composition and the walk read them. Candidate lists are dealt out by frame bin and by
+    block: the anchor comes with the numbering, the states of a block come to its frames where they lie, and frames
+    without an eligible candidate are numbered without the lists.
+    """
+    keys = list(KEYS)
+    frames = ordered_records(prepared, anchors)
     payload = ["prediction_stem", "image_stem", "frame_no", "frame_name", "n_detections", "pos",
                "eligible", "earlier", "gap", "anchor_x", "anchor_y"]
 
-    turns = with_halo(frames.filter(F.col("n_eligible") > 0), before=1, after=0, pos="turn", rows=FOLD_ROWS)
+    tasks = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = with_halo(frames.filter(F.col("n_eligible") > 0), before=1, after=0, pos="turn", rows=FOLD_ROWS, tasks=tasks)
     w = block_window(pos="turn")
     gap = F.greatest(F.lit(1), F.coalesce(F.col("frame_no") - F.lag("frame_no").over(w), F.lit(1)))
     turns = turns.withColumns({"earlier": F.lag("eligible").over(w), "gap": gap}).filter(~F.col("is_halo"))
 
-    def best(p: Column) -> Column:
-        ranked = F.transform(F.col("eligible"), lambda c, i: F.struct(
-            total_score(score_parts(c, p, F.col("gap"), F.col("anchor_x"), F.col("anchor_y"), settings)).alias("score"),
-            c["rank"].alias("rank"), i.alias("i")))
-        return F.array_min(ranked)["i"]
-
-    nobody = F.slice(F.col("eligible"), 1, 1)
-    entries = F.coalesce(F.col("earlier"), F.transform(nobody, lambda c: F.when(F.lit(False), c)))
-    turns = materialised(turns.withColumn("step", F.transform(entries, best)))
+    turns = materialised(turns.withColumn("step", _step(settings)))
     # Only numbers and tables go through the fold; the frames meet their states by turn.
     longest = turns.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
     paths = follow_states(turns, "swing_id", "turn", "step", [], block="block", levels=fold_levels(longest, FOLD_FAN), fan=FOLD_FAN, by_block=True)
@@ -135,7 +203,7 @@ def select_candidates(records: DataFrame, settings: SelectionSettings = Selectio
     parts = score_parts(F.col("chosen"), F.col("before_c"), F.col("gap"), F.col("anchor_x"), F.col("anchor_y"), settings)
     picked = walked.withColumns({"chosen": chosen, "before_c": before}).select(
         *keys, "n_detections", "pos", "chosen", F.struct(*[e.alias(n) for n, e in parts.items()]).alias("parts"))
-    empty = ordered_records(prepared.drop("first_x", "first_y", "eligible")).filter(F.col("n_eligible") == 0).select(*keys, "n_detections", "pos")
+    empty = ordered_records(prepared.drop("eligible")).filter(F.col("n_eligible") == 0).select(*keys, "n_detections", "pos")
     return picked.unionByName(empty, allowMissingColumns=True)
 
 

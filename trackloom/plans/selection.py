@@ -19,8 +19,8 @@ def selected_frames(
 
     Frames without an annotation are left out before selection.
     """
-    known = V.join_annotations(records.select(*RECORD_COLUMNS), annotations).select(*RECORD_COLUMNS)
-    picked = screen_outliers(select_candidates(require_record_schema(known), settings), limits)
+    known = V.join_annotations(records.select("image_stem", "swing_id"), annotations).select("image_stem", "swing_id")
+    picked = screen_outliers(select_candidates(require_record_schema(records.select(*RECORD_COLUMNS)), settings, only=known), limits)
     out = V.join_annotations(picked, annotations)
     if clips is None:
         return out.withColumns({"view": F.lit(""), "batter_side": F.lit("")})
